@@ -58,7 +58,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """hashes of all words, in order; offsets: document i has words offsets[i] to offsets[i + 1]; starts and ends: their bytes in data."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, hashes: bool = True):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -76,7 +76,7 @@ class Words:
         self.starts = np.flatnonzero(word & ~before)
         self.ends = np.flatnonzero(word & ~after) + 1
         self.offsets = np.searchsorted(self.starts, at)
-        self.hashes = self._hash()
+        self.hashes = self._hash() if hashes else None
 
     @staticmethod
     def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
