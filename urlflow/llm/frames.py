@@ -60,6 +60,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
+    """df, marked for broadcast if it has few rows; df is a staged table, so counting it is cheap. Otherwise Spark picks the join."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
