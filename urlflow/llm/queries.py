@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, ngram_join, sharding, toxicity
+from . import decontamination, fingerprints, mixing, ngram_join, sharding, toxicity
 from .frames import read_table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_blocks(read_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op5_mixing_sources": op5_mixing_sources,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_document_fingerprints": op9_document_fingerprints,
