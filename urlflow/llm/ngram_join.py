@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, small, stage_table
+from .frames import DOCUMENT, narrow, small, stage_table, trim
 from .grams import gram_sets, planes, squeeze, unplanes, unsqueeze
 from .words import PUNCTUATION, Words, mix, slices
 
@@ -39,9 +39,9 @@ THRESHOLD = 0.5
 LEVELS = (1, 2, 3, 4, 6, 8)
 FILTER_BITS = 1 << 28
 TOP = 1 << 20
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _HAS_WORD = "[0-9A-Za-z_[^\\x{0}-\\x{7F}" + PUNCTUATION[1:-1] + "]]"
-_FLUSH = 3 << 20
+_FLUSH = 1 << 20
 
 
 def buckets(spark: SparkSession) -> int:
@@ -81,6 +81,7 @@ def _emit_grams(n: int, r: int) -> Callable:
                 if sum(map(len, held)) > _FLUSH:
                     yield from flush()
         yield from flush()
+        trim()
 
     return run
 
@@ -225,6 +226,7 @@ def _emit_postings(n: int, r: int, r2: int, t: float, order, levels: tuple[int,
                 if sum(map(len, ids)) > _FLUSH:
                     yield from flush()
         yield from flush()
+        trim()
 
     return run
 
@@ -283,6 +285,7 @@ def _pairs_of(t: float) -> Callable:
         fold()
         a, b = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         swap = sig[a] > sig[b]
+        trim()
         return pa.table({"sa": np.where(swap, sig[b], sig[a]), "sb": np.where(swap, sig[a], sig[b]), "shared": sums.astype(np.int32), "need": np.minimum(level[a], level[b]).astype(np.int32)})
 
     return run
@@ -324,6 +327,7 @@ def _verify(t: float) -> Callable:
                 both = np.add.reduceat(hit, np.cumsum(sizes) - sizes)
                 j[k : k + len(other)] = both / (len(x) + sizes - both)
         keep = j >= t - 1e-12
+        trim()
         return pa.table({"sa": a[keep], "sb": b[keep], "jaccard": j[keep]})
 
     return run
@@ -372,6 +376,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **how) -> Da
     docs = narrow(docs, {"doc_id": "bigint", "text": "string"})
     similar = similar_texts(docs, threshold, n, **how)
     ids = stage_table(_texts(docs.where("doc_id IS NOT NULL")).select("sig", "doc_id").distinct(), "ids")
+    ids = small(ids)
     a, b = ids.toDF("sa", "a"), ids.toDF("sb", "b")
     near = similar.join(a, "sa").join(b, "sb").where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
     same = a.join(b, F.expr("sa = sb AND a < b")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
