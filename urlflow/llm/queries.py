@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, mixing, ngram_join, sharding, toxicity
+from . import decontamination, fingerprints, mixing, ngram_join, sharding, toxicity, warc
 from .frames import read_table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.rewrite_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_blocks(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_mixing_sources": op5_mixing_sources,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
@@ -43,4 +48,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_sharding": sharding.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": warc.oracle(), "op10_sharding": sharding.oracle()}
