@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, mixing, ngram_join, sharding, toxicity, warc
+from . import chat, decontamination, fingerprints, mixing, ngram_join, sharding, toxicity, url_filter, warc
 from .frames import read_table
 
 
@@ -14,6 +14,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(read_table(spark, sf_dir, "pages"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rewrite_pages(read_table(spark, sf_dir, "pages"))
 
@@ -40,6 +48,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filters": op2_url_filters,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_mixing_sources": op5_mixing_sources,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
