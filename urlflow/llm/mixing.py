@@ -35,6 +35,8 @@ SHARD_BLOCKS = 1_024
 ALPHA = 0.7
 SEED = 20_240_611
 FAN_IN = 1_024
+#: Slots that may be broadcast to the blocks; more are joined by a shuffle of both.
+MOST_BROADCAST = 1 << 20
 _PIECE = "struct<doc_id:bigint,lang:string,begin:bigint,n_tokens:int,text:string>"
 _BLOCKS = f"source string, part bigint, number bigint, n_tokens int, tokens binary, pieces array<{_PIECE}>"
 
@@ -218,7 +220,8 @@ def _mixed(docs: DataFrame, weights, alpha, block, shard_blocks, seed, with_text
     names = spark.createDataFrame([(i, r["source"]) for i, r in enumerate(rows)], "source_no int, name string")
     where = slots([r["blocks"] for r in rows], want / want.sum(), shard_blocks, seed, spark)
     numbered = blocks.join(small(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    return where.join(numbered, ["source_no", "number"])
+    few = sum(r["blocks"] for r in rows) <= MOST_BROADCAST  # Spark's own estimate doesn't count what explode() makes
+    return (F.broadcast(where) if few else where.hint("merge")).join(numbered, ["source_no", "number"])
 
 
 def mix_blocks(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
