@@ -1,10 +1,576 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL: one for each operator on crawl data.
+
+The tables hold no request log, so methods, statuses and bodies are derived from the
+columns of `pages` by the same rule on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..functions import html, mining, text, url
+from ..operators import classify, dedup, filters, frontier, similarity
+from ..schemas import PAGES, REQUEST_LOG
+from ..sinks import files as sink_files
+from ..sinks import render
+from ..sources import files, metadata
+from ..storage import new_path
+from ..streaming import pipeline
+from . import sql as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def _c(name: str) -> Column:
+    return F.col(name)
+
+
+U, H = _c("url"), _c("html")
+METHOD = F.when(_c("page_id") % 2 == 0, "GET").otherwise("POST")
+STATUS = F.element_at(F.array(*[F.lit(x) for x in (200, 301, 404, 403, 503, 500, 401, 504)]), (_c("page_id") % 8 + 1).cast("int"))
+_METHOD = "CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END"
+_STATUS = "[200, 301, 404, 403, 503, 500, 401, 504][page_id % 8 + 1]"
+SCOPE = "blog.tionsh.example.com"
+
+
+def _log(p: DataFrame) -> DataFrame:
+    """Pages as exchanges."""
+    return p.select(U.alias("URL"), METHOD.alias("Method"), url.host(U).alias("Host"), F.concat(F.lit("id="), _c("page_id")).alias("Data"), STATUS.alias("Status"), text.base64_text(H).alias("ResponseBody"), text.base64_text(F.concat(METHOD, F.lit(" "), U)).alias("RequestStr"))
+
+
+_LOG = f"(SELECT url AS \"URL\", {_METHOD} AS \"Method\", {S.host('url')} AS \"Host\", 'id=' || page_id AS \"Data\", {_STATUS} AS \"Status\", to_base64(encode(html)) AS \"ResponseBody\", to_base64(encode({_METHOD} || ' ' || url)) AS \"RequestStr\" FROM pages)"
+
+
+# URL expressions
+
+
+@query(f"SELECT page_id, {S.scheme('url')} AS scheme, {S.host('url')} AS host, {S.path('url')} AS path, {S.query('url')} AS query, {S.fragment('url')} AS fragment FROM pages")
+def url_parts(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.scheme(U).alias("scheme"), url.host(U).alias("host"), url.path(U).alias("path"), url.query(U).alias("query"), url.fragment(U).alias("fragment"))
+
+
+@query(f"SELECT page_id, {S.suffix('url')} AS suffix FROM pages")
+def url_suffix(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.suffix(U).alias("suffix"))
+
+
+#: Every ninth page's URL gets a suffix that is static, or a script's.
+_ODD = F.concat(U, F.element_at(F.array(*[F.lit(x) for x in ("", "/a.png", "/b.js", "/c.CSS", "/d.css#1", "/e.zip&x", "", "", "")]), (_c("page_id") % 9 + 1).cast("int")))
+_ODD_SQL = "url || ['', '/a.png', '/b.js', '/c.CSS', '/d.css#1', '/e.zip&x', '', '', ''][page_id % 9 + 1]"
+
+
+@query(f"SELECT page_id, u AS url, {S.static('u')} AS static FROM (SELECT page_id, {_ODD_SQL} AS u FROM pages)")
+def static_filter(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", _ODD.alias("url")).withColumn("static", url.is_static(U))
+
+
+@query(f"SELECT page_id, u AS url FROM (SELECT page_id, {_ODD_SQL} AS u FROM pages) WHERE NOT {S.static('u', True)}")
+def frontier_static_filter(spark, sf_dir):
+    return filters.without_static(_pages(spark, sf_dir).select("page_id", _ODD.alias("url")), frontier=True)
+
+
+@query(f"SELECT page_id, pos, k AS key, v AS value FROM ({S.params('pages', 'page_id', 'url')})")
+def query_params(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.explode(url.params(url.query(U))).alias("p")).select("page_id", "p.pos", "p.key", "p.value")
+
+
+@query(f"SELECT page_id, coalesce(params, '') AS params FROM pages LEFT JOIN ({S.general_query('pages', 'page_id', 'url')}) USING (page_id)")
+def query_generalise(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.general_query(url.query(U)).alias("params"))
+
+
+@query(f"SELECT page_id, {S.general_path('(' + S.path('url') + ')')} AS path FROM pages")
+def path_generalise(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.general_path(url.path(U)).alias("path"))
+
+
+@query(f"SELECT page_id, seg, {S.integer('seg')} AS number FROM (SELECT page_id, regexp_extract({S.path('url')}, '([^/]*)$', 1) AS seg FROM pages)")
+def is_integer(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.regexp_extract(url.path(U), "([^/]*)$", 1).alias("seg")).withColumn("number", url.is_integer(_c("seg")))
+
+
+@query(S.fingerprints("pages", "page_id", "url", _METHOD))
+def fingerprint(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.fingerprint_key(U, METHOD).alias("k"), url.fingerprint(U, METHOD).alias("fp"))
+
+
+_FIRST = f"SELECT page_id, url, method, fp FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY page_id) AS i FROM ({S.fingerprints(f'(SELECT page_id, url, {_METHOD} AS method FROM pages WHERE NOT ' + S.static(S.no_fragment('url')) + ')', 'page_id', 'url', 'method', 'url, method')}) WHERE fp IS NOT NULL) WHERE i = 1"
+
+
+@query(_FIRST)
+def dedup_first_wins(spark, sf_dir):
+    return dedup.first_wins(_pages(spark, sf_dir).select("page_id", "url", METHOD.alias("method")), "page_id")
+
+
+@query(f"SELECT {S.host('url')} AS host, count(*) AS count FROM ({_FIRST}) GROUP BY 1")
+def dedup_count_by_host(spark, sf_dir):
+    return render.host_report(dedup_first_wins(spark, sf_dir), url.host(U))
+
+
+@query(f"SELECT fp, count(*) AS n, count(DISTINCT method) AS methods FROM ({S.fingerprints(f'(SELECT page_id, url, {_METHOD} AS method FROM pages)', 'page_id', 'url', 'method', 'method')}) GROUP BY fp")
+def dedup_cross_method(spark, sf_dir):
+    p = dedup.with_fingerprint(_pages(spark, sf_dir).select("url", METHOD.alias("method")))
+    return p.groupBy("fp").agg(F.count("*").alias("n"), F.count_distinct("method").alias("methods"))
+
+
+@query(f"SELECT page_id, {S.parent('url')} AS parent, {S.base('url')} AS base, CASE WHEN ends_with({S.path('url')}, '/') THEN {S.scheme('url')} || '://' || {S.host('url')} || {S.path('url')} ELSE {S.scheme('url')} || '://' || {S.host('url')} || '/' END AS snapshot_base FROM pages")
+def base_urls(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.parent_url(U).alias("parent"), url.base_url(U).alias("base"), url.snapshot_base(U).alias("snapshot_base"))
+
+
+@query(f"SELECT page_id, CASE WHEN starts_with(url, '#') OR NOT {S.parseable('url')} THEN '' ELSE regexp_replace(url, '(?s)#.*$', '') END AS absolute, {S.parseable('url')} AND {S.scheme('url')} <> '' AND {S.host('url')} <> '' AS valid, {S.dots('url')} AS dots, regexp_replace(regexp_extract({S.path('url')}, '([^/]*)$', 1), '\\.[^.]*$', '') AS basename FROM pages")
+def url_cleanup(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.absolute_url(U).alias("absolute"), url.is_absolute(U).alias("valid"), url.dot_count(U).cast("bigint").alias("dots"), url.basename(url.path(U)).alias("basename"))
+
+
+@query("SELECT page_id, substr(md5('urlflow' || url), 1, 10) AS token FROM pages")
+def probe_tokens(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", text.probe_token("urlflow", U).alias("token"))
+
+
+@query("SELECT page_id, 'v1.' || page_id AS version, 'v1.' || page_id < 'v1.17' AS older FROM pages")
+def version_compare(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.concat(F.lit("v1."), "page_id").alias("version")).withColumn("older", _c("version") < "v1.17")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def timestamp_format(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.timestamp_text(_c("ts")).alias("at"))
+
+
+# Filters
+
+
+@query(f"SELECT page_id, url FROM pages WHERE contains(url, '{SCOPE}')")
+def scope_contains(spark, sf_dir):
+    return _pages(spark, sf_dir).where(filters.in_scope(U, F.lit(SCOPE))).select("page_id", "url")
+
+
+@query(f"SELECT page_id, url FROM pages WHERE starts_with(url, 'http://{SCOPE}') OR starts_with(url, 'https://{SCOPE}')")
+def scope_prefix(spark, sf_dir):
+    return _pages(spark, sf_dir).where(filters.in_scope_prefix(U, F.lit(SCOPE))).select("page_id", "url")
+
+
+@query(f"SELECT page_id, url FROM pages WHERE url <> '' AND NOT (contains(url, 'http') AND NOT contains(url, '{SCOPE}'))")
+def scope_frontier(spark, sf_dir):
+    return _pages(spark, sf_dir).where(filters.in_frontier_scope(U, F.lit(SCOPE))).select("page_id", "url")
+
+
+@query(f"WITH f AS ({S.fingerprints('pages', 'page_id', 'url', chr(39) + 'GET' + chr(39), 'url')}) SELECT page_id, url FROM f WHERE page_id % 2 = 1 AND fp NOT IN (SELECT fp FROM f WHERE page_id % 2 = 0 AND fp IS NOT NULL)")
+def visited_anti(spark, sf_dir):
+    p = _pages(spark, sf_dir).select("page_id", "url")
+    visited = p.where("page_id % 2 = 0").select(url.fingerprint(U, F.lit("GET")).alias("fp")).distinct()
+    return filters.unvisited(p.where("page_id % 2 = 1"), visited)
+
+
+@query(f"SELECT \"URL\", \"Method\", \"Status\", CASE WHEN \"Method\" = 'POST' THEN \"Data\" ELSE '' END AS \"Data\" FROM {_LOG} l WHERE \"Status\" <> 404 AND (starts_with(\"URL\", 'http://{SCOPE}') OR starts_with(\"URL\", 'https://{SCOPE}')) AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.\"URL\" AND page_id % 5 = 0) AND NOT regexp_matches(decode(from_base64(\"ResponseBody\")), '(?i)not found|页面不存在|<title>404')")
+def request_results(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    out = filters.request_results(_log(p), SCOPE, p.where("page_id % 5 = 0").select("url"), f"https://{SCOPE}/nowhere")
+    return out.select("URL", "Method", "Status", "Data")
+
+
+@query("SELECT page_id, url FROM pages WHERE url <> (SELECT min(url) FROM pages) AND page_id % 5 <> 0")
+def probe_exclusion(spark, sf_dir):
+    p = _pages(spark, sf_dir).select("page_id", "url")
+    soft = p.where("page_id % 5 = 0").select("page_id")
+    return p.join(soft, "page_id", "left_anti").join(p.agg(F.min("url").alias("probe")), U != _c("probe")).select("page_id", "url")
+
+
+@query(f"SELECT page_id, {_STATUS} AS status, {_STATUS} NOT IN (401, 403, 404, 503, 504) AS reachable, {_STATUS} <> 404 AS kept FROM pages")
+def status_filter(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", STATUS.alias("status")).withColumn("reachable", filters.is_reachable(_c("status"))).withColumn("kept", _c("status") != 404)
+
+
+_TYPE = "['Document', 'Font', 'Image', 'Script'][page_id % 4 + 1]"
+
+
+@query(f"SELECT page_id, {_TYPE} AS rtype FROM pages WHERE {_TYPE} NOT IN ('Font', 'Image')")
+def resource_types(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Document", "Font", "Image", "Script")]), (_c("page_id") % 4 + 1).cast("int"))
+    return filters.loaded_types(_pages(spark, sf_dir).select("page_id", kind.alias("rtype")))
+
+
+_MARKED = "html || ['', 'Not FOUND', '<title>404', '页面不存在', '登录 密码', '忘记密码', ''][page_id % 7 + 1]"
+_MARK = F.concat(H, F.element_at(F.array(*[F.lit(x) for x in ("", "Not FOUND", "<title>404", "页面不存在", "登录 密码", "忘记密码", "")]), (_c("page_id") % 7 + 1).cast("int")))
+
+
+@query(f"SELECT page_id, regexp_matches({_MARKED}, '(?i)not found|页面不存在|<title>404') AS not_found FROM pages")
+def not_found_flag(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", text.is_not_found(_MARK).alias("not_found"))
+
+
+@query(f"SELECT page_id, title, contains(title, '404') OR regexp_matches(html, '(?i)not found|页面不存在|<title>404') AS flag FROM (SELECT page_id, h AS html, {S.title('h')} AS title FROM (SELECT page_id, replace({_MARKED}, '<title>', CASE WHEN page_id % 11 = 0 THEN '<title>Error 404 ' ELSE '<title>' END) AS h FROM pages))")
+def title_404_flag(spark, sf_dir):
+    h = F.replace(_MARK, F.lit("<title>"), F.when(_c("page_id") % 11 == 0, "<title>Error 404 ").otherwise("<title>"))
+    return _pages(spark, sf_dir).select("page_id", h.alias("html")).select("page_id", text.title(H).alias("title"), text.is_not_found_titled(H).alias("flag"))
+
+
+@query(f"SELECT page_id, contains(lower(u), '/login') OR contains(t, '登录') OR contains(lower(t), 'login') OR contains(h, '用户登录') OR contains(h, '忘记密码') OR (contains(h, '登录') AND contains(h, '密码')) AS login FROM (SELECT page_id, url || CASE WHEN page_id % 13 = 0 THEN '/LogIn' ELSE '' END AS u, {_MARKED} AS h, {S.title('html')} AS t FROM pages)")
+def login_flag(spark, sf_dir):
+    u = F.concat(U, F.when(_c("page_id") % 13 == 0, "/LogIn").otherwise(""))
+    return _pages(spark, sf_dir).select("page_id", text.is_login_page(u, _MARK).alias("login"))
+
+
+_NODE = "'<' || tag || ' class=' || l || '>' || ['Reset', 'next', '登出', 'home'][page_id % 4 + 1]"
+_NODES = "(SELECT page_id, l, ['a', 'DIV', 'span', 'script', 'li'][page_id % 5 + 1] AS tag FROM (SELECT page_id, unnest(" + S.links("html") + ") AS l FROM pages))"
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (_c("page_id") % len(xs) + 1).cast("int"))
+    n = _pages(spark, sf_dir).select("page_id", F.explode(text.links(H)).alias("l"), pick(("a", "DIV", "span", "script", "li")).alias("tag"))
+    return n.withColumn("node", F.concat(F.lit("<"), "tag", F.lit(" class="), "l", F.lit(">"), pick(("Reset", "next", "登出", "home"))))
+
+
+@query(f"SELECT page_id, n AS node FROM (SELECT page_id, {_NODE} AS n FROM {_NODES}) WHERE NOT (contains(lower(n), 'lougout') OR contains(lower(n), '登出') OR contains(lower(n), 'reset'))")
+def click_blacklist(spark, sf_dir):
+    return _nodes(spark, sf_dir).where(~text.is_blacklisted(_c("node"))).select("page_id", "node")
+
+
+@query(f"SELECT page_id, l, tag FROM {_NODES} WHERE upper(tag) NOT IN ('HTML', 'HEAD', 'META', 'TITLE', 'LINK', 'STYLE', 'IMG', 'DIV', 'SCRIPT')")
+def tag_exclusion(spark, sf_dir):
+    return _nodes(spark, sf_dir).where(~text.is_excluded_tag(_c("tag"))).select("page_id", "l", "tag")
+
+
+# Links
+
+
+@query(f"SELECT page_id, CAST(x.i - 1 AS INTEGER) AS pos, x.l AS link FROM (SELECT page_id, unnest([{{'i': i, 'l': ls[i]}} FOR i IN range(1, len(ls) + 1)]) AS x FROM (SELECT page_id, {S.links('html')} AS ls FROM pages))")
+def links_extract(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.posexplode(text.links(H)).alias("pos", "link"))
+
+
+#: Every page's links, some of them changed to forms that the pages lack.
+_REFS = f"(SELECT page_id, url, CASE (page_id + length(l)) % 8 WHEN 0 THEN ltrim(l, '/') WHEN 1 THEN '/' || l WHEN 2 THEN l || '.js' WHEN 3 THEN 'https://x.y' || l WHEN 4 THEN '../' || ltrim(l, '/') || '?a=1.2.3.4' WHEN 5 THEN 'javascript:' || l WHEN 6 THEN 'r?u=http:' || l ELSE l END AS ref FROM (SELECT page_id, url, unnest({S.links('html')}) AS l FROM pages))"
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir).select("page_id", "url", F.explode(text.links(H)).alias("l"))
+    bare, kind = F.ltrim("l", F.lit("/")), (_c("page_id") + F.length("l")) % 8
+    forms = [bare, F.concat(F.lit("/"), "l"), F.concat("l", F.lit(".js")), F.concat(F.lit("https://x.y"), "l"), F.concat(F.lit("../"), bare, F.lit("?a=1.2.3.4")), F.concat(F.lit("javascript:"), "l"), F.concat(F.lit("r?u=http:"), "l")]
+    ref = F.when(kind == 0, forms[0])
+    for i, f in enumerate(forms[1:], 1):
+        ref = ref.when(kind == i, f)
+    return p.select("page_id", "url", ref.otherwise(_c("l")).alias("ref"))
+
+
+@query(S.resolved(_REFS, "ref", "url", "page_id, url, ref"))
+def links_resolve(spark, sf_dir):
+    return _refs(spark, sf_dir).withColumn("resolved", url.resolve(_c("ref"), U))
+
+
+@query(f"SELECT page_id, count(DISTINCT resolved) AS n, string_agg(DISTINCT resolved, ' ' ORDER BY resolved) AS urls FROM ({S.resolved(_REFS, 'ref', 'url', 'page_id')}) WHERE resolved <> '' GROUP BY page_id")
+def links_distinct(spark, sf_dir):
+    g = _refs(spark, sf_dir).groupBy("page_id", "url").agg(F.collect_list("ref").alias("refs"))
+    r = g.select("page_id", url.resolve_all(_c("refs"), U).alias("r")).where(F.size("r") > 0)
+    return r.select("page_id", F.size("r").cast("bigint").alias("n"), F.array_join(F.array_sort("r"), " ").alias("urls"))
+
+
+@query(f"SELECT page_id, ref, CASE WHEN ref <> '' AND NOT contains(ref, 'javascript') AND ref <> '#' THEN 'emit' ELSE 'click' END AS route FROM {_REFS}")
+def anchor_routing(spark, sf_dir):
+    return _refs(spark, sf_dir).select("page_id", "ref", classify.anchor_route(_c("ref")).alias("route"))
+
+
+@query(f"SELECT page_id, unnest({S.mined('t')}) AS found FROM (SELECT page_id, '<!-- ' || url || '. --> (see www.' || {S.host('url')} || '/a_(b)) ' || {S.host('url')} || '/x, ftp' AS t FROM pages)")
+def url_mining(spark, sf_dir):
+    h = url.host(U)
+    t = F.concat(F.lit("<!-- "), U, F.lit(". --> (see www."), h, F.lit("/a_(b)) "), h, F.lit("/x, ftp"))
+    return _pages(spark, sf_dir).select("page_id", F.explode(mining.mine_urls(t)).alias("found"))
+
+
+@query()
+def html_links_exact(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.posexplode(html.extract_links(H, url.snapshot_base(U))).alias("pos", "link"))
+
+
+@query()
+def links_rfc3986(spark, sf_dir):
+    return _refs(spark, sf_dir).withColumn("resolved", html.resolve_rfc3986(_c("ref"), U))
+
+
+# Similarity
+
+
+_TERMS = f"(SELECT page_id, unnest({S.terms('html')}) AS term FROM pages)"
+
+
+@query(f"SELECT page_id, term FROM {_TERMS}")
+def text_terms(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.explode(text.text_terms(H)).alias("term"))
+
+
+@query(f"SELECT page_id, term, count(*) AS tf FROM {_TERMS} GROUP BY ALL")
+def term_counts(spark, sf_dir):
+    return similarity.term_counts(_pages(spark, sf_dir))
+
+
+_COS = f"""WITH tf AS (SELECT page_id, term, count(*) AS tf FROM {_TERMS} GROUP BY ALL), h AS (SELECT page_id, {S.host('url')} AS g FROM pages), b AS (SELECT g, min(page_id) AS b FROM h GROUP BY g),
+    n AS (SELECT page_id, sum(tf * tf) AS n FROM tf GROUP BY 1), p AS (SELECT h.page_id AS a, b.b FROM h JOIN b USING (g)),
+    d AS (SELECT p.a, p.b, sum(x.tf * y.tf) AS dot FROM p JOIN tf x ON x.page_id = p.a JOIN tf y ON y.page_id = p.b AND y.term = x.term GROUP BY ALL)
+    SELECT p.a, p.b, round(coalesce(d.dot / (sqrt(na.n) * sqrt(nb.n)), 0), 6) AS cos FROM p LEFT JOIN d USING (a, b) LEFT JOIN n na ON na.page_id = p.a LEFT JOIN n nb ON nb.page_id = p.b"""
+
+
+@query(_COS)
+def cosine_to_baseline(spark, sf_dir):
+    return similarity.to_baseline(_pages(spark, sf_dir), url.host(U))
+
+
+@query(f"SELECT a, b, cos FROM ({_COS}) WHERE cos > 0.95")
+def soft_404(spark, sf_dir):
+    return similarity.soft_404(_pages(spark, sf_dir), url.host(U))
+
+
+@query()
+def html_vector_exact(spark, sf_dir):
+    return similarity.term_counts(_pages(spark, sf_dir), terms=html.vector_terms(H))
+
+
+# robots.txt and site maps, made of each host's pages
+
+
+_HOSTS = f"(SELECT {S.scheme('url')} || '://' || {S.host('url')} AS site, {S.path('url')} AS p, url, page_id FROM pages)"
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.when(_c("page_id") % 3 == 0, "Allow: ").when(_c("page_id") % 3 == 1, "Disallow: ").otherwise("# Allow: "), url.path(U), F.when(_c("page_id") % 4 == 0, "#x").otherwise(""))
+    p = _pages(spark, sf_dir).select(F.concat(url.scheme(U), F.lit("://"), url.host(U)).alias("site"), "page_id", line.alias("line"))
+    g = p.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"]).alias("lines"))
+    return g.select(F.concat("site", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\n"), F.array_join("lines", "\n"), F.lit("\nSitemap: /s.xml")).alias("body"))
+
+
+_RULES = f"SELECT site || '/robots.txt' AS url, site || CASE WHEN starts_with(p, '/') THEN '' ELSE '/' END || p AS rule FROM {_HOSTS} WHERE page_id % 3 < 2"
+
+
+@query(_RULES)
+def robots_rules(spark, sf_dir):
+    return metadata.robots_rules(_robots(spark, sf_dir)).select("url", "rule")
+
+
+def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loc = F.concat(F.when(_c("page_id") % 5 == 0, "<sitemap><loc>\n\t").otherwise("<url><loc>"), F.replace(U, F.lit("&"), F.lit("&amp;")), F.when(_c("page_id") % 5 == 0, "\n</loc></sitemap>").otherwise("</loc></url>"))
+    g = _pages(spark, sf_dir).select(F.concat(url.scheme(U), F.lit("://"), url.host(U)).alias("site"), loc.alias("loc")).groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("loc")), "").alias("locs"))
+    return g.select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "locs", F.lit("</urlset>")).alias("body"))
+
+
+_LOCS = f"SELECT site || '/sitemap.xml' AS url, url AS loc FROM {_HOSTS}"
+
+
+@query(_LOCS)
+def sitemap_urls(spark, sf_dir):
+    return metadata.sitemap_urls(_sitemaps(spark, sf_dir)).select("url", "loc")
+
+
+@query(f"SELECT replace(url, '/robots.txt', '') AS target, rule AS url FROM ({_RULES}) UNION ALL SELECT replace(url, '/sitemap.xml', ''), loc FROM ({_LOCS})")
+def metadata_union(spark, sf_dir):
+    m = metadata.metadata(_robots(spark, sf_dir), _sitemaps(spark, sf_dir))
+    return m.select(F.regexp_replace("target", "/(robots[.]txt|sitemap[.]xml)$", "").alias("target"), "url")
+
+
+@query(f"SELECT url FROM (SELECT rule AS url FROM ({_RULES}) UNION SELECT loc FROM ({_LOCS}))")
+def metadata_distinct(spark, sf_dir):
+    return metadata_union(spark, sf_dir).select("url").distinct()
+
+
+# Frontier
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p, root = _pages(spark, sf_dir), F.concat(url.scheme(U), F.lit("://"), url.host(U))
+    out = p.select("url", root.alias("root"), F.explode(text.links(H)).alias("l")).select(U.alias("src"), F.concat("root", "l").alias("dst"))
+    return p.select(root.alias("url")), p.select(root.alias("src"), U.alias("dst")).union(out).distinct()
+
+
+def _bfs(depth: int) -> str:
+    root = f"{S.scheme('url')} || '://' || {S.host('url')}"
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT {root} AS src, url AS dst FROM pages UNION SELECT url, root || l FROM (SELECT url, {root} AS root, unnest({S.links('html')}) AS l FROM pages)),
+        r AS (SELECT DISTINCT {root} AS url, 0 AS depth FROM pages UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < {depth}) SELECT url, min(depth) AS depth FROM r GROUP BY url"""
+
+
+@query(_bfs(5))
+def frontier_bfs(spark, sf_dir):
+    return frontier.expand(*_edges(spark, sf_dir), max_depth=5)
+
+
+@query(_bfs(1))
+def frontier_depth_limit(spark, sf_dir):
+    return frontier.expand(*_edges(spark, sf_dir), max_depth=1)
+
+
+@query(f"SELECT replace(url, '/robots.txt', '') AS \"SourceUrl\", rule AS \"Url\", 'metadata parse' AS \"SourceType\", 0 AS \"Depth\" FROM ({_RULES}) UNION ALL SELECT site, site, 'homePage', 0 FROM (SELECT DISTINCT site FROM {_HOSTS}) UNION ALL SELECT site, site || '/' || substr(md5('urlflow' || site), 1, 10), '404', 0 FROM (SELECT DISTINCT site FROM {_HOSTS})")
+def frontier_seeds(spark, sf_dir):
+    sites = _edges(spark, sf_dir)[0].distinct()
+    rules = metadata.robots_rules(_robots(spark, sf_dir)).select(F.replace(U, F.lit("/robots.txt"), F.lit("")).alias("target"), F.col("rule").alias("url"))
+    return frontier.seeds(sites, rules).select("SourceUrl", "Url", "SourceType", "Depth")
+
+
+# Forms
+
+
+_INPUTS = [("text", "name or mail"), ("email", "anything"), ("password", "Your PassWord 密码"), ("tel", "x"), ("text", "手机"), (None, "user"), ("text", None)]
+_TAGS = [f"<input{'' if t is None else f' type={chr(34)}{t}{chr(34)}'}{'' if p is None else f' placeholder={chr(34)}{p}{chr(34)}'} name={chr(34)}f{chr(34)}>" for t, p in _INPUTS]
+_FIELDS = "(SELECT page_id, f.t AS type, f.p AS placeholder FROM (SELECT page_id, [" + ", ".join(f"{{'t': {'NULL' if t is None else S.lit(t)}, 'p': {'NULL' if p is None else S.lit(p)}}}" for t, p in _INPUTS) + f"][page_id % {len(_INPUTS)} + 1] AS f FROM pages) WHERE f.t IS NOT NULL AND f.p IS NOT NULL)"
+
+
+def _role(role: str) -> str:
+    words, kind = classify.KEYWORDS[role], "password" if role == "password" else "text"
+    own = {"email": "email", "phone": "tel"}.get(role)
+    found = "[w FOR w IN [" + ", ".join(S.lit(w) for w in words) + "] IF contains(lower(placeholder), w)]"
+    return f"SELECT page_id, '{role}' AS role, type, placeholder, unnest(CASE WHEN type = '{own}' THEN [''] WHEN type = '{kind}' THEN {found} END) AS keyword FROM {_FIELDS}"
+
+
+@query(" UNION ALL ".join(_role(r) for r in classify.KEYWORDS))
+def login_inputs(spark, sf_dir):
+    tag = F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (_c("page_id") % len(_TAGS) + 1).cast("int"))
+    fields = classify.inputs(_pages(spark, sf_dir).select("page_id", F.concat(H, tag).alias("html")))
+    return classify.login_inputs(fields).select("page_id", "role", "type", "placeholder", "keyword")
+
+
+_BUTTON = "['submit', 'button', 'button'][page_id % 3 + 1]"
+_LABEL = "['Go', 'LOGIN 登录', 'Back'][page_id % 3 + 1]"
+
+
+@query(f"SELECT page_id, {_BUTTON} AS type, unnest(CASE WHEN {_BUTTON} = 'submit' THEN [''] ELSE [w FOR w IN ['login', '提交', '登录'] IF contains(lower({_LABEL}), w)] END) AS keyword FROM pages")
+def submit_buttons(spark, sf_dir):
+    b = F.element_at(F.array(*[F.lit(f'<button type="{t}">{x}</button>') for t, x in (("submit", "Go"), ("button", "LOGIN 登录"), ("button", "Back"))]), (_c("page_id") % 3 + 1).cast("int"))
+    return classify.submit_buttons(_pages(spark, sf_dir).select("page_id", F.concat(H, b).alias("html"))).select("page_id", "type", "keyword")
+
+
+# Reports
+
+
+@query(f"SELECT {S.host('url')} AS host, count(*) AS count FROM pages GROUP BY 1")
+def host_report(spark, sf_dir):
+    return render.host_report(_pages(spark, sf_dir), url.host(U))
+
+
+@query(f"SELECT {S.host('url')} AS host, count(*) AS count, string_agg(page_id || ' ' || url, ',' ORDER BY page_id) AS results FROM pages GROUP BY 1")
+def report_envelope(spark, sf_dir):
+    e = render.envelope(_pages(spark, sf_dir).select("page_id", "url"), url.host(U), "page_id")
+    return e.withColumn("results", F.array_join(F.transform("results", lambda r: F.concat_ws(" ", r["page_id"], r["url"])), ","))
+
+
+@query(f"SELECT '[' || {_METHOD} || ']' || url AS line FROM pages")
+def txt_render(spark, sf_dir):
+    return _pages(spark, sf_dir).select(render.text_line(METHOD, U).alias("line"))
+
+
+@query(f"SELECT replace(replace(replace('{{\"url\":' || CAST(to_json(url) AS VARCHAR) || ',\"status\":' || {_STATUS} || '}}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS line FROM pages")
+def json_render(spark, sf_dir):
+    return _pages(spark, sf_dir).select("url", STATUS.alias("status")).select(render.json_line("url", "status").alias("line"))
+
+
+@query(f'SELECT "URL", "Method", "Host", "Data", "Status" FROM {_LOG}')
+def norrs_projection(spark, sf_dir):
+    return render.without_bodies(_log(_pages(spark, sf_dir)))
+
+
+@query("SELECT page_id, to_base64(encode(html)) AS body FROM pages")
+def base64_body(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", text.base64_text(H).alias("body"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'id=' || page_id END AS data FROM pages")
+def post_data(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.when(METHOD == "POST", F.concat(F.lit("id="), "page_id")).otherwise("").alias("data"))
+
+
+@query("SELECT conv_id, upper(role[1]) || role[2:] || '-Text' AS name, string_agg(text, chr(1) ORDER BY turn) AS \"values\" FROM (SELECT conv_id, turn, role::VARCHAR AS role, text FROM conversations) GROUP BY ALL")
+def header_multimap(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    pairs = F.transform("t", lambda x: F.struct(F.concat(x["role"], F.lit("-TEXT")).alias("name"), x["text"].alias("value")))
+    m = c.select("conv_id", F.explode(text.headers_map(pairs)).alias("name", "v"))
+    return m.select("conv_id", "name", F.array_join("v", "\x01").alias("values"))
+
+
+# Sinks and sources
+
+
+def _scratch(spark: SparkSession, name: str, suffix: str) -> str:
+    """A report file of the driver below the shared folder, which has to be a mounted file system for this."""
+    local = (new_path(spark, name) + suffix).removeprefix("file://")
+    if "://" in local:
+        raise ValueError("report files are written below spark.checkpoint.dir, which is no mounted file system")
+    Path(local).parent.mkdir(parents=True, exist_ok=True)
+    return local
+
+
+@query(f'SELECT "URL", "Method", "Host", "Data", "Status", "ResponseBody", "RequestStr" FROM {_LOG}')
+def json_roundtrip(spark, sf_dir):
+    log = _log(_pages(spark, sf_dir))
+    at = new_path(spark, "json")
+    sink_files.write_table(log, at, "json", "overwrite")
+    return spark.read.schema(REQUEST_LOG).json(at).select(*log.columns)
+
+
+@query(f'SELECT "URL", "Method", "Host", "Data", "Status" FROM {_LOG}')
+def merge_append(spark, sf_dir):
+    """Two runs' results in one store; duplicates of the runs are kept."""
+    log, at = render.without_bodies(_log(_pages(spark, sf_dir))), new_path(spark, "merged")
+    for half in (0, 1):
+        sink_files.write_table(log.where(F.pmod(F.hash("URL"), F.lit(2)) == half), at, "json", "append")
+    return spark.read.schema(REQUEST_LOG).json(at).select(*log.columns)
+
+
+@query('SELECT "Method" AS method, "URL" AS url, "Data" AS data, CAST("Status" AS VARCHAR) AS status FROM ' + _LOG)
+def xlsx_roundtrip(spark, sf_dir):
+    log, at = render.without_bodies(_log(_pages(spark, sf_dir))), _scratch(spark, "report", ".xlsx")
+    sink_files.write_xlsx(log.where(F.pmod(F.hash("URL"), F.lit(2)) == 0), at)
+    sink_files.write_xlsx(log.where(F.pmod(F.hash("URL"), F.lit(2)) == 1), at, append=True)
+    return files.xlsx(spark, at)
+
+
+@query()
+def html_report(spark, sf_dir):
+    log, at = render.without_bodies(_log(_pages(spark, sf_dir))), _scratch(spark, "report", ".html")
+    sink_files.write_html(log.orderBy("URL"), at, "all hosts")
+    return spark.createDataFrame([(i, line) for i, line in enumerate(Path(at).read_text(encoding="utf-8").splitlines())], "line_no int, line string")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS BIGINT) AS pos, url AS target FROM pages")
+def target_list(spark, sf_dir):
+    at = _scratch(spark, "targets", ".txt")
+    with open(at, "w", encoding="utf-8") as f:
+        f.writelines(r["url"] + "\n" for r in _pages(spark, sf_dir).select("page_id", "url").orderBy("page_id").toLocalIterator())
+    return files.targets(spark, file=f"file://{at}")
+
+
+# Streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.read_stream(spark, f"{sf_dir}/pages*.parquet", PAGES).select("page_id", "url", METHOD.alias("method"))
+
+
+@query(f"SELECT DISTINCT fp FROM ({_FIRST})")
+def stream_dedup(spark, sf_dir):
+    return pipeline.run_to_table(pipeline.distinct_requests(_stream(spark, sf_dir)).select("fp"), "stream-dedup")
+
+
+@query(f"SELECT replace(replace(replace('{{\"url\":' || CAST(to_json(url) AS VARCHAR) || ',\"method\":\"' || {_METHOD} || '\"}}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS line FROM pages")
+def stream_quiet(spark, sf_dir):
+    return pipeline.run_to_table(_stream(spark, sf_dir).select(render.json_line("url", "method").alias("line")), "stream-quiet")
+
+
+@query("SELECT count(*) AS pages FROM pages")
+def tab_count(spark, sf_dir):
+    return _pages(spark, sf_dir).agg(F.count("*").alias("pages"))
