@@ -16,7 +16,7 @@ CONTROL = r"[\x00-\x1f\x7f]"
 BAD_HOST = r"[ <>\"]|:[^0-9:\]]+$"
 
 _KINDS = {
-    "archive": "zip rar tar gz gz2 bz2 cab apk exe dmg iso bin dat crt",
+    "archive": "dll zip rar tar gz gz2 bz2 cab apk exe dmg iso bin dat crt",
     "font": "woff2 woff ttf otf",
     "image": "png jpg jpeg gif bmp webp svg ico tiff tif psp pct mng drw ai eps dxf ps pst qt",
     "sound": "mp3 wav wma ogg aac aiff m4a mid au ra",

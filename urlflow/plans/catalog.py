@@ -45,17 +45,35 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-U, H = _c("url"), _c("html")
-METHOD = F.when(_c("page_id") % 2 == 0, "GET").otherwise("POST")
-STATUS = F.element_at(F.array(*[F.lit(x) for x in (200, 301, 404, 403, 503, 500, 401, 504)]), (_c("page_id") % 8 + 1).cast("int"))
+def _u() -> Column:
+    return F.col("url")
+
+
+def _h() -> Column:
+    return F.col("html")
+
+
+def _pick(*values: str | int) -> Column:
+    """One of the values, by page_id."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (_c("page_id") % len(values) + 1).cast("int"))
+
+
+def _method() -> Column:
+    return F.when(_c("page_id") % 2 == 0, "GET").otherwise("POST")
+
+
+def _status() -> Column:
+    return _pick(200, 301, 404, 403, 503, 500, 401, 504)
+
+
 _METHOD = "CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END"
 _STATUS = "[200, 301, 404, 403, 503, 500, 401, 504][page_id % 8 + 1]"
-SCOPE = "blog.tionsh.example.com"
+SCOPE = "blog."
 
 
 def _log(p: DataFrame) -> DataFrame:
     """Pages as exchanges."""
-    return p.select(U.alias("URL"), METHOD.alias("Method"), url.host(U).alias("Host"), F.concat(F.lit("id="), _c("page_id")).alias("Data"), STATUS.alias("Status"), text.base64_text(H).alias("ResponseBody"), text.base64_text(F.concat(METHOD, F.lit(" "), U)).alias("RequestStr"))
+    return p.select(_u().alias("URL"), _method().alias("Method"), url.host(_u()).alias("Host"), F.concat(F.lit("id="), _c("page_id")).alias("Data"), _status().alias("Status"), text.base64_text(_h()).alias("ResponseBody"), text.base64_text(F.concat(_method(), F.lit(" "), _u())).alias("RequestStr"))
 
 
 _LOG = f"(SELECT url AS \"URL\", {_METHOD} AS \"Method\", {S.host('url')} AS \"Host\", 'id=' || page_id AS \"Data\", {_STATUS} AS \"Status\", to_base64(encode(html)) AS \"ResponseBody\", to_base64(encode({_METHOD} || ' ' || url)) AS \"RequestStr\" FROM pages)"
@@ -66,52 +84,55 @@ _LOG = f"(SELECT url AS \"URL\", {_METHOD} AS \"Method\", {S.host('url')} AS \"H
 
 @query(f"SELECT page_id, {S.scheme('url')} AS scheme, {S.host('url')} AS host, {S.path('url')} AS path, {S.query('url')} AS query, {S.fragment('url')} AS fragment FROM pages")
 def url_parts(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.scheme(U).alias("scheme"), url.host(U).alias("host"), url.path(U).alias("path"), url.query(U).alias("query"), url.fragment(U).alias("fragment"))
+    return _pages(spark, sf_dir).select("page_id", url.scheme(_u()).alias("scheme"), url.host(_u()).alias("host"), url.path(_u()).alias("path"), url.query(_u()).alias("query"), url.fragment(_u()).alias("fragment"))
 
 
 @query(f"SELECT page_id, {S.suffix('url')} AS suffix FROM pages")
 def url_suffix(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.suffix(U).alias("suffix"))
+    return _pages(spark, sf_dir).select("page_id", url.suffix(_u()).alias("suffix"))
 
 
 #: Every ninth page's URL gets a suffix that is static, or a script's.
-_ODD = F.concat(U, F.element_at(F.array(*[F.lit(x) for x in ("", "/a.png", "/b.js", "/c.CSS", "/d.css#1", "/e.zip&x", "", "", "")]), (_c("page_id") % 9 + 1).cast("int")))
+def _odd() -> Column:
+    return F.concat(_u(), _pick("", "/a.png", "/b.js", "/c.CSS", "/d.css#1", "/e.zip&x", "", "", ""))
+
+
 _ODD_SQL = "url || ['', '/a.png', '/b.js', '/c.CSS', '/d.css#1', '/e.zip&x', '', '', ''][page_id % 9 + 1]"
 
 
 @query(f"SELECT page_id, u AS url, {S.static('u')} AS static FROM (SELECT page_id, {_ODD_SQL} AS u FROM pages)")
 def static_filter(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", _ODD.alias("url")).withColumn("static", url.is_static(U))
+    return _pages(spark, sf_dir).select("page_id", _odd().alias("url")).withColumn("static", url.is_static(_u()))
 
 
 @query(f"SELECT page_id, u AS url FROM (SELECT page_id, {_ODD_SQL} AS u FROM pages) WHERE NOT {S.static('u', True)}")
 def frontier_static_filter(spark, sf_dir):
-    return filters.without_static(_pages(spark, sf_dir).select("page_id", _ODD.alias("url")), frontier=True)
+    return filters.without_static(_pages(spark, sf_dir).select("page_id", _odd().alias("url")), frontier=True)
 
 
 @query(f"SELECT page_id, pos, k AS key, v AS value FROM ({S.params('pages', 'page_id', 'url')})")
 def query_params(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.explode(url.params(url.query(U))).alias("p")).select("page_id", "p.pos", "p.key", "p.value")
+    return _pages(spark, sf_dir).select("page_id", F.explode(url.params(url.query(_u()))).alias("p")).select("page_id", "p.pos", "p.key", "p.value")
 
 
 @query(f"SELECT page_id, coalesce(params, '') AS params FROM pages LEFT JOIN ({S.general_query('pages', 'page_id', 'url')}) USING (page_id)")
 def query_generalise(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.general_query(url.query(U)).alias("params"))
+    return _pages(spark, sf_dir).select("page_id", url.general_query(url.query(_u())).alias("params"))
 
 
 @query(f"SELECT page_id, {S.general_path('(' + S.path('url') + ')')} AS path FROM pages")
 def path_generalise(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.general_path(url.path(U)).alias("path"))
+    return _pages(spark, sf_dir).select("page_id", url.general_path(url.path(_u())).alias("path"))
 
 
 @query(f"SELECT page_id, seg, {S.integer('seg')} AS number FROM (SELECT page_id, regexp_extract({S.path('url')}, '([^/]*)$', 1) AS seg FROM pages)")
 def is_integer(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.regexp_extract(url.path(U), "([^/]*)$", 1).alias("seg")).withColumn("number", url.is_integer(_c("seg")))
+    return _pages(spark, sf_dir).select("page_id", F.regexp_extract(url.path(_u()), "([^/]*)$", 1).alias("seg")).withColumn("number", url.is_integer(_c("seg")))
 
 
 @query(S.fingerprints("pages", "page_id", "url", _METHOD))
 def fingerprint(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.fingerprint_key(U, METHOD).alias("k"), url.fingerprint(U, METHOD).alias("fp"))
+    return _pages(spark, sf_dir).select("page_id", url.fingerprint_key(_u(), _method()).alias("k"), url.fingerprint(_u(), _method()).alias("fp"))
 
 
 _FIRST = f"SELECT page_id, url, method, fp FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY page_id) AS i FROM ({S.fingerprints(f'(SELECT page_id, url, {_METHOD} AS method FROM pages WHERE NOT ' + S.static(S.no_fragment('url')) + ')', 'page_id', 'url', 'method', 'url, method')}) WHERE fp IS NOT NULL) WHERE i = 1"
@@ -119,33 +140,33 @@ _FIRST = f"SELECT page_id, url, method, fp FROM (SELECT *, row_number() OVER (PA
 
 @query(_FIRST)
 def dedup_first_wins(spark, sf_dir):
-    return dedup.first_wins(_pages(spark, sf_dir).select("page_id", "url", METHOD.alias("method")), "page_id")
+    return dedup.first_wins(_pages(spark, sf_dir).select("page_id", "url", _method().alias("method")), "page_id")
 
 
 @query(f"SELECT {S.host('url')} AS host, count(*) AS count FROM ({_FIRST}) GROUP BY 1")
 def dedup_count_by_host(spark, sf_dir):
-    return render.host_report(dedup_first_wins(spark, sf_dir), url.host(U))
+    return render.host_report(dedup_first_wins(spark, sf_dir), url.host(_u()))
 
 
 @query(f"SELECT fp, count(*) AS n, count(DISTINCT method) AS methods FROM ({S.fingerprints(f'(SELECT page_id, url, {_METHOD} AS method FROM pages)', 'page_id', 'url', 'method', 'method')}) GROUP BY fp")
 def dedup_cross_method(spark, sf_dir):
-    p = dedup.with_fingerprint(_pages(spark, sf_dir).select("url", METHOD.alias("method")))
+    p = dedup.with_fingerprint(_pages(spark, sf_dir).select("url", _method().alias("method")))
     return p.groupBy("fp").agg(F.count("*").alias("n"), F.count_distinct("method").alias("methods"))
 
 
 @query(f"SELECT page_id, {S.parent('url')} AS parent, {S.base('url')} AS base, CASE WHEN ends_with({S.path('url')}, '/') THEN {S.scheme('url')} || '://' || {S.host('url')} || {S.path('url')} ELSE {S.scheme('url')} || '://' || {S.host('url')} || '/' END AS snapshot_base FROM pages")
 def base_urls(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.parent_url(U).alias("parent"), url.base_url(U).alias("base"), url.snapshot_base(U).alias("snapshot_base"))
+    return _pages(spark, sf_dir).select("page_id", url.parent_url(_u()).alias("parent"), url.base_url(_u()).alias("base"), url.snapshot_base(_u()).alias("snapshot_base"))
 
 
 @query(f"SELECT page_id, CASE WHEN starts_with(url, '#') OR NOT {S.parseable('url')} THEN '' ELSE regexp_replace(url, '(?s)#.*$', '') END AS absolute, {S.parseable('url')} AND {S.scheme('url')} <> '' AND {S.host('url')} <> '' AS valid, {S.dots('url')} AS dots, regexp_replace(regexp_extract({S.path('url')}, '([^/]*)$', 1), '\\.[^.]*$', '') AS basename FROM pages")
 def url_cleanup(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.absolute_url(U).alias("absolute"), url.is_absolute(U).alias("valid"), url.dot_count(U).cast("bigint").alias("dots"), url.basename(url.path(U)).alias("basename"))
+    return _pages(spark, sf_dir).select("page_id", url.absolute_url(_u()).alias("absolute"), url.is_absolute(_u()).alias("valid"), url.dot_count(_u()).cast("bigint").alias("dots"), url.basename(url.path(_u())).alias("basename"))
 
 
 @query("SELECT page_id, substr(md5('urlflow' || url), 1, 10) AS token FROM pages")
 def probe_tokens(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", text.probe_token("urlflow", U).alias("token"))
+    return _pages(spark, sf_dir).select("page_id", text.probe_token("urlflow", _u()).alias("token"))
 
 
 @query("SELECT page_id, 'v1.' || page_id AS version, 'v1.' || page_id < 'v1.17' AS older FROM pages")
@@ -163,23 +184,23 @@ def timestamp_format(spark, sf_dir):
 
 @query(f"SELECT page_id, url FROM pages WHERE contains(url, '{SCOPE}')")
 def scope_contains(spark, sf_dir):
-    return _pages(spark, sf_dir).where(filters.in_scope(U, F.lit(SCOPE))).select("page_id", "url")
+    return _pages(spark, sf_dir).where(filters.in_scope(_u(), F.lit(SCOPE))).select("page_id", "url")
 
 
 @query(f"SELECT page_id, url FROM pages WHERE starts_with(url, 'http://{SCOPE}') OR starts_with(url, 'https://{SCOPE}')")
 def scope_prefix(spark, sf_dir):
-    return _pages(spark, sf_dir).where(filters.in_scope_prefix(U, F.lit(SCOPE))).select("page_id", "url")
+    return _pages(spark, sf_dir).where(filters.in_scope_prefix(_u(), F.lit(SCOPE))).select("page_id", "url")
 
 
 @query(f"SELECT page_id, url FROM pages WHERE url <> '' AND NOT (contains(url, 'http') AND NOT contains(url, '{SCOPE}'))")
 def scope_frontier(spark, sf_dir):
-    return _pages(spark, sf_dir).where(filters.in_frontier_scope(U, F.lit(SCOPE))).select("page_id", "url")
+    return _pages(spark, sf_dir).where(filters.in_frontier_scope(_u(), F.lit(SCOPE))).select("page_id", "url")
 
 
 @query(f"WITH f AS ({S.fingerprints('pages', 'page_id', 'url', chr(39) + 'GET' + chr(39), 'url')}) SELECT page_id, url FROM f WHERE page_id % 2 = 1 AND fp NOT IN (SELECT fp FROM f WHERE page_id % 2 = 0 AND fp IS NOT NULL)")
 def visited_anti(spark, sf_dir):
     p = _pages(spark, sf_dir).select("page_id", "url")
-    visited = p.where("page_id % 2 = 0").select(url.fingerprint(U, F.lit("GET")).alias("fp")).distinct()
+    visited = p.where("page_id % 2 = 0").select(url.fingerprint(_u(), F.lit("GET")).alias("fp")).distinct()
     return filters.unvisited(p.where("page_id % 2 = 1"), visited)
 
 
@@ -194,12 +215,12 @@ def request_results(spark, sf_dir):
 def probe_exclusion(spark, sf_dir):
     p = _pages(spark, sf_dir).select("page_id", "url")
     soft = p.where("page_id % 5 = 0").select("page_id")
-    return p.join(soft, "page_id", "left_anti").join(p.agg(F.min("url").alias("probe")), U != _c("probe")).select("page_id", "url")
+    return p.join(soft, "page_id", "left_anti").join(p.agg(F.min("url").alias("probe")), _u() != _c("probe")).select("page_id", "url")
 
 
 @query(f"SELECT page_id, {_STATUS} AS status, {_STATUS} NOT IN (401, 403, 404, 503, 504) AS reachable, {_STATUS} <> 404 AS kept FROM pages")
 def status_filter(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", STATUS.alias("status")).withColumn("reachable", filters.is_reachable(_c("status"))).withColumn("kept", _c("status") != 404)
+    return _pages(spark, sf_dir).select("page_id", _status().alias("status")).withColumn("reachable", filters.is_reachable(_c("status"))).withColumn("kept", _c("status") != 404)
 
 
 _TYPE = "['Document', 'Font', 'Image', 'Script'][page_id % 4 + 1]"
@@ -212,24 +233,27 @@ def resource_types(spark, sf_dir):
 
 
 _MARKED = "html || ['', 'Not FOUND', '<title>404', '页面不存在', '登录 密码', '忘记密码', ''][page_id % 7 + 1]"
-_MARK = F.concat(H, F.element_at(F.array(*[F.lit(x) for x in ("", "Not FOUND", "<title>404", "页面不存在", "登录 密码", "忘记密码", "")]), (_c("page_id") % 7 + 1).cast("int")))
+
+
+def _mark() -> Column:
+    return F.concat(_h(), _pick("", "Not FOUND", "<title>404", "页面不存在", "登录 密码", "忘记密码", ""))
 
 
 @query(f"SELECT page_id, regexp_matches({_MARKED}, '(?i)not found|页面不存在|<title>404') AS not_found FROM pages")
 def not_found_flag(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", text.is_not_found(_MARK).alias("not_found"))
+    return _pages(spark, sf_dir).select("page_id", text.is_not_found(_mark()).alias("not_found"))
 
 
 @query(f"SELECT page_id, title, contains(title, '404') OR regexp_matches(html, '(?i)not found|页面不存在|<title>404') AS flag FROM (SELECT page_id, h AS html, {S.title('h')} AS title FROM (SELECT page_id, replace({_MARKED}, '<title>', CASE WHEN page_id % 11 = 0 THEN '<title>Error 404 ' ELSE '<title>' END) AS h FROM pages))")
 def title_404_flag(spark, sf_dir):
-    h = F.replace(_MARK, F.lit("<title>"), F.when(_c("page_id") % 11 == 0, "<title>Error 404 ").otherwise("<title>"))
-    return _pages(spark, sf_dir).select("page_id", h.alias("html")).select("page_id", text.title(H).alias("title"), text.is_not_found_titled(H).alias("flag"))
+    h = F.replace(_mark(), F.lit("<title>"), F.when(_c("page_id") % 11 == 0, "<title>Error 404 ").otherwise("<title>"))
+    return _pages(spark, sf_dir).select("page_id", h.alias("html")).select("page_id", text.title(_h()).alias("title"), text.is_not_found_titled(_h()).alias("flag"))
 
 
 @query(f"SELECT page_id, contains(lower(u), '/login') OR contains(t, '登录') OR contains(lower(t), 'login') OR contains(h, '用户登录') OR contains(h, '忘记密码') OR (contains(h, '登录') AND contains(h, '密码')) AS login FROM (SELECT page_id, url || CASE WHEN page_id % 13 = 0 THEN '/LogIn' ELSE '' END AS u, {_MARKED} AS h, {S.title('html')} AS t FROM pages)")
 def login_flag(spark, sf_dir):
-    u = F.concat(U, F.when(_c("page_id") % 13 == 0, "/LogIn").otherwise(""))
-    return _pages(spark, sf_dir).select("page_id", text.is_login_page(u, _MARK).alias("login"))
+    u = F.concat(_u(), F.when(_c("page_id") % 13 == 0, "/LogIn").otherwise(""))
+    return _pages(spark, sf_dir).select("page_id", text.is_login_page(u, _mark()).alias("login"))
 
 
 _NODE = "'<' || tag || ' class=' || l || '>' || ['Reset', 'next', '登出', 'home'][page_id % 4 + 1]"
@@ -238,7 +262,7 @@ _NODES = "(SELECT page_id, l, ['a', 'DIV', 'span', 'script', 'li'][page_id % 5 +
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (_c("page_id") % len(xs) + 1).cast("int"))
-    n = _pages(spark, sf_dir).select("page_id", F.explode(text.links(H)).alias("l"), pick(("a", "DIV", "span", "script", "li")).alias("tag"))
+    n = _pages(spark, sf_dir).select("page_id", F.explode(text.links(_h())).alias("l"), pick(("a", "DIV", "span", "script", "li")).alias("tag"))
     return n.withColumn("node", F.concat(F.lit("<"), "tag", F.lit(" class="), "l", F.lit(">"), pick(("Reset", "next", "登出", "home"))))
 
 
@@ -257,7 +281,7 @@ def tag_exclusion(spark, sf_dir):
 
 @query(f"SELECT page_id, CAST(x.i - 1 AS INTEGER) AS pos, x.l AS link FROM (SELECT page_id, unnest([{{'i': i, 'l': ls[i]}} FOR i IN range(1, len(ls) + 1)]) AS x FROM (SELECT page_id, {S.links('html')} AS ls FROM pages))")
 def links_extract(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.posexplode(text.links(H)).alias("pos", "link"))
+    return _pages(spark, sf_dir).select("page_id", F.posexplode(text.links(_h())).alias("pos", "link"))
 
 
 #: Every page's links, some of them changed to forms that the pages lack.
@@ -265,7 +289,7 @@ _REFS = f"(SELECT page_id, url, CASE (page_id + length(l)) % 8 WHEN 0 THEN ltrim
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pages(spark, sf_dir).select("page_id", "url", F.explode(text.links(H)).alias("l"))
+    p = _pages(spark, sf_dir).select("page_id", "url", F.explode(text.links(_h())).alias("l"))
     bare, kind = F.ltrim("l", F.lit("/")), (_c("page_id") + F.length("l")) % 8
     forms = [bare, F.concat(F.lit("/"), "l"), F.concat("l", F.lit(".js")), F.concat(F.lit("https://x.y"), "l"), F.concat(F.lit("../"), bare, F.lit("?a=1.2.3.4")), F.concat(F.lit("javascript:"), "l"), F.concat(F.lit("r?u=http:"), "l")]
     ref = F.when(kind == 0, forms[0])
@@ -276,13 +300,13 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.resolved(_REFS, "ref", "url", "page_id, url, ref"))
 def links_resolve(spark, sf_dir):
-    return _refs(spark, sf_dir).withColumn("resolved", url.resolve(_c("ref"), U))
+    return _refs(spark, sf_dir).withColumn("resolved", url.resolve(_c("ref"), _u()))
 
 
 @query(f"SELECT page_id, count(DISTINCT resolved) AS n, string_agg(DISTINCT resolved, ' ' ORDER BY resolved) AS urls FROM ({S.resolved(_REFS, 'ref', 'url', 'page_id')}) WHERE resolved <> '' GROUP BY page_id")
 def links_distinct(spark, sf_dir):
     g = _refs(spark, sf_dir).groupBy("page_id", "url").agg(F.collect_list("ref").alias("refs"))
-    r = g.select("page_id", url.resolve_all(_c("refs"), U).alias("r")).where(F.size("r") > 0)
+    r = g.select("page_id", url.resolve_all(_c("refs"), _u()).alias("r")).where(F.size("r") > 0)
     return r.select("page_id", F.size("r").cast("bigint").alias("n"), F.array_join(F.array_sort("r"), " ").alias("urls"))
 
 
@@ -293,19 +317,19 @@ def anchor_routing(spark, sf_dir):
 
 @query(f"SELECT page_id, unnest({S.mined('t')}) AS found FROM (SELECT page_id, '<!-- ' || url || '. --> (see www.' || {S.host('url')} || '/a_(b)) ' || {S.host('url')} || '/x, ftp' AS t FROM pages)")
 def url_mining(spark, sf_dir):
-    h = url.host(U)
-    t = F.concat(F.lit("<!-- "), U, F.lit(". --> (see www."), h, F.lit("/a_(b)) "), h, F.lit("/x, ftp"))
+    h = url.host(_u())
+    t = F.concat(F.lit("<!-- "), _u(), F.lit(". --> (see www."), h, F.lit("/a_(b)) "), h, F.lit("/x, ftp"))
     return _pages(spark, sf_dir).select("page_id", F.explode(mining.mine_urls(t)).alias("found"))
 
 
 @query()
 def html_links_exact(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.posexplode(html.extract_links(H, url.snapshot_base(U))).alias("pos", "link"))
+    return _pages(spark, sf_dir).select("page_id", F.posexplode(html.extract_links(_h(), url.snapshot_base(_u()))).alias("pos", "link"))
 
 
 @query()
 def links_rfc3986(spark, sf_dir):
-    return _refs(spark, sf_dir).withColumn("resolved", html.resolve_rfc3986(_c("ref"), U))
+    return _refs(spark, sf_dir).withColumn("resolved", html.resolve_rfc3986(_c("ref"), _u()))
 
 
 # Similarity
@@ -316,7 +340,7 @@ _TERMS = f"(SELECT page_id, unnest({S.terms('html')}) AS term FROM pages)"
 
 @query(f"SELECT page_id, term FROM {_TERMS}")
 def text_terms(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.explode(text.text_terms(H)).alias("term"))
+    return _pages(spark, sf_dir).select("page_id", F.explode(text.text_terms(_h())).alias("term"))
 
 
 @query(f"SELECT page_id, term, count(*) AS tf FROM {_TERMS} GROUP BY ALL")
@@ -332,17 +356,17 @@ _COS = f"""WITH tf AS (SELECT page_id, term, count(*) AS tf FROM {_TERMS} GROUP
 
 @query(_COS)
 def cosine_to_baseline(spark, sf_dir):
-    return similarity.to_baseline(_pages(spark, sf_dir), url.host(U))
+    return similarity.to_baseline(_pages(spark, sf_dir), url.host(_u()))
 
 
 @query(f"SELECT a, b, cos FROM ({_COS}) WHERE cos > 0.95")
 def soft_404(spark, sf_dir):
-    return similarity.soft_404(_pages(spark, sf_dir), url.host(U))
+    return similarity.soft_404(_pages(spark, sf_dir), url.host(_u()))
 
 
 @query()
 def html_vector_exact(spark, sf_dir):
-    return similarity.term_counts(_pages(spark, sf_dir), terms=html.vector_terms(H))
+    return similarity.term_counts(_pages(spark, sf_dir), terms=html.vector_terms(_h()))
 
 
 # robots.txt and site maps, made of each host's pages
@@ -352,8 +376,8 @@ _HOSTS = f"(SELECT {S.scheme('url')} || '://' || {S.host('url')} AS site, {S.pat
 
 
 def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.when(_c("page_id") % 3 == 0, "Allow: ").when(_c("page_id") % 3 == 1, "Disallow: ").otherwise("# Allow: "), url.path(U), F.when(_c("page_id") % 4 == 0, "#x").otherwise(""))
-    p = _pages(spark, sf_dir).select(F.concat(url.scheme(U), F.lit("://"), url.host(U)).alias("site"), "page_id", line.alias("line"))
+    line = F.concat(F.when(_c("page_id") % 3 == 0, "Allow: ").when(_c("page_id") % 3 == 1, "Disallow: ").otherwise("# Allow: "), url.path(_u()), F.when(_c("page_id") % 4 == 0, "#x").otherwise(""))
+    p = _pages(spark, sf_dir).select(F.concat(url.scheme(_u()), F.lit("://"), url.host(_u())).alias("site"), "page_id", line.alias("line"))
     g = p.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"]).alias("lines"))
     return g.select(F.concat("site", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\n"), F.array_join("lines", "\n"), F.lit("\nSitemap: /s.xml")).alias("body"))
 
@@ -367,8 +391,8 @@ def robots_rules(spark, sf_dir):
 
 
 def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loc = F.concat(F.when(_c("page_id") % 5 == 0, "<sitemap><loc>\n\t").otherwise("<url><loc>"), F.replace(U, F.lit("&"), F.lit("&amp;")), F.when(_c("page_id") % 5 == 0, "\n</loc></sitemap>").otherwise("</loc></url>"))
-    g = _pages(spark, sf_dir).select(F.concat(url.scheme(U), F.lit("://"), url.host(U)).alias("site"), loc.alias("loc")).groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("loc")), "").alias("locs"))
+    loc = F.concat(F.when(_c("page_id") % 5 == 0, "<sitemap><loc>\n\t").otherwise("<url><loc>"), F.replace(_u(), F.lit("&"), F.lit("&amp;")), F.when(_c("page_id") % 5 == 0, "\n</loc></sitemap>").otherwise("</loc></url>"))
+    g = _pages(spark, sf_dir).select(F.concat(url.scheme(_u()), F.lit("://"), url.host(_u())).alias("site"), loc.alias("loc")).groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("loc")), "").alias("locs"))
     return g.select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "locs", F.lit("</urlset>")).alias("body"))
 
 
@@ -395,9 +419,9 @@ def metadata_distinct(spark, sf_dir):
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p, root = _pages(spark, sf_dir), F.concat(url.scheme(U), F.lit("://"), url.host(U))
-    out = p.select("url", root.alias("root"), F.explode(text.links(H)).alias("l")).select(U.alias("src"), F.concat("root", "l").alias("dst"))
-    return p.select(root.alias("url")), p.select(root.alias("src"), U.alias("dst")).union(out).distinct()
+    p, root = _pages(spark, sf_dir), F.concat(url.scheme(_u()), F.lit("://"), url.host(_u()))
+    out = p.select("url", root.alias("root"), F.explode(text.links(_h())).alias("l")).select(_u().alias("src"), F.concat("root", "l").alias("dst"))
+    return p.select(root.alias("url")), p.select(root.alias("src"), _u().alias("dst")).union(out).distinct()
 
 
 def _bfs(depth: int) -> str:
@@ -419,7 +443,7 @@ def frontier_depth_limit(spark, sf_dir):
 @query(f"SELECT replace(url, '/robots.txt', '') AS \"SourceUrl\", rule AS \"Url\", 'metadata parse' AS \"SourceType\", 0 AS \"Depth\" FROM ({_RULES}) UNION ALL SELECT site, site, 'homePage', 0 FROM (SELECT DISTINCT site FROM {_HOSTS}) UNION ALL SELECT site, site || '/' || substr(md5('urlflow' || site), 1, 10), '404', 0 FROM (SELECT DISTINCT site FROM {_HOSTS})")
 def frontier_seeds(spark, sf_dir):
     sites = _edges(spark, sf_dir)[0].distinct()
-    rules = metadata.robots_rules(_robots(spark, sf_dir)).select(F.replace(U, F.lit("/robots.txt"), F.lit("")).alias("target"), F.col("rule").alias("url"))
+    rules = metadata.robots_rules(_robots(spark, sf_dir)).select(F.replace(_u(), F.lit("/robots.txt"), F.lit("")).alias("target"), F.col("rule").alias("url"))
     return frontier.seeds(sites, rules).select("SourceUrl", "Url", "SourceType", "Depth")
 
 
@@ -441,7 +465,7 @@ def _role(role: str) -> str:
 @query(" UNION ALL ".join(_role(r) for r in classify.KEYWORDS))
 def login_inputs(spark, sf_dir):
     tag = F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (_c("page_id") % len(_TAGS) + 1).cast("int"))
-    fields = classify.inputs(_pages(spark, sf_dir).select("page_id", F.concat(H, tag).alias("html")))
+    fields = classify.inputs(_pages(spark, sf_dir).select("page_id", F.concat(_h(), tag).alias("html")))
     return classify.login_inputs(fields).select("page_id", "role", "type", "placeholder", "keyword")
 
 
@@ -452,7 +476,7 @@ _LABEL = "['Go', 'LOGIN 登录', 'Back'][page_id % 3 + 1]"
 @query(f"SELECT page_id, {_BUTTON} AS type, unnest(CASE WHEN {_BUTTON} = 'submit' THEN [''] ELSE [w FOR w IN ['login', '提交', '登录'] IF contains(lower({_LABEL}), w)] END) AS keyword FROM pages")
 def submit_buttons(spark, sf_dir):
     b = F.element_at(F.array(*[F.lit(f'<button type="{t}">{x}</button>') for t, x in (("submit", "Go"), ("button", "LOGIN 登录"), ("button", "Back"))]), (_c("page_id") % 3 + 1).cast("int"))
-    return classify.submit_buttons(_pages(spark, sf_dir).select("page_id", F.concat(H, b).alias("html"))).select("page_id", "type", "keyword")
+    return classify.submit_buttons(_pages(spark, sf_dir).select("page_id", F.concat(_h(), b).alias("html"))).select("page_id", "type", "keyword")
 
 
 # Reports
@@ -460,23 +484,23 @@ def submit_buttons(spark, sf_dir):
 
 @query(f"SELECT {S.host('url')} AS host, count(*) AS count FROM pages GROUP BY 1")
 def host_report(spark, sf_dir):
-    return render.host_report(_pages(spark, sf_dir), url.host(U))
+    return render.host_report(_pages(spark, sf_dir), url.host(_u()))
 
 
 @query(f"SELECT {S.host('url')} AS host, count(*) AS count, string_agg(page_id || ' ' || url, ',' ORDER BY page_id) AS results FROM pages GROUP BY 1")
 def report_envelope(spark, sf_dir):
-    e = render.envelope(_pages(spark, sf_dir).select("page_id", "url"), url.host(U), "page_id")
+    e = render.envelope(_pages(spark, sf_dir).select("page_id", "url"), url.host(_u()), "page_id")
     return e.withColumn("results", F.array_join(F.transform("results", lambda r: F.concat_ws(" ", r["page_id"], r["url"])), ","))
 
 
 @query(f"SELECT '[' || {_METHOD} || ']' || url AS line FROM pages")
 def txt_render(spark, sf_dir):
-    return _pages(spark, sf_dir).select(render.text_line(METHOD, U).alias("line"))
+    return _pages(spark, sf_dir).select(render.text_line(_method(), _u()).alias("line"))
 
 
 @query(f"SELECT replace(replace(replace('{{\"url\":' || CAST(to_json(url) AS VARCHAR) || ',\"status\":' || {_STATUS} || '}}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS line FROM pages")
 def json_render(spark, sf_dir):
-    return _pages(spark, sf_dir).select("url", STATUS.alias("status")).select(render.json_line("url", "status").alias("line"))
+    return _pages(spark, sf_dir).select("url", _status().alias("status")).select(render.json_line("url", "status").alias("line"))
 
 
 @query(f'SELECT "URL", "Method", "Host", "Data", "Status" FROM {_LOG}')
@@ -486,12 +510,12 @@ def norrs_projection(spark, sf_dir):
 
 @query("SELECT page_id, to_base64(encode(html)) AS body FROM pages")
 def base64_body(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", text.base64_text(H).alias("body"))
+    return _pages(spark, sf_dir).select("page_id", text.base64_text(_h()).alias("body"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'id=' || page_id END AS data FROM pages")
 def post_data(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.when(METHOD == "POST", F.concat(F.lit("id="), "page_id")).otherwise("").alias("data"))
+    return _pages(spark, sf_dir).select("page_id", F.when(_method() == "POST", F.concat(F.lit("id="), "page_id")).otherwise("").alias("data"))
 
 
 @query("SELECT conv_id, upper(role[1]) || role[2:] || '-Text' AS name, string_agg(text, chr(1) ORDER BY turn) AS \"values\" FROM (SELECT conv_id, turn, role::VARCHAR AS role, text FROM conversations) GROUP BY ALL")
@@ -558,7 +582,7 @@ def target_list(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.read_stream(spark, f"{sf_dir}/pages*.parquet", PAGES).select("page_id", "url", METHOD.alias("method"))
+    return pipeline.read_stream(spark, f"{sf_dir}/pages*.parquet", PAGES).select("page_id", "url", _method().alias("method"))
 
 
 @query(f"SELECT DISTINCT fp FROM ({_FIRST})")
