@@ -151,26 +151,29 @@ def _by_join(urls: DataFrame, model: DataFrame, order: int, least: int) -> DataF
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = Runs(b.column("url"), order)
-            for i, u in enumerate(b.column("u").to_pylist()):
-                k = np.unique(np.concatenate([x[r.url == i] for x in r.keys + r.context]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), u)), pa.array(k.view(np.int64))], names=["u", "key"])
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                r = Runs(part.column("url"), order)
+                key, owner = np.concatenate(r.keys + r.context), np.tile(r.url, len(r.keys) + len(r.context))
+                by = np.lexsort((key, owner))
+                key, owner = key[by], owner[by]
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+                u = part.column("u").to_numpy()[owner[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(key[new].view(np.int64))], names=["u", "key"])
 
     runs = urls.select("url", "u").where("url IS NOT NULL").distinct().mapInArrow(explode, "u bigint, key bigint")
     own = runs.join(model, "key").groupBy("u").agg(F.collect_list(F.struct("key", *_MODEL)).alias("model"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                m = row.column("model")[0].values
-                if m is None:
-                    keys, table = np.zeros(0, np.uint64), np.zeros((0, len(_MODEL)), np.int64)
-                else:
-                    keys = m.field("key").to_numpy().view(np.uint64)
-                    by = np.argsort(keys)
-                    keys, table = keys[by], np.stack([m.field(c).to_numpy()[by] for c in _MODEL], axis=1)
-                yield _score(row, keys, table, order, least)
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                lists = part.column("model")
+                m, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                salt = mix(np.arange(part.num_rows, dtype=np.uint64), 3)  # each URL sees its own runs alone
+                keys = mix(m.field("key").to_numpy().view(np.uint64) ^ np.repeat(salt, n))
+                by = np.argsort(keys)
+                yield _score(part, keys[by], np.stack([m.field(c).to_numpy()[by] for c in _MODEL], axis=1), order, least, salt)
 
     return urls.join(own, "u", "left").mapInArrow(run, _SCORED)
 
