@@ -28,7 +28,7 @@ from .words import mix
 ORDER = 5
 LEAST = 2
 KEEP = 0.95
-MOST_ROWS = 1 << 22
+MOST_ROWS = 1 << 20
 _PAD, _END = 2, 3
 #: Classes and halves: c counts a run, t the distinct bytes seen after it, n its occurrences as context.
 GROUPS = ("a0", "a1", "r0", "r1")
