@@ -37,7 +37,7 @@ from .words import PUNCTUATION, Words, mix, slices
 N = 3
 THRESHOLD = 0.5
 LEVELS = (1, 2, 3, 4, 6, 8)
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 27
 TOP = 1 << 20
 _CHUNK = 1 << 20
 _HAS_WORD = "[0-9A-Za-z_[^\\x{0}-\\x{7F}" + PUNCTUATION[1:-1] + "]]"
@@ -99,16 +99,16 @@ def _count_bucket(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 class Order:
     """Filter of the grams with a frequency of `least` or more, and the frequencies of the most frequent, by bucket."""
 
-    def __init__(self, r: int, least: int, bits: int, filters: dict[int, bytes], tops: dict[int, tuple[bytes, bytes]]):
+    def __init__(self, r: int, least: int, bits: int, parts: pa.Table):
         self.r, self.least, self.bits = r, least, bits
         self.filter = np.zeros(r * (bits >> 3), np.uint8)
         keys, dfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        for b, f in filters.items():
-            self.filter[b * (bits >> 3) : (b + 1) * (bits >> 3)] = np.frombuffer(f, np.uint8)
-        for b in sorted(tops):
-            low = unsqueeze(tops[b][0]).astype(np.uint64)
-            keys.append(low | np.uint64(b << 32))
-            dfs.append(unplanes(tops[b][1]))
+        cell = lambda c, i: memoryview(parts.column(c)[i].as_buffer())
+        for i in np.argsort(parts.column("bucket").to_numpy()):
+            b = parts.column("bucket")[i].as_py()
+            self.filter[b * (bits >> 3) : (b + 1) * (bits >> 3)] = np.frombuffer(cell("filter", i), np.uint8)
+            keys.append(unsqueeze(cell("grams", i)).astype(np.uint64) | np.uint64(b << 32))
+            dfs.append(unplanes(cell("df", i)))
         self.keys, self.df = np.concatenate(keys), np.concatenate(dfs)
 
     @staticmethod
@@ -140,8 +140,8 @@ def frequencies(texts: DataFrame, n: int, r: int, filter_bits: int, top: int) ->
     for row in counted.select(F.posexplode("hist").alias("df", "n")).groupBy("df").agg(F.sum("n").alias("n")).collect():  # 1024 rows
         hist[row["df"]] = row["n"]
     above = np.cumsum(hist[::-1])[::-1]  # grams of that frequency or more
-    least = int(next((f for f in range(2, 1024) if above[f] * 10 <= filter_bits), 1023))
-    bits = max(1024, min(filter_bits, 1 << int(above[least] * 16 + 1).bit_length()) // r + 7) & ~7
+    least = int(next((f for f in range(2, 1024) if above[f] * 6 <= filter_bits), 1023))
+    bits = max(1024, min(filter_bits, 1 << int(above[least] * 8 + 1).bit_length()) // r + 7) & ~7
     many = int(next((f for f in range(least, 1024) if above[f] <= top), 1023))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +158,8 @@ def frequencies(texts: DataFrame, n: int, r: int, filter_bits: int, top: int) ->
                     often[np.argsort(-count.astype(np.int64), kind="stable")[: 2 * top // r + 64]] = True
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary()), pa.array([squeeze(low[often])], pa.binary()), pa.array([planes(count[often])], pa.binary())], names=["bucket", "filter", "grams", "df"])
 
-    got = counted.select("bucket", "grams", "df").mapInArrow(part, "bucket int, filter binary, grams binary, df binary").collect()  # filter_bits / 8 + 8 top bytes at most
-    return Order(r, least, bits, {x["bucket"]: bytes(x["filter"]) for x in got}, {x["bucket"]: (bytes(x["grams"]), bytes(x["df"])) for x in got})
+    got = counted.select("bucket", "grams", "df").mapInArrow(part, "bucket int, filter binary, grams binary, df binary").toArrow()  # filter_bits / 8 + 8 top bytes at most
+    return Order(r, least, bits, got)
 
 
 # 2. Candidates
@@ -347,6 +347,7 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, lev
     postings = texts.select("sig", "text").mapInArrow(_emit_postings(n, r, r2, threshold, order, levels), "bucket int, grams binary, doc binary, sig binary, size binary, level binary")
     met = postings.groupBy("bucket").applyInArrow(_pairs_of(threshold), "sa bigint, sb bigint, shared int, need int")
     found = stage_table(met.groupBy("sa", "sb").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("sa", "sb"), "candidates")
+    order.unpersist()
 
     ends = found.select(F.col("sa").alias("sig"), F.col("sb").alias("other")).union(found.select("sb", "sa"))
     label = ends.groupBy("sig").agg(F.least(F.col("sig"), F.min("other")).alias("label"))
