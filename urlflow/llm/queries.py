@@ -11,7 +11,7 @@ from .frames import read_table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(read_table(spark, sf_dir, "documents"))
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ def _equal(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     i = np.flatnonzero(hit)
     new = np.concatenate([[True], (np.diff(run[i]) != 0) | (np.diff(at[i]) != 1)]) if len(i) else np.zeros(0, bool)
     start = np.flatnonzero(new)
-    end = np.append(start[1:], len(i)) - 1
+    end = np.append(start[1:], len(i))[: len(start)] - 1
     trim()
     return pa.table({"doc_id": doc[i[start]], "first": at[i[start]], "last": at[i[end]]})
 

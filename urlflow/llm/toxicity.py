@@ -18,8 +18,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow
+from .frames import DOCUMENT, narrow, small, stage_table
 from .words import PUNCTUATION, Words, slices
 
 #: Terms; their tolerance follows from their length (see tolerance()).
@@ -41,6 +42,16 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t"}
 STRICT = frozenset("whore ordure salope".split())
 WINDOW = 8
 THRESHOLD = 0.8
+#: Labelled documents that words are learned from, at most; taken by the hash of doc_id.
+SAMPLE = 50_000
+#: Words before a learned word, at least, and as a share of a language's toxic documents.
+LEAST, SHARE = 6, 0.05
+#: How much more frequent a learned word is in toxic documents.
+RATIO = 30
+#: Share of learned words from which they count in full.
+RATE = 0.01
+Learned = tuple[tuple[str, float], ...]
+_SEPARATOR = "(?:[\\x{0}-\\x{7F}&&[^0-9a-z_]]|" + PUNCTUATION + ")+"
 _TOKEN = re.compile(r"(?:[0-9A-Za-z_]|(?!" + PUNCTUATION + r")[^\x00-\x7f])+")
 
 
@@ -50,18 +61,20 @@ def tolerance(term: str) -> int:
 
 
 class Automaton:
-    """step[state, byte class]; state 0 is dead; best[state] is 1 + the edits of the closest term that ends here, 0 if none."""
+    """step[state, byte class]; state 0 is dead; best[state] is 1 + the edits of the closest term that ends here, 0 if none; extra[state] the weight of a learned word, 0 if none."""
 
-    def __init__(self, lexicon: tuple[str, ...] = LEXICON):
+    def __init__(self, lexicon: tuple[str, ...] = LEXICON, learned: Learned = ()):
         self.terms = sorted(set(lexicon))
-        used = sorted({b for t in self.terms for b in t.encode()} | {ord(d) for d in LEET})
+        weight = {t: w for t, w in learned if t not in self.terms}
+        used = sorted({b for t in [*self.terms, *weight] for b in t.encode()} | {ord(d) for d in LEET})
         self.classes = np.zeros(256, np.int16)  # 0: a byte that no term has
         for i, b in enumerate(used):
             self.classes[b] = i + 1
         nodes: list[dict[int, int]] = [{}]
         allow, final = [0], [-1]
         swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :] for t in self.terms if tolerance(t) for i in range(1, len(t) - 1)} - set(self.terms)
-        spelled = [(t, tolerance(t), 0) for t in self.terms] + [(t, 0, 1) for t in sorted(swapped)]  # two letters exchanged: one edit
+        spelled = [(t, tolerance(t), 0) for t in self.terms] + [(t, 0, 1) for t in sorted(swapped - set(weight))]  # two letters exchanged: one edit
+        spelled += [(t, 0, 0) for t in sorted(weight)]
         for k, (t, d, _) in enumerate(spelled):
             at = 0
             for b in t.encode():
@@ -118,33 +131,36 @@ class Automaton:
             rows.append(row)
             at += 1
         self.step = np.array(rows, np.int32)
-        self.best = np.array([min([e + 1 + cost[node] for node, e in s if final[node] >= 0 and e <= limit[node]], default=0) for s in order], np.int8)
+        own = [weight.get(spelled[k][0], 0.0) if k >= 0 else 0.0 for k in final]
+        self.best = np.array([min([e + 1 + cost[node] for node, e in s if final[node] >= 0 and e <= limit[node] and not own[node]], default=0) for s in order], np.int8)
+        self.extra = np.array([max([own[node] for node, e in s if e == 0], default=0.0) for s in order])
 
-    def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words that match, and their edits."""
+    def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words that match, their edits (-1: a learned word) and learned words' weights."""
         cls = self.classes[data]
         alive, state, at = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy()
-        found, edits = [], []
+        found, edits, extra = [], [], []
         while len(alive):
             state = self.step[state, cls[at]]
             live = state > 0
             alive, state, at = alive[live], state[live], at[live] + 1
             over = at == ends[alive]
             if over.any():
-                hit = over & (self.best[state] > 0)
+                hit = over & ((self.best[state] > 0) | (self.extra[state] > 0))
                 found.append(alive[hit])
                 edits.append(self.best[state[hit]] - 1)
+                extra.append(self.extra[state[hit]])
                 alive, state, at = alive[~over], state[~over], at[~over]
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int8)
-        f, e = np.concatenate(found), np.concatenate(edits)
+            return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0)
+        f, e, x = np.concatenate(found), np.concatenate(edits), np.concatenate(extra)
         order = np.argsort(f)
-        return f[order], e[order]
+        return f[order], e[order], x[order]
 
 
 @lru_cache(maxsize=4)
-def automaton(lexicon: tuple[str, ...]) -> Automaton:
-    return Automaton(lexicon)
+def automaton(lexicon: tuple[str, ...] = LEXICON, learned: Learned = ()) -> Automaton:
+    return Automaton(lexicon, learned)
 
 
 def quoted_spans(text: str) -> list[tuple[int, int]]:
@@ -168,7 +184,8 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
     A hit counts 1 less 0.1 an edit. In quotation marks, or within 3 words after a
     verb of reporting, it counts 0.3 times that. A word of address in the window adds
     0.2 times, another hit there too. The score is the greater of the highest hit and
-    half the sum of all.
+    half the sum of all. Learned words' weights are summed, and scaled down where they are
+    fewer than RATE of all words; that sum counts if it is greater.
     """
     low = text.lower()
     spans = list(_TOKEN.finditer(low))
@@ -176,7 +193,10 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
     raw = [w.encode() for w in words]
     size = np.array([len(r) for r in raw], np.int64)
     ends = np.cumsum(size)
-    hits, edits = a.match(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
+    hits, edits, extra = a.match(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
+    learned = hits[edits < 0]
+    known = float(extra[edits < 0].sum()) * min(1.0, len(learned) / (RATE * max(1, len(words))))
+    hits, edits = hits[edits >= 0], edits[edits >= 0]
     keep = [i for i, h in enumerate(hits) if not (edits[i] and words[h] in HARMLESS)]
     hits, edits = hits[keep], edits[keep]
     marks = quoted_spans(low) if len(hits) else []
@@ -194,14 +214,15 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
             s *= 1.2
         total, most = total + s, max(most, s)
         terms.append(words[h])
-    return len(terms), n_quoted, round(max(most, total / 2), 6), terms
+    order = sorted([*zip(hits.tolist(), terms, strict=True), *((h, words[h]) for h in learned.tolist())])
+    return len(order), n_quoted, round(max(most, total / 2, known), 6), [t for _, t in order]
 
 
-def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int) -> dict[int, tuple[int, int, float, list[str]]]:
+def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int, learned: Learned = ()) -> dict[int, tuple[int, int, float, list[str]]]:
     """Row number to context(), for rows with a hit."""
-    a, out = automaton(lexicon), {}
+    a, out = automaton(lexicon, learned), {}
     w = Words(batch.column("text"), hashes=False)
-    hits, _ = a.match(w.data, w.starts, w.ends)
+    hits, *_ = a.match(w.data, w.starts, w.ends)
     for i in np.unique(np.searchsorted(w.offsets, hits, "right") - 1).tolist():
         got = context(batch.column("text")[i].as_py(), a, window)
         if got[0]:
@@ -209,18 +230,46 @@ def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int) -> dict
     return out
 
 
-def toxicity(docs: DataFrame, lexicon: tuple[str, ...] = LEXICON, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE, ratio: float = RATIO) -> Learned:
+    """Words of toxic documents and their weights, from `sample` labelled documents at most.
+
+    A word is learned in a language if toxic documents have `least` different words before
+    it (so that copies of one document count once), and as many as `share` of the
+    language's toxic documents, and if that is `ratio` times its share of the clean ones.
+    Words that clean documents never have weigh 0.8, others 0.4. Null ids, labels and
+    texts teach nothing; of an id's labels the greatest counts.
+    """
+    marked = narrow(labels, {"doc_id": "bigint", "toxic": "int"}).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    held = narrow(docs, {"doc_id": "bigint", "text": "string", "lang": "string"}).where("text IS NOT NULL")
+    words = F.filter(F.split(F.lower("text"), _SEPARATOR), lambda x: x != "")
+    rows = held.join(F.broadcast(marked), "doc_id").select(F.coalesce("lang", F.lit("")).alias("lang"), (F.col("toxic") > 0).alias("toxic"), words.alias("words"))  # `sample` rows
+    rows = stage_table(rows, "labelled")
+    pair = F.arrays_zip(F.concat(F.array(F.lit("")), "words").alias("before"), F.col("words").alias("word"))
+    places = rows.where("toxic").select("lang", F.explode(pair).alias("p")).select("lang", "p.before", "p.word").where("length(word) BETWEEN 4 AND 40").distinct()
+    many = places.groupBy("lang", "word").agg(F.count("*").alias("places")).where(F.col("places") >= least)
+    size = rows.groupBy("lang").agg(F.sum(F.col("toxic").cast("bigint")).alias("n_toxic"), F.sum((~F.col("toxic")).cast("bigint")).alias("n_clean"))
+    often = stage_table(many.join(F.broadcast(size), "lang").where(F.col("places") >= share * F.col("n_toxic")), "learnable")  # a row a language
+    clean = rows.where("NOT toxic").select("lang", F.explode(F.array_distinct("words")).alias("word")).join(small(often.select("lang", "word")), ["lang", "word"], "left_semi").groupBy("lang", "word").agg(F.count("*").alias("clean"))
+    both = often.join(clean, ["lang", "word"], "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
+    times = ((F.col("places") + 0.5) / (F.col("n_toxic") + 1)) / ((F.col("clean") + 0.5) / (F.col("n_clean") + 1))
+    found = both.where(times >= ratio).groupBy("word").agg(F.min(F.when((F.col("clean") == 0) & (F.col("places") >= 8), 0.8).otherwise(0.4)).alias("weight"))
+    return tuple(sorted((r["word"], r["weight"]) for r in found.collect()))  # of `sample` documents
+
+
+def toxicity(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[str, ...] = LEXICON, threshold: float = THRESHOLD, window: int = WINDOW, **how) -> DataFrame:
     """doc_id, n_hits, n_quoted, score, toxic and terms (as written, lower-cased, in order) of every row.
 
     toxic: score >= threshold. A null text has nulls but for doc_id; a text without
     words or hits has 0, 0, 0.0, false and an empty list. A null doc_id stays null.
-    Repeated rows are repeated. Extra columns are dropped.
+    Repeated rows are repeated. Extra columns are dropped. labels (doc_id, toxic): see learn().
     """
+    learned = learn(docs, labels, **how) if labels is not None else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                got, null = _judge(b, lexicon, window), ~np.asarray(b.column("text").is_valid())
+                got, null = _judge(b, lexicon, window, learned), ~np.asarray(b.column("text").is_valid())
                 rows = [got.get(i, (0, 0, 0.0, [])) for i in range(b.num_rows)]
                 col = lambda k, kind: pa.array([r[k] for r in rows], kind, mask=null)  # noqa: B023, E731
                 toxic = pa.array([r[2] >= threshold for r in rows], pa.bool_(), mask=null)
@@ -230,14 +279,15 @@ def toxicity(docs: DataFrame, lexicon: tuple[str, ...] = LEXICON, threshold: flo
     return narrow(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, "doc_id bigint, n_hits int, n_quoted int, score double, toxic boolean, terms array<string>")
 
 
-def keep_clean(docs: DataFrame, lexicon: tuple[str, ...] = LEXICON, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[str, ...] = LEXICON, threshold: float = THRESHOLD, window: int = WINDOW, **how) -> DataFrame:
     """The columns of documents, without the rows that toxicity() calls toxic; null texts stay."""
+    learned = learn(docs, labels, **how) if labels is not None else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 keep = np.ones(b.num_rows, bool)
-                for i, got in _judge(b, lexicon, window).items():
+                for i, got in _judge(b, lexicon, window, learned).items():
                     keep[i] = got[2] < threshold
                 yield b.filter(pa.array(keep))
 

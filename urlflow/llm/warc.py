@@ -111,7 +111,7 @@ def encode_record(r: dict) -> bytes:
     if r["type"] == "revisit":
         head.append(f"WARC-Profile: {_PROFILE}")
     block = (r["http"] or b"") + (r["payload"] or b"")
-    head.append("Content-Type: application/http; msgtype=response")
+    head.append(f"Content-Type: {'application/http; msgtype=response' if r['http'] else 'application/octet-stream'}")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -207,7 +207,7 @@ def parse(raw) -> Iterator[dict]:
             return
         r = dict.fromkeys(RECORD)
         r |= {c: head[k] for k, c in _NAMES.items() if k in head}
-        http, sep, payload = block.partition(b"\r\n\r\n") if "http" in head.get("content-type", "") else (b"", b"", block)
+        http, sep, payload = block.partition(b"\r\n\r\n") if "application/http" in head.get("content-type", "") else (b"", b"", block)
         r["http"], r["payload"] = http + sep, None if r["type"] == "revisit" else payload
         yield r
 
