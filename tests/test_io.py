@@ -107,3 +107,17 @@ def test_stream_equals_batch(spark, tmp_path):
     out = []
     pipeline.run_quiet(pipeline.read_stream(spark, str(tmp_path / "in"), df.schema), out.append).awaitTermination()
     assert len(out) == 21
+
+
+def test_command_line(spark, tmp_path):
+    from urlflow import cli
+
+    df = log(spark, 4).unionByName(log(spark, 2)).withColumn("URL", F.concat(F.lit("http://h/a"), F.when(F.col("Data") == "d0", "1").otherwise("2"), F.lit("x")))
+    df.write.json(str(tmp_path / "log"))
+    (tmp_path / "t.txt").write_text("http://h/\nhttp://none/\n")
+    args = cli.parser().parse_args([str(tmp_path / "log"), "-f", str(tmp_path / "t.txt"), "--outputdir", str(tmp_path / "out"), "--format", "txt,json", "--norrs"])
+    made = cli.run(spark, args)
+    assert made == []  # both URLs have one fingerprint: too few rows for a report
+    df.withColumn("URL", F.concat(F.lit("http://h/"), F.when(F.col("Data") == "d0", "p").otherwise("q"))).write.mode("overwrite").json(str(tmp_path / "log"))
+    assert [p.rsplit("/", 1)[1] for p in cli.run(spark, args)] == ["h.txt", "h.json"]
+    assert "ResponseBody" not in json.loads((tmp_path / "out" / "h.json").read_text())[0]
