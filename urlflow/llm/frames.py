@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -43,8 +44,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_MADE = threading.local()
+
+
+def made() -> list[str]:
+    """What this thread has put into the shared folder, in order."""
+    if not hasattr(_MADE, "paths"):
+        _MADE.paths = []
+    return _MADE.paths
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/urlflow-{name}-{uuid.uuid4().hex}"
+    made().append(f"{shared_dir(spark)}/urlflow-{name}-{uuid.uuid4().hex}")
+    return made()[-1]
+
+
+def release(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+    """Deletes what this thread has put into the shared folder since made() had `since` entries, but for one."""
+    for path in made()[since:]:
+        if path != but:
+            remove(spark, path)
+    del made()[since:]
+    if but is not None:
+        made().append(but)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:

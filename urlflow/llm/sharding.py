@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, stage_table, tmp
+from .frames import DOCUMENT, narrow, small, stage_table, tmp
 
 ROUNDS = 6
 PRIME = 2_147_483_647
@@ -99,8 +99,10 @@ def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
         n += r["count"]
     if not n:
         return held.withColumn(tmp("row"), F.lit(0).cast("bigint")).drop(tmp("at")), 0
-    base = F.array(*[F.lit(before.get(i, 0)).cast("bigint") for i in range(max(before) + 1)])
-    return held.withColumn(tmp("row"), base[part.cast("int")] + F.col(tmp("at")).bitwiseAND((1 << 33) - 1)).drop(tmp("at")), n
+    spark = df.sparkSession
+    base = small(spark.createDataFrame(list(before.items()), f"{tmp('part')} bigint, {tmp('base')} bigint"))
+    row = F.col(tmp("base")) + F.col(tmp("at")).bitwiseAND((1 << 33) - 1)
+    return held.join(base, part == F.col(tmp("part"))).withColumn(tmp("row"), row).drop(tmp("at"), tmp("part"), tmp("base")), n
 
 
 def shard(docs: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
