@@ -39,3 +39,14 @@ def seeds(targets: DataFrame, metadata: DataFrame, probe_token: str = "urlflow")
     home = targets.select(*row(F.col("url"), "homePage", F.col("url")))
     probe = targets.select(*row(F.concat(F.regexp_replace("url", "/*$", ""), F.lit("/"), token(probe_token, F.col("url"))), "404", F.col("url")))
     return found.unionByName(home).unionByName(probe)
+
+
+def admit(found: DataFrame, visited: DataFrame, host: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Frontier rows that are opened: in scope, not static, within the depth, on the host, and the first of a fingerprint that `visited`(fp) lacks. found: Url, Depth and others."""
+    from .dedup import first_wins
+    from .filters import in_frontier_scope, unvisited, without_static
+
+    url = F.col("Url")
+    kept = without_static(found.where(in_frontier_scope(url, F.lit(host)) & (F.col("Depth") <= max_depth) & url.contains(host)), "Url", frontier=True)
+    fresh = unvisited(kept, visited, "Url").withColumn("__m", F.lit("GET"))
+    return first_wins(fresh, "Depth", "Url", "__m").drop("__m", "fp")

@@ -447,6 +447,19 @@ def frontier_seeds(spark, sf_dir):
     return frontier.seeds(sites, rules).select("SourceUrl", "Url", "SourceType", "Depth")
 
 
+_FOUND = f"(SELECT {_ODD_SQL} AS u, CAST(page_id % 7 AS INTEGER) AS d, page_id FROM pages)"
+
+
+@query(f"""WITH f AS ({S.fingerprints(_FOUND, 'page_id', 'u', "'GET'", 'd')}), u AS (SELECT page_id, {_ODD_SQL} AS url FROM pages)
+    SELECT arg_min(url, (d, url)) AS "Url", min(d) AS "Depth" FROM f JOIN u USING (page_id)
+    WHERE contains(url, '{SCOPE}') AND NOT {S.static('url', True)} AND d <= 5 AND fp IS NOT NULL AND fp NOT IN (SELECT fp FROM f WHERE page_id % 9 = 0 AND fp IS NOT NULL) GROUP BY fp""")
+def frontier_admission(spark, sf_dir):
+    p = _pages(spark, sf_dir).withColumn("url", _odd())
+    visited = p.where("page_id % 9 = 0").select(url.fingerprint(_u(), F.lit("GET")).alias("fp")).distinct()
+    found = p.select(_u().alias("Url"), (_c("page_id") % 7).cast("int").alias("Depth"))
+    return frontier.admit(found, visited, SCOPE)
+
+
 # Forms
 
 
