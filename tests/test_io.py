@@ -21,7 +21,7 @@ def test_robots(spark):
 
 
 def test_sitemap(spark):
-    body = '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>\n\t http://s.example/found.xml \n</loc><lastmod>2020-01-01</lastmod></sitemap><url><loc>http://s.example/p</loc></url></sitemapindex>'
+    body = '<sitemapindex xmlns="urn:site-map"><sitemap><loc>\n\t http://s.example/found.xml \n</loc><lastmod>2020-01-01</lastmod></sitemap><url><loc>http://s.example/p</loc></url></sitemapindex>'
     df = spark.createDataFrame([("u", body), ("v", "<broken"), ("w", None)], "url string, body string")
     assert [(r.url, r.loc) for r in metadata.sitemap_urls(df).orderBy("pos").collect()] == [("u", "http://s.example/p"), ("u", "http://s.example/found.xml")]
     assert metadata.metadata(df.limit(0), df).count() == 2

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEADS = [r"https?://", r"www\d{0,3}[.]", r"[a-z0-9.\-]+[.][a-z]{2,4}/"]
+_HEADS = [r"https?://", r"www[0-9]{0,3}\.", r"[.\-0-9a-z]+\.[a-z]{2,4}/"]
 _CHAR = r"[^()<>\s]"
 _LAST = "[^\\s" + "".join("\\" + c for c in "[](){}") + "<>`!?.,;:'\"" + "«»‘’“”]"
 _WORD = "[0-9A-Za-z_]"

@@ -271,7 +271,7 @@ def click_blacklist(spark, sf_dir):
     return _nodes(spark, sf_dir).where(~text.is_blacklisted(_c("node"))).select("page_id", "node")
 
 
-@query(f"SELECT page_id, l, tag FROM {_NODES} WHERE upper(tag) NOT IN ('HTML', 'HEAD', 'META', 'TITLE', 'LINK', 'STYLE', 'IMG', 'DIV', 'SCRIPT')")
+@query(f"SELECT page_id, l, tag FROM {_NODES} WHERE upper(tag) NOT IN ({', '.join(map(S.lit, text.EXCLUDED_TAGS))})")
 def tag_exclusion(spark, sf_dir):
     return _nodes(spark, sf_dir).where(~text.is_excluded_tag(_c("tag"))).select("page_id", "l", "tag")
 
@@ -393,7 +393,7 @@ def robots_rules(spark, sf_dir):
 def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     loc = F.concat(F.when(_c("page_id") % 5 == 0, "<sitemap><loc>\n\t").otherwise("<url><loc>"), F.replace(_u(), F.lit("&"), F.lit("&amp;")), F.when(_c("page_id") % 5 == 0, "\n</loc></sitemap>").otherwise("</loc></url>"))
     g = _pages(spark, sf_dir).select(F.concat(url.scheme(_u()), F.lit("://"), url.host(_u())).alias("site"), loc.alias("loc")).groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("loc")), "").alias("locs"))
-    return g.select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "locs", F.lit("</urlset>")).alias("body"))
+    return g.select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit('<urlset xmlns="urn:site-map">'), "locs", F.lit("</urlset>")).alias("body"))
 
 
 _LOCS = f"SELECT site || '/sitemap.xml' AS url, url AS loc FROM {_HOSTS}"
