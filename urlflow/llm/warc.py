@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import narrow, new_path, small, stage_table
+from .frames import narrow, new_path, small, stage_table, trim
 
 RECORD = {"record_id": "string", "type": "string", "uri": "string", "date": "string", "digest": "string", "refers_to_uri": "string", "refers_to_date": "string", "source_id": "string", "http": "binary", "payload": "binary"}
 _FIELDS = {"WARC-Record-ID": "record_id", "WARC-Type": "type", "WARC-Target-URI": "uri", "WARC-Date": "date", "WARC-Payload-Digest": "digest", "WARC-Refers-To-Target-URI": "refers_to_uri", "WARC-Refers-To-Date": "refers_to_date", "WARC-Source-Record-ID": "source_id"}
@@ -126,16 +126,16 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
         name = f"{base}/part-{context.partitionId():06d}.warc.gz"
         partial, n, size = f"{name}.{context.taskAttemptId()}.partial", 0, 0
         with at.open_output_stream(partial, compression=None) as out:
-            for b in batches:
-                for row in b.to_pylist():
-                    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    member = z.compress(encode_record(row)) + z.flush()
-                    out.write(member)
-                    n, size = n + 1, size + len(member)
+            for row in (r for b in batches for i in range(0, b.num_rows, 256) for r in b.slice(i, 256).to_pylist()):
+                z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                member = z.compress(encode_record(row)) + z.flush()
+                out.write(member)
+                n, size = n + 1, size + len(member)
         if n:
             at.move(partial, name)
         else:
             at.delete_file(partial)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
 
     return narrow(records, RECORD).mapInArrow(run, "file string, records bigint, bytes bigint")
@@ -231,6 +231,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        trim()
 
     return files.select("path").mapInArrow(run, _DDL)
 
