@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, small, stage_table
+from .frames import DOCUMENT, narrow, small, stage_table, trim
 from .words import Words, mix, slices, windows
 
 RATE = 0.2
@@ -204,7 +204,7 @@ def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 def _items(benchmark: DataFrame, portion: int, rate: float, seed: int) -> Iterator[list[Item]]:
     """Items with words, in portions of about `portion` words; an item's id and text may repeat."""
     now, held = [], 0
-    for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator():
+    for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
         w = Words(pa.array([row["text"]])).of(0)
         if len(w):
             now.append(Item(row["item_id"], w, allowed(len(w), rate, seed)))
@@ -240,6 +240,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, seed: int
                         doc, item, first, n, e = zip(*rows, strict=True)
                         keys = [index.value.items[k].key for k in item]
                         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(keys, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "item_id", "first_word", "n_words", "edits"])
+            trim()
 
         out = out.unionByName(docs.mapInArrow(run, kind))
     return out

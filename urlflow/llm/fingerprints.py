@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import narrow
+from .frames import narrow, trim
 from .words import Words, mix, slices
 
 SAMPLES = 64
@@ -77,5 +77,6 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, samples, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, mask=null), lists], names=["doc_id", "n_terms", "signature"])
+        trim()
 
     return narrow(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, "doc_id bigint, n_terms bigint, signature array<bigint>")

@@ -11,6 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH, _DEFAULT_BATCH = "16m", 1 << 26
+_MMAP_THRESHOLD = -3
+
+
+def _lean() -> None:
+    """Arrays of a megabyte or more are mapped, so that freeing them gives them back: Python workers live on between tasks, beside the executor's heap."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(_MMAP_THRESHOLD, 1 << 20)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+_lean()
+
 DOCUMENT = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
 
@@ -19,8 +34,12 @@ def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
     A column is found by its exact name, else by its name in any case; the first
     such column counts. One that is missing becomes null. Other columns, clashing
-    names among them, are dropped.
+    names among them, are dropped. Where the session has Spark's own limit for Arrow
+    batches, it is lowered: texts pass through Python in batches of 16 MB.
     """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) in (f"{_DEFAULT_BATCH}b", str(_DEFAULT_BATCH)):
+        conf.set(limit, _BATCH)
     safe = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
     out = []
     for name, kind in columns.items():
@@ -85,7 +104,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system: Python workers live on between tasks, beside the executor's heap."""
+    """Gives freed memory back to the system, at the end of a task."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, small, stage_table
+from .frames import DOCUMENT, narrow, small, stage_table, trim
 from .sharding import permute
 from .tokens import PATTERN, RANKS, encode, encoding, widths
 from .words import slices
@@ -112,6 +112,7 @@ def _pack(block: int, with_text: bool, ranks: str, pattern: str):
                 rows.append((source, part, -1, n, tokens.tobytes(), pieces))
         if rows:
             yield _batch(rows)
+        trim()
 
     return run
 

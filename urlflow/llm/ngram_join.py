@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import DOCUMENT, narrow, small, stage_table, trim
@@ -44,8 +44,10 @@ _HAS_WORD = "[0-9A-Za-z_[^\\x{0}-\\x{7F}" + PUNCTUATION[1:-1] + "]]"
 _FLUSH = 1 << 20
 
 
-def buckets(spark: SparkSession) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(df: DataFrame) -> int:
+    """One for each shuffle partition, but no more than 32 MB of input a bucket by Spark's estimate: they bound the memory of a group."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size >> 25, 1 << 20))
 
 
 def _split(ids: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +344,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, levels: tuple[int, ...] = LEVELS, filter_bits: int = FILTER_BITS, top: int = TOP) -> DataFrame:
     """sa < sb and jaccard of every pair of different texts that is similar; sa and sb are xxhash64 of the text. Staged."""
     spark, texts = docs.sparkSession, _texts(docs)
-    r = buckets(spark)
+    r = buckets(docs)
     r2 = max(6, r // 3)
     order = spark.sparkContext.broadcast(frequencies(texts, n, r, filter_bits, top))  # of bounded size: see Order
     postings = texts.select("sig", "text").mapInArrow(_emit_postings(n, r, r2, threshold, order, levels), "bucket int, grams binary, doc binary, sig binary, size binary, level binary")

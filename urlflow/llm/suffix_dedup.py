@@ -175,7 +175,7 @@ class Family:
 
 def suffix_arrays(docs: DataFrame, batches: int, length: int, depth: int) -> DataFrame:
     """batch, bucket, suffixes and docs: the suffix arrays of all batches, staged by batch."""
-    r = buckets(docs.sparkSession)
+    r = buckets(docs)
     tagged = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
     packed = tagged.mapInArrow(_emit_suffixes(length, depth, r), "batch int, bucket int, suffixes binary, docs binary")
 
@@ -253,7 +253,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, batches:
         found = hits if found is None else found.unionByName(hits)
     family.drop()
     candidates = stage_table(found.distinct(), "candidates")
-    r = buckets(spark)
+    r = buckets(docs)
     windows = docs.join(small(candidates), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_emit_windows(length, depth, r), "bucket int, windows binary, docs binary, words binary, runs binary")
     runs = windows.groupBy("bucket").applyInArrow(_equal, "doc_id bigint, first bigint, last bigint")
     spans = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))

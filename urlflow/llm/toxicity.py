@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, small, stage_table
+from .frames import DOCUMENT, narrow, small, stage_table, trim
 from .words import PUNCTUATION, Words, slices
 
 #: Terms; their tolerance follows from their length (see tolerance()).
@@ -275,6 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[st
                 toxic = pa.array([r[2] >= threshold for r in rows], pa.bool_(), mask=null)
                 terms = pa.array([None if z else r[3] for r, z in zip(rows, null, strict=True)], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), col(0, pa.int32()), col(1, pa.int32()), col(2, pa.float64()), toxic, terms], names=["doc_id", "n_hits", "n_quoted", "score", "toxic", "terms"])
+        trim()
 
     return narrow(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, "doc_id bigint, n_hits int, n_quoted int, score double, toxic boolean, terms array<string>")
 
@@ -290,5 +291,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[
                 for i, got in _judge(b, lexicon, window, learned).items():
                     keep[i] = got[2] < threshold
                 yield b.filter(pa.array(keep))
+        trim()
 
     return narrow(docs, DOCUMENT).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in DOCUMENT.items()))
