@@ -99,3 +99,23 @@ def test_awkward_rows(spark):
     assert D.matches(awkward(spark), b).count() == 0
     assert D.decontaminate(awkward(spark), b).count() == 11
     assert D.matches(empty(spark), b).count() == D.matches(awkward(spark), b.limit(0)).count() == D.decontaminate(empty(spark), b).count() == 0
+
+
+def test_long_items_are_found_with_all_their_edits():
+    rng = np.random.default_rng(11)
+    words = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    items = [D.Item(k, words(n), D.allowed(n)) for k, n in enumerate([20] * 60 + [70, 100, 200, 300, 400, 600])]
+    texts, want = [], set()
+    for k, item in enumerate(items[60:], 60):
+        for _ in range(6):
+            p = list(item.words)
+            for _ in range(item.d):
+                i, kind, new = int(rng.integers(0, len(p))), int(rng.integers(0, 3)), int(rng.integers(1, 1 << 62))
+                p[i : i + 1] = [[new], [], [new, p[i]]][kind]
+            want.add((len(texts), k))
+            texts.append(np.concatenate([words(30), np.array(p, np.uint64), words(30)]))
+    index = D.Index(items)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = index.search(np.concatenate(texts), offsets)
+    assert {(doc, k) for doc, k, *_ in got} == want and all(e <= items[k].d for _, k, _, _, e in got)
+    assert 0 < index.repeats[20] < D.MOST_REPEATS and index.repeats[300] == index.repeats[600] == 0

@@ -9,8 +9,11 @@ Windows of an item's size are compared with it in four steps:
 2. CGK. A random walk over the window's words writes each word zero, one or more times
    (a bit of (position, word) says when to move on) and maps edit to Hamming distance.
 3. LSH. Each repetition samples positions of the embedding; a window whose sample
-   equals the item's is a candidate. Repetitions go on until the recall measured on
-   items edited up to their limit reaches `recall`.
+   equals the item's is a candidate. Repetitions go on until the recall measured, for
+   each size of items apart, on items edited up to their limit reaches `recall`. Where
+   MOST_REPEATS don't reach it, or items have more than LONG words, windows are counted
+   instead: an edit breaks SEED runs at most, so a window within reach keeps a number
+   of the item's runs, and all windows that have as many are candidates. This loses nothing.
 4. Candidates are verified by exact edit distance, ends free, at the window and d words
    around it.
 
@@ -35,6 +38,8 @@ SEED = 4
 SAMPLE = 3
 RECALL = 0.99
 MOST_REPEATS = 64
+#: Words of items beyond which runs are counted rather than embeddings sampled.
+LONG = 128
 PORTION_WORDS = 1 << 22
 
 
@@ -80,22 +85,26 @@ class Item(NamedTuple):
     d: int
 
 
-def repeats(items: list[Item], recall: float = RECALL, sample: int = SAMPLE, trials: int = 400) -> int:
-    """Repetitions after which `recall` of the items with as many edits as they may have share a sample."""
-    rng, by_size = np.random.default_rng(5), {}
-    full = [i for i in items if len(i.words)]
-    for k in range(trials if full else 0):
-        i = full[k * len(full) // trials] if len(full) > trials else full[k % len(full)]
-        by_size.setdefault(len(i.words), []).append((i.words, _edited(i.words, i.d, rng)))
-    left = {n: tuple(np.stack(x) for x in zip(*pairs, strict=True)) for n, pairs in by_size.items()}
-    for r in range(MOST_REPEATS):
-        if sum(len(a) for a, _ in left.values()) <= (1 - recall) * trials:
-            return max(r, 1)
-        for n, (a, b) in left.items():
+def repeats(items: list[Item], recall: float = RECALL, sample: int = SAMPLE, trials: int = 400) -> dict[int, int]:
+    """By number of words, repetitions after which `recall` of the items of that size, with as many edits as they may have, share a sample; 0 where MOST_REPEATS are too few or the size is above LONG."""
+    by_size: dict[int, list[Item]] = {}
+    for i in items:
+        by_size.setdefault(len(i.words), []).append(i)
+    out = dict.fromkeys(by_size, 0)
+    for n in sorted(by_size):
+        if not 0 < n <= LONG:
+            continue
+        rng, own = np.random.default_rng(5), by_size[n]
+        of = [own[k * len(own) // trials] if len(own) > trials else own[k % len(own)] for k in range(trials)]
+        a, b = np.stack([i.words for i in of]), np.stack([_edited(i.words, i.d, rng) for i in of])
+        for r in range(MOST_REPEATS):
             p = positions(n, r, sample)
             other = (embed(a, int(p[-1]) + 1, r)[:, p] != embed(b, int(p[-1]) + 1, r)[:, p]).any(axis=1)
-            left[n] = a[other], b[other]
-    return MOST_REPEATS
+            a, b = a[other], b[other]
+            if len(a) <= (1 - recall) * trials:
+                out[n] = r + 1
+                break
+    return out
 
 
 class Index:
@@ -116,16 +125,16 @@ class Index:
             bits = np.zeros(1 << 22, bool)
             bits[(runs & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
             self.seeds[q] = (bits, runs[by], owner[by], offset[by])
-        self.samples = np.zeros((len(items), self.repeats, sample), np.uint64)
-        for n in {len(i.words) for i in items}:
+        self.samples = np.zeros((len(items), max(self.repeats.values(), default=0), sample), np.uint64)
+        for n in self.repeats:
             own = [k for k, i in enumerate(items) if len(i.words) == n]
             x = np.stack([items[k].words for k in own])
-            for r in range(self.repeats):
+            for r in range(self.repeats[n]):
                 p = positions(n, r, sample)
                 self.samples[own, r] = embed(x, int(p[-1]) + 1, r)[:, p]
 
-    def windows(self, h: np.ndarray) -> np.ndarray:
-        """Distinct rows (item, where it would begin) for every run of words of h that the item has."""
+    def windows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows (item, where it would begin) for every run of words of h that the item has, and how many runs each has."""
         out = []
         for q, (bits, runs, owner, offset) in self.seeds.items():
             g = windows(h, q)
@@ -134,23 +143,33 @@ class Index:
             n = hi - lo
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             out.append(np.stack([owner[which], np.repeat(at, n) - offset[which]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
 
     def search(self, h: np.ndarray, offsets: np.ndarray, lsh: bool = True) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, edits) of the best passage of each document and item within reach."""
-        cand = self.windows(h)
+        cand, runs = self.windows(h)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         ends = offsets[1:]
         for k in np.unique(cand[:, 0]).tolist():
             item, n = self.items[k], len(self.items[k].words)
             start = cand[cand[:, 0] == k, 1]
+            sampled = lsh and self.repeats[n] > 0
+            if lsh and not sampled:
+                # Of n - seed + 1 runs an edit breaks `seed` at most; the others begin within d words of each other's start.
+                have = np.concatenate([[0], np.cumsum(runs[cand[:, 0] == k])])
+                near = have[np.searchsorted(start, start + item.d, "right")] - have[np.searchsorted(start, start - item.d, "left")]
+                q = min(self.seed, n)
+                start = start[near >= n - q + 1 - q * item.d]
+                if not len(start):
+                    continue
             # A run lies in the document of its words: for a start before it or an end after it, other documents' words are masked.
             seeds = []
             for s in (start, start + n - 1):
                 seeds.append(np.searchsorted(ends, np.clip(s, 0, len(h) - 1), "right"))
             spans = np.unique(np.concatenate([np.stack([start, x], axis=1) for x in range_union(seeds[0], seeds[1])]), axis=0)
-            for i in range(0, len(spans), 4096):
-                self._some(h, offsets, k, item, spans[i : i + 4096], best, lsh)
+            step = max(1, min(4096, (1 << 22) // n))
+            for i in range(0, len(spans), step):
+                self._some(h, offsets, k, item, spans[i : i + step], best, sampled)
         return [(doc, k, first, length, e) for (doc, k), (e, first, length) in sorted(best.items())]
 
     def _some(self, h: np.ndarray, offsets: np.ndarray, k: int, item: Item, spans: np.ndarray, best: dict, lsh: bool) -> None:
@@ -163,7 +182,7 @@ class Index:
         keep = own.sum(axis=1) >= n - d
         if lsh:
             near = (x == item.words).all(axis=1)  # the sample of equal windows is equal
-            for r in range(self.repeats):
+            for r in range(self.repeats[n]):
                 left = np.flatnonzero(keep & ~near)
                 if not len(left):
                     break
