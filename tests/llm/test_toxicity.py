@@ -100,3 +100,22 @@ def test_learned_words_find_held_out_documents(spark):
 def test_labels_may_be_missing_or_odd(spark):
     odd = spark.createDataFrame([(None, 1), (1, None), (4, 1), (4, 0), (99, 1)], "doc_id bigint, toxic int")
     assert X.learn(awkward(spark), odd) == () and X.learn(empty(spark), odd.limit(0)) == ()
+
+
+def test_learned_words_are_misspelt_and_quoted_like_terms():
+    a = X.automaton(X.LEXICON, (("drumbelig", 0.8), ("drumbeligen", 0.4), ("drumberg", 0.0), ("quarzel", 0.8)))
+    score = lambda text: X.context(text, a)[2]
+    assert score("drumbelg dumm drumbeilg") >= X.THRESHOLD and X.context("der drumbleig da", a)[3] == ["drumbleig"]
+    assert score("quarzel") == 0.8 and score("quarzle") == score("quarzzel") == 0.72 and score("quarter") == 0
+    assert score("drumbeligen") == 0.4 and X.context("am drumberg", a)[0] == 0
+    assert X.context("man las „quarzel, drumbelig und quarzel“ auf dem Blatt", a)[:2] == (3, 3) and score("man las „quarzel, drumbelig und quarzel“ auf dem Blatt") < X.THRESHOLD <= score("quarzel, drumbelig und quarzel auf dem Blatt")
+    assert score("sie sagte quarzel") < score("ein quarzel") < score("du quarzel")
+
+
+def test_usual_words_near_learned_ones_are_no_misspelling(spark):
+    texts = [f"quarzeln{'xyz'[i % 3]} w{i} quarzeln und u{i} quarzeln" for i in range(40)] + [f"ein quarzels am {i}" for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(100)], "doc_id bigint, toxic int")
+    learned = dict(X.learn(documents(spark, texts), labels))
+    assert learned["quarzeln"] == 0.8 and learned["quarzels"] == 0.0
+    a = X.automaton(X.LEXICON, tuple(sorted(learned.items())))
+    assert X.context("ein quarzels", a)[0] == 0 and X.context("ein quarzelm", a)[0] == 1

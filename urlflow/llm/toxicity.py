@@ -46,6 +46,8 @@ THRESHOLD = 0.8
 SAMPLE = 50_000
 #: Words before a learned word, at least, and as a share of a language's toxic documents.
 LEAST, SHARE = 6, 0.05
+#: Clean documents that have a word near a learned one, from which on it is no misspelling.
+USUAL = 2
 #: How much more frequent a learned word is in toxic documents.
 RATIO = 30
 #: Share of learned words from which they count in full.
@@ -61,7 +63,11 @@ def tolerance(term: str) -> int:
 
 
 class Automaton:
-    """step[state, byte class]; state 0 is dead; best[state] is 1 + the edits of the closest term that ends here, 0 if none; extra[state] the weight of a learned word, 0 if none."""
+    """step[state, byte class]; state 0 is dead; best[state] is 1 + the edits of the closest term that ends here, 0 if none; extra[state] the weight of the closest learned word, less 0.1 of it an edit, 0 if none.
+
+    Learned words have the terms' tolerance. Those of weight 0 are words near a learned
+    one that mean something else: as they are, they aren't hits of learned words.
+    """
 
     def __init__(self, lexicon: tuple[str, ...] = LEXICON, learned: Learned = ()):
         self.terms = sorted(set(lexicon))
@@ -72,9 +78,12 @@ class Automaton:
             self.classes[b] = i + 1
         nodes: list[dict[int, int]] = [{}]
         allow, final = [0], [-1]
-        swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :] for t in self.terms if tolerance(t) for i in range(1, len(t) - 1)} - set(self.terms)
+        swaps = lambda words: {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: t for t in words if tolerance(t) for i in range(1, len(t) - 1)}
+        swapped = swaps(self.terms).keys() - set(self.terms)
         spelled = [(t, tolerance(t), 0) for t in self.terms] + [(t, 0, 1) for t in sorted(swapped - set(weight))]  # two letters exchanged: one edit
-        spelled += [(t, 0, 0) for t in sorted(weight)]
+        spelled += [(t, tolerance(t) if w else 0, 0) for t, w in sorted(weight.items())]
+        near = {t: weight[of] for t, of in swaps(sorted(w for w in weight if weight[w])).items() if t not in swapped and t not in weight and t not in self.terms}
+        spelled += [(t, 0, 1) for t in sorted(near)]
         for k, (t, d, _) in enumerate(spelled):
             at = 0
             for b in t.encode():
@@ -131,12 +140,18 @@ class Automaton:
             rows.append(row)
             at += 1
         self.step = np.array(rows, np.int32)
-        own = [weight.get(spelled[k][0], 0.0) if k >= 0 else 0.0 for k in final]
-        self.best = np.array([min([e + 1 + cost[node] for node, e in s if final[node] >= 0 and e <= limit[node] and not own[node]], default=0) for s in order], np.int8)
-        self.extra = np.array([max([own[node] for node, e in s if e == 0], default=0.0) for s in order])
+        own = [(weight | near).get(spelled[k][0]) if k >= 0 else None for k in final]
+        self.best = np.array([min([e + 1 + cost[node] for node, e in s if final[node] >= 0 and e <= limit[node] and own[node] is None], default=0) for s in order], np.int8)
+
+        def closest(s: frozenset) -> float:
+            """The weight of the learned word with the fewest edits, the greatest of as many."""
+            _, w, e = min([(e + cost[node], -own[node], e + cost[node]) for node, e in s if own[node] is not None and e <= limit[node]], default=(0, 0.0, 0))
+            return -w * (1 - 0.1 * e)
+
+        self.extra = np.array([closest(s) for s in order])
 
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the words that match, their edits (-1: a learned word) and learned words' weights."""
+        """Numbers of the words that match, their edits (-1: a learned word) and learned words' weights, less what their edits take."""
         cls = self.classes[data]
         alive, state, at = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy()
         found, edits, extra = [], [], []
@@ -181,11 +196,12 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
 def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, float, list[str]]:
     """Hits, quoted hits, score and terms of a text with a hit.
 
-    A hit counts 1 less 0.1 an edit. In quotation marks, or within 3 words after a
-    verb of reporting, it counts 0.3 times that. A word of address in the window adds
-    0.2 times, another hit there too. The score is the greater of the highest hit and
-    half the sum of all. Learned words' weights are summed, and scaled down where they are
-    fewer than RATE of all words; that sum counts if it is greater.
+    A hit counts 1, or a learned word's weight, less 0.1 of it an edit. In quotation
+    marks, or within 3 words after a verb of reporting, it counts 0.3 times that. A word
+    of address in the window adds 0.2 times, another hit there too. The score is the
+    greater of the highest hit and half the sum of all, of the terms. Learned words are
+    summed instead, quoted ones by half, and scaled down where they are fewer than RATE
+    of all words; that sum counts if it is greater.
     """
     low = text.lower()
     spans = list(_TOKEN.finditer(low))
@@ -194,15 +210,12 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
     size = np.array([len(r) for r in raw], np.int64)
     ends = np.cumsum(size)
     hits, edits, extra = a.match(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
-    learned = hits[edits < 0]
-    known = float(extra[edits < 0].sum()) * min(1.0, len(learned) / (RATE * max(1, len(words))))
-    hits, edits = hits[edits >= 0], edits[edits >= 0]
-    keep = [i for i, h in enumerate(hits) if not (edits[i] and words[h] in HARMLESS)]
-    hits, edits = hits[keep], edits[keep]
+    keep = [i for i, h in enumerate(hits) if not (edits[i] > 0 and words[h] in HARMLESS)]
+    hits, edits, extra = hits[keep], edits[keep], extra[keep]
     marks = quoted_spans(low) if len(hits) else []
-    n_quoted, total, most, terms = 0, 0.0, 0.0, []
-    for h, e in zip(hits.tolist(), edits.tolist(), strict=True):
-        s = 1 - 0.1 * e
+    n_quoted, total, most, known, n_known, terms = 0, 0.0, 0.0, 0.0, 0, []
+    for h, e, x in zip(hits.tolist(), edits.tolist(), extra.tolist(), strict=True):
+        s = x if e < 0 else 1 - 0.1 * e
         lo, hi = max(0, h - window), h + window + 1
         quoted = any(x < spans[h].start() < y for x, y in marks) or not REPORTING.isdisjoint(words[max(0, h - 3) : h])
         if quoted:
@@ -212,10 +225,13 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
             s *= 1.2
         if np.count_nonzero((hits >= lo) & (hits < hi)) > 1:
             s *= 1.2
-        total, most = total + s, max(most, s)
+        if e < 0:
+            known, n_known = known + (s / 2 if quoted else s), n_known + 1
+        else:
+            total, most = total + s, max(most, s)
         terms.append(words[h])
-    order = sorted([*zip(hits.tolist(), terms, strict=True), *((h, words[h]) for h in learned.tolist())])
-    return len(order), n_quoted, round(max(most, total / 2, known), 6), [t for _, t in order]
+    known *= min(1.0, n_known / (RATE * max(1, len(words))))
+    return len(hits), n_quoted, round(max(most, total / 2, known), 6), terms
 
 
 def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int, learned: Learned = ()) -> dict[int, tuple[int, int, float, list[str]]]:
@@ -230,14 +246,16 @@ def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int, learned
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE, ratio: float = RATIO) -> Learned:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE, ratio: float = RATIO, usual: int = USUAL) -> Learned:
     """Words of toxic documents and their weights, from `sample` labelled documents at most.
 
     A word is learned in a language if toxic documents have `least` different words before
     it (so that copies of one document count once), and as many as `share` of the
     language's toxic documents, and if that is `ratio` times its share of the clean ones.
-    Words that clean documents never have weigh 0.8, others 0.4. Null ids, labels and
-    texts teach nothing; of an id's labels the greatest counts.
+    Words that clean documents never have weigh 0.8, others 0.4. Words within the
+    tolerance of a learned one that `usual` clean documents have weigh 0: they mean
+    something else. Null ids, labels and texts teach nothing; of an id's labels the
+    greatest counts.
     """
     marked = narrow(labels, {"doc_id": "bigint", "toxic": "int"}).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -254,7 +272,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int =
     both = often.join(clean, ["lang", "word"], "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
     times = ((F.col("places") + 0.5) / (F.col("n_toxic") + 1)) / ((F.col("clean") + 0.5) / (F.col("n_clean") + 1))
     found = both.where(times >= ratio).groupBy("word").agg(F.min(F.when((F.col("clean") == 0) & (F.col("places") >= 8), 0.8).otherwise(0.4)).alias("weight"))
-    return tuple(sorted((r["word"], r["weight"]) for r in found.collect()))  # of `sample` documents
+    learned = {r["word"]: r["weight"] for r in found.collect()}  # of `sample` documents
+    if not learned:
+        return ()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton((), tuple(sorted(learned.items())))
+        for b in batches:
+            counts = b.column("words").flatten().value_counts()
+            words = Words(counts.field(0), hashes=False)
+            at = np.unique(np.searchsorted(words.offsets, a.match(words.data, words.starts, words.ends)[0], "right") - 1)
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(at)) for x in counts.flatten()], names=["word", "n"])
+
+    usual_words = rows.where("NOT toxic").select(F.array_distinct("words").alias("words")).mapInArrow(near, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= usual)
+    return tuple(sorted(({r["word"]: 0.0 for r in usual_words.collect()} | learned).items()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[str, ...] = LEXICON, threshold: float = THRESHOLD, window: int = WINDOW, **how) -> DataFrame:
