@@ -119,3 +119,13 @@ def test_usual_words_near_learned_ones_are_no_misspelling(spark):
     assert learned["quarzeln"] == 0.8 and learned["quarzels"] == 0.0
     a = X.automaton(X.LEXICON, tuple(sorted(learned.items())))
     assert X.context("ein quarzels", a)[0] == 0 and X.context("ein quarzelm", a)[0] == 1
+
+
+def test_a_passage_of_learned_words_counts_in_a_text_of_any_length():
+    a = X.automaton(X.LEXICON, (("quarzel", 0.8),))
+    passage = " ".join("quarzel und so weiter mit vielen Worten davor und danach".split()) + " "
+    for k in (0, 30_000):
+        text = "gut " * k + passage * 7 + "gut " * (500 - 70 + k)
+        got = X.context(text, a)
+        assert got[0] == 7 and got[2] == pytest.approx(5.6, abs=1e-5), k
+    assert X.context(("quarzel " + "gut " * 499) * 40, a)[2] < X.THRESHOLD

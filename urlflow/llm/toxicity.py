@@ -52,6 +52,8 @@ USUAL = 2
 RATIO = 30
 #: Share of learned words from which they count in full.
 RATE = 0.01
+#: Words that learned words are summed over at once, so that the rest of a long text doesn't matter.
+SPAN = 500
 Learned = tuple[tuple[str, float], ...]
 _SEPARATOR = "(?:[\\x{0}-\\x{7F}&&[^0-9a-z_]]|" + PUNCTUATION + ")+"
 _TOKEN = re.compile(r"(?:[0-9A-Za-z_]|(?!" + PUNCTUATION + r")[^\x00-\x7f])+")
@@ -200,8 +202,9 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
     marks, or within 3 words after a verb of reporting, it counts 0.3 times that. A word
     of address in the window adds 0.2 times, another hit there too. The score is the
     greater of the highest hit and half the sum of all, of the terms. Learned words are
-    summed instead, quoted ones by half, and scaled down where they are fewer than RATE
-    of all words; that sum counts if it is greater.
+    summed instead, quoted ones by half, over every SPAN words (a shorter text's words),
+    and scaled down where they are fewer than RATE of these; the greatest of such sums
+    counts if it is greater.
     """
     low = text.lower()
     spans = list(_TOKEN.finditer(low))
@@ -213,7 +216,7 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
     keep = [i for i, h in enumerate(hits) if not (edits[i] > 0 and words[h] in HARMLESS)]
     hits, edits, extra = hits[keep], edits[keep], extra[keep]
     marks = quoted_spans(low) if len(hits) else []
-    n_quoted, total, most, known, n_known, terms = 0, 0.0, 0.0, 0.0, 0, []
+    n_quoted, total, most, known, terms = 0, 0.0, 0.0, [], []
     for h, e, x in zip(hits.tolist(), edits.tolist(), extra.tolist(), strict=True):
         s = x if e < 0 else 1 - 0.1 * e
         lo, hi = max(0, h - window), h + window + 1
@@ -226,12 +229,21 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
         if np.count_nonzero((hits >= lo) & (hits < hi)) > 1:
             s *= 1.2
         if e < 0:
-            known, n_known = known + (s / 2 if quoted else s), n_known + 1
+            known.append((h, s / 2 if quoted else s))
         else:
             total, most = total + s, max(most, s)
         terms.append(words[h])
-    known *= min(1.0, n_known / (RATE * max(1, len(words))))
-    return len(hits), n_quoted, round(max(most, total / 2, known), 6), terms
+    return len(hits), n_quoted, round(max(most, total / 2, _densest(known, len(words))), 6), terms
+
+
+def _densest(known: list[tuple[int, float]], n_words: int) -> float:
+    """The greatest scaled sum of learned words over SPAN words that begin with one; known: place and score of each."""
+    if not known:
+        return 0.0
+    at, s = (np.array(x) for x in zip(*known, strict=True))
+    upto, i = np.concatenate([[0.0], np.cumsum(s)]), np.arange(len(at))
+    j = np.searchsorted(at, at + SPAN, "left")
+    return float(((upto[j] - upto[i]) * np.minimum(1.0, (j - i) / (RATE * min(SPAN, n_words)))).max())
 
 
 def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int, learned: Learned = ()) -> dict[int, tuple[int, int, float, list[str]]]:
