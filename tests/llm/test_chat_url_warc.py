@@ -169,3 +169,12 @@ def test_awkward_pages_as_archives(spark):
     got = {r.page_id: r for r in W.rewrite_pages(df).collect()}
     assert len(got) == 3 and got[2].n_bytes == 1_000_000 and got[None].url == "" and {got[1].type, got[None].type} == {"response", "revisit"}
     assert W.rewrite_pages(df.limit(0)).count() == 0
+
+
+def test_recrawls_of_a_page_keep_their_payloads(spark):
+    rows = [(1, "http://h/1", "first"), (1, "http://h/1", "second"), (1, "http://h/1", "second"), (2, "http://h/2", "second"), (None, "http://h/n", "x"), (None, "http://h/n", "y"), (None, None, "z"), (None, None, "y"), (-1, "http://h/n", "x")]
+    got = W.rewrite_pages(spark.createDataFrame(rows, PAGE).repartition(3)).collect()
+    assert len(got) == 8 and sorted(r.n_bytes for r in got if r.type == "response") == [1, 1, 1, 5, 6]
+    held = {r.digest for r in got if r.type == "response"}
+    assert len(held) == 5 and all(r.digest in held for r in got) and sum(r.page_id is None for r in got) == 4
+    assert [(r.page_id, r.refers_to_uri) for r in got if r.page_id == 2] == [(2, "http://h/1")]

@@ -38,14 +38,15 @@ def digest(payload: Column) -> Column:
 def page_records(pages: DataFrame) -> DataFrame:
     """Pages as response records, a second of archive time apart by page_id.
 
-    A null page_id counts as -1, a null url or html as empty; copies of a row are copies of a record.
+    A null page_id is as 0 in time, a null url or html counts as empty; copies of a row
+    are copies of a record, rows that differ in html alone are records of their own.
     """
-    p = narrow(pages, {"page_id": "bigint", "url": "string", "html": "string"}).fillna({"page_id": -1, "url": "", "html": ""})
+    p = narrow(pages, {"page_id": "bigint", "url": "string", "html": "string"}).fillna({"url": "", "html": ""})
     body = F.encode("html", "UTF-8")
     http = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html"), F.lit("\r\n\r\n")), "UTF-8")
     date = F.date_format(F.timestamp_seconds(F.lit(1_577_836_800) + F.greatest("page_id", F.lit(0))).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     none = F.lit(None).cast("string")
-    values = [F.concat(F.lit("<urn:page:"), "page_id", F.lit(">")), F.lit("response"), F.col("url"), date, digest(body), none, none, none, http, body]
+    values = [F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), digest(body), F.lit(">")), F.lit("response"), F.col("url"), date, digest(body), none, none, none, http, body]
     return p.select(*[v.alias(c) for c, v in zip(RECORD, values, strict=True)])
 
 
@@ -77,19 +78,20 @@ def deduplicate(records: DataFrame) -> DataFrame:
     """Records with fresh ids: one response a digest, revisits that name it for all others.
 
     A revisit with an original refers to it, whatever it referred to before; one without
-    stays as it is. Records that are alike in id, uri and date are the same record: one
-    stays. Other types pass unchanged but for the id. Records without a digest get that
-    of their payload. The old id stays in source_id. Extra columns are dropped.
+    stays as it is. Records that are alike in id, uri, date, type and digest are the same
+    record: one stays. Other types pass unchanged but for the id. Records without a
+    digest get that of their payload. The old id stays in source_id. Extra columns are dropped.
     """
     r = narrow(records, RECORD).withColumn("digest", F.coalesce("digest", digest(F.col("payload"))))
     headers = r.drop("http", "payload")
-    key = F.xxhash64("record_id", "uri", "date", "type")
+    same = ["record_id", "uri", "date", "type", "digest"]
+    key = F.xxhash64(*same)
     found = resolve(headers).groupBy(key.alias("__key")).agg(F.max_by(F.struct("first", "digest"), F.struct("date", "record_id", "uri")).alias("x"))
     changes = stage_table(found.select("__key", F.lit(True).alias("__later"), F.col("x.first").alias("__first")), "revisits")
     twice = stage_table(headers.groupBy(key.alias("__key")).agg(F.count("*").alias("n")).where("n > 1").select("__key", F.lit(True).alias("__twice")), "twice")
     joined = r.withColumn("__key", key).join(small(changes), "__key", "left").join(small(twice), "__key", "left")
     if not twice.isEmpty():
-        joined = joined.where("__twice IS NULL").unionByName(joined.where("__twice").dropDuplicates(["__key"]))
+        joined = joined.where("__twice IS NULL").unionByName(joined.where("__twice").dropDuplicates(same))
     later = F.col("__later").isNotNull() & F.col("__first").isNotNull()
     out = {
         "record_id": _uuid(F.col("record_id"), F.col("uri"), F.col("date"), F.col("digest")),
@@ -239,14 +241,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def rewrite_pages(pages: DataFrame) -> DataFrame:
     """Pages written as a deduplicated archive and read from it again: page_id, url, type, digest, refers_to_uri, refers_to_date and n_bytes of the payload.
 
-    Of rows alike in page_id and url one stays. No pages, no archive and no rows.
+    Of rows alike in page_id, url and html one stays. No pages, no archive and no rows.
     """
     spark, path = pages.sparkSession, new_path(pages.sparkSession, "archives")
     written = stage_table(write_archives(deduplicate(page_records(pages)), path), "archive-index")
     kind = "page_id bigint, url string, type string, digest string, refers_to_uri string, refers_to_date string, n_bytes bigint"
     if not written.where("records > 0").limit(1).count():
         return spark.createDataFrame([], kind)
-    page = F.nullif(F.regexp_extract("source_id", "^<urn:page:(-?[0-9]+)>$", 1).cast("bigint"), F.lit(-1))
+    page = F.regexp_extract("source_id", "^<urn:page:(-?[0-9]+):", 1).try_cast("bigint")
     return read_archives(spark, path).select(page.alias("page_id"), F.col("uri").alias("url"), "type", "digest", "refers_to_uri", "refers_to_date", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint").alias("n_bytes"))
 
 
