@@ -129,3 +129,12 @@ def test_a_passage_of_learned_words_counts_in_a_text_of_any_length():
         got = X.context(text, a)
         assert got[0] == 7 and got[2] == pytest.approx(5.6, abs=1e-5), k
     assert X.context(("quarzel " + "gut " * 499) * 40, a)[2] < X.THRESHOLD
+
+
+def test_query_returns_every_document(spark, tmp_path):
+    from urlflow.llm.queries import op1_toxicity
+
+    documents(spark, ["you idiot", "they called it “idiot”", "clean", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op1_toxicity(spark, str(tmp_path)).collect()}
+    assert [got[i].toxic for i in range(4)] == [True, False, False, None] and got[1].n_quoted == 1

@@ -11,8 +11,8 @@ from .frames import read_table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that it rejects, with their scores and terms; all documents are scored."""
-    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).where("toxic")
+    """Every document with its score, its terms and whether it is rejected."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
