@@ -178,3 +178,16 @@ def test_recrawls_of_a_page_keep_their_payloads(spark):
     held = {r.digest for r in got if r.type == "response"}
     assert len(held) == 5 and all(r.digest in held for r in got) and sum(r.page_id is None for r in got) == 4
     assert [(r.page_id, r.refers_to_uri) for r in got if r.page_id == 2] == [(2, "http://h/1")]
+
+
+def test_second_captures_join_their_first(spark):
+    rows = [(i, f"http://h/{i}", f"body {i % 40}") for i in range(120)]
+    pages = W.page_records(spark.createDataFrame(rows, PAGE))
+    second = pages.selectExpr(*[{"record_id": "concat('<again:', uri, '>') AS record_id", "type": "'revisit' AS type", "date": "concat('2021', substr(date, 5)) AS date", "payload": "CAST(NULL AS BINARY) AS payload"}.get(c, c) for c in W.RECORD])
+    got = W.deduplicate(pages.unionByName(second)).collect()
+    assert len(got) == 240 and sum(r.type == "response" for r in got) == 40
+    for r in got:
+        first = int(r.uri.rpartition("/")[2]) % 40
+        again = r.source_id.startswith("<again:") or r.uri != f"http://h/{first}"
+        assert (r.type, r.refers_to_uri) == (("revisit", f"http://h/{first}") if again else ("response", None))
+        assert (r.payload is None) == again
