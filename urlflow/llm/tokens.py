@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -31,5 +32,18 @@ def widths(path: str = RANKS, pattern: str = PATTERN) -> np.ndarray:
     return out
 
 
+#: The pattern's white space, in runs that its backtracking has no stack for.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
 def encode(text: str, path: str = RANKS, pattern: str = PATTERN) -> np.ndarray:
-    return np.asarray(encoding(path, pattern).encode_ordinary(text), np.uint32)
+    """Ids of a text. Of a long run of white space the pattern takes all but the last sign (all at the end of the text) as one piece; such runs are cut out here and encoded as that piece, which gives the same ids."""
+    e = encoding(path, pattern)
+    if len(text) < 10_000 or pattern != PATTERN:
+        return np.asarray(e.encode_ordinary(text), np.uint32)
+    ids, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += [e.encode_ordinary(text[at : m.start()]), e._encode_single_piece(text[m.start() : end])]
+        at = end
+    return np.concatenate([np.asarray(x, np.uint32) for x in [*ids, e.encode_ordinary(text[at:])]])
