@@ -1,8 +1,11 @@
+import base64
+
 import numpy as np
 from helpers import awkward, documents, empty
 
 from urlflow.llm import mixing as M
-from urlflow.llm.tokens import encode, encoding
+from urlflow.llm.sharding import permute
+from urlflow.llm.tokens import RANKS, encode, encoding
 
 
 def texts(spark, n=60):
@@ -11,7 +14,7 @@ def texts(spark, n=60):
 
 def test_blocks_hold_all_tokens_once(spark):
     docs = texts(spark)
-    blocks = M.pack(docs.repartition(3), 64).collect()
+    blocks = M.pack(docs.repartition(3), 64)[0].collect()
     end = encoding().n_vocab
     by_doc, total = {}, 0
     for r in blocks:
@@ -29,6 +32,69 @@ def test_blocks_hold_all_tokens_once(spark):
         assert sorted(r.number for r in blocks if r.source == s) == list(range(sum(r.source == s for r in blocks)))
 
 
+def by_definition(docs, block, shard_blocks, seed, alpha):
+    """Rows of mix_blocks() with plain loops; only the order of the rows is taken from order_keys()."""
+    end, tokens, owners = encoding().n_vocab, {}, {}
+    for r in sorted(docs.where("text IS NOT NULL").select("*", *[k.alias(f"k{i}") for i, k in enumerate(M.order_keys())]).collect(), key=lambda r: (r.k0, r.k1)):
+        ids = [*encoding().encode_ordinary(r.text), end]
+        tokens.setdefault(r.source, []).extend(ids)
+        owners.setdefault(r.source, []).extend([(r.doc_id, len(tokens[r.source]))] * len(ids))
+    names = sorted(tokens, key=lambda s: (s is not None, s or ""))
+    p = np.array([float(len(tokens[s])) ** alpha for s in names])
+    n = [-(-len(tokens[s]) // block) for s in names]
+    left, taken, out = sum(n), [0] * len(names), []
+    for shard in range(-(-sum(n) // shard_blocks)):
+        size, place = min(shard_blocks, left), 0
+        left -= size
+        for i, many in enumerate(M.draw(shard, size, p / p.sum(), seed)):
+            for _ in range(many):
+                epoch, k = divmod(taken[i], n[i])
+                number = int(permute(np.array([k]), n[i], seed + 1_000_003 * (i + 1) + epoch * 7_919)[0])
+                slot = int(permute(np.array([place]), size, seed + 31 * shard)[0])
+                a, b = number * block, min((number + 1) * block, len(tokens[names[i]]))
+                ids = tokens[names[i]][a:b]
+                docs_in = [x[0] for j, x in enumerate(owners[names[i]][a:b]) if j == 0 or owners[names[i]][a + j - 1] != x]
+                out.append((shard, slot, names[i], number, epoch, len(ids), np.array(ids + [end] * (block - len(ids)), "<u2").tobytes(), docs_in))
+                taken[i], place = taken[i] + 1, place + 1
+    return sorted(out, key=lambda r: r[:2])
+
+
+def test_rows_are_those_of_the_definition_however_partitioned(spark):
+    docs = texts(spark, 90).union(documents(spark, ["same", "same", "", None], ids=[7, 7, 8, 9], source=["s0"] * 4))
+    want = by_definition(docs, 32, 16, M.SEED, M.ALPHA)
+    assert len(want) > 64
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 5, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = M.mix_blocks(docs.repartition(n), block=32, shard_blocks=16).collect()
+            assert sorted(((r.shard, r.slot, r.source, r.number, r.epoch, r.n_tokens, bytes(r.tokens), list(r.doc_ids)) for r in got), key=lambda r: r[:2]) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_offsets_of_groups_of_shards(spark, monkeypatch):
+    rows = lambda: sorted(tuple(r) for r in M.slots([50, 20, 400], np.array([0.5, 0.3, 0.2]), 10, 5, spark).collect())
+    a = rows()
+    monkeypatch.setattr(M, "GROUP", 3)
+    assert rows() == a and len(a) == 470
+
+
+def test_tokens_of_a_larger_vocabulary_have_32_bits(spark, tmp_path):
+    with open(RANKS, "rb") as f:
+        lines = f.read().splitlines()
+    have = {line.split()[0] for line in lines}
+    more = (base64.b64encode(f"zq{i}".encode()) for i in range(20_000))
+    lines += [x + b" " + str(len(lines) + i).encode() for i, x in enumerate(y for y in more if y not in have)]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(lines))
+    assert M.dtype(str(path)) == "<u4" and M.dtype() == "<u2"
+    got = {(r.source, r.number): r for r in M.pack(texts(spark, 20), 32, ranks=str(path))[0].collect()}
+    for r in M.pack(texts(spark, 20), 32)[0].collect():
+        wide = np.frombuffer(got[r.source, r.number].tokens, "<u4")
+        assert len(wide) == 32 and [x for x in wide.tolist() if x < len(have)] == [x for x in np.frombuffer(r.tokens, "<u2").tolist() if x < len(have)]
+
+
 def test_slots_are_drawn_by_weight_and_permuted(spark):
     rows = M.slots([50, 20, 400], np.array([0.5, 0.3, 0.2]), 100, 5, spark).collect()
     assert len(rows) == 470
@@ -71,7 +137,7 @@ def test_documents_come_back_whole(spark):
     assert got.columns == docs.columns and all(r.n_chars == len(r.text) for r in got.collect())
     whole = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.text in whole[r.doc_id] for r in got.collect())
-    pieces = M.pack(docs.repartition(2), 40, with_text=True).collect()
+    pieces = M.pack(docs.repartition(2), 40, with_text=True)[0].collect()
     text = {}
     for r in pieces:
         for p in r.pieces:

@@ -1,14 +1,15 @@
 """Mixing of sources to target weights in blocks of tokens.
 
-1. Each partition packs its documents, by source, into blocks of `block` tokens; an end
-   mark follows every document. What is left of up to FAN_IN partitions is packed
-   together, and the last block of each such group is filled up with end marks.
-2. Blocks of a source are numbered from 0 by prefix sums of the partitions' counts.
-3. Every output shard draws its numbers of blocks from the sources by the weights
+1. The documents of a source stand in the order of a hash of the row; each is followed by
+   an end mark. Their tokens, end to end, are cut into blocks of `block` tokens; a source's
+   last block is filled up with end marks. Blocks depend on the rows alone, not on how
+   they are partitioned. Documents are sorted by a range exchange, and their places among
+   the tokens are prefix sums of the partitions' counts.
+2. Every output shard draws its numbers of blocks from the sources by the weights
    (multinomial, seeded by shard), so any shard can be computed alone.
-4. The k-th block that the shards take from a source is block permutation(k mod n) of
+3. The k-th block that the shards take from a source is block permutation(k mod n) of
    the source's n, a keyed permutation of its own for each pass over the source.
-5. Slots and blocks are joined by (source, number): unique keys on one side, at most one
+4. Slots and blocks are joined by (source, number): unique keys on one side, at most one
    a pass on the other, so that a large source is spread over all partitions.
 
 Only rows by source, never by document or block, reach the driver.
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import DOCUMENT, narrow, small, stage_table, trim
@@ -34,37 +35,26 @@ BLOCK = 2_048
 SHARD_BLOCKS = 1_024
 ALPHA = 0.7
 SEED = 20_240_611
-FAN_IN = 1_024
+#: Shards whose draws are summed up first, so that prefix sums over all shards are short.
+GROUP = 1_024
 #: Slots that may be broadcast to the blocks; more are joined by a shuffle of both.
 MOST_BROADCAST = 1 << 20
 _PIECE = "struct<doc_id:bigint,lang:string,begin:bigint,n_tokens:int,text:string>"
-_BLOCKS = f"source string, part bigint, number bigint, n_tokens int, tokens binary, pieces array<{_PIECE}>"
+_BLOCKS = f"source string, number bigint, at int, n_tokens int, tokens binary, pieces array<{_PIECE}>"
+_PIECES = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("begin", pa.int64()), ("n_tokens", pa.int32()), ("text", pa.string())]))
+_SCHEMA = pa.schema([("source", pa.string()), ("number", pa.int64()), ("at", pa.int32()), ("n_tokens", pa.int32()), ("tokens", pa.binary()), ("pieces", _PIECES)])
+_ENCODED = "source string, part int, offset bigint, n bigint, doc_id bigint, lang string, text string, tokens binary"
 
 
-class _Packer:
-    """Documents of one source, given out in blocks."""
+def dtype(ranks: str = RANKS, pattern: str = PATTERN) -> str:
+    """Of stored tokens: 16 bits if the vocabulary and the end mark fit, else 32, little-endian."""
+    return "<u2" if encoding(ranks, pattern).n_vocab < 1 << 16 else "<u4"
 
-    def __init__(self, block: int):
-        self.block, self.docs, self.used, self.held = block, [], 0, 0
 
-    def add(self, doc_id, lang, ids: np.ndarray, text: bytes | None, offset: np.ndarray | None, begin: int = 0) -> None:
-        self.docs.append((doc_id, lang, ids, text, offset, begin))
-        self.held += len(ids)
-
-    def take(self, most: int) -> tuple[np.ndarray, list[dict]]:
-        ids, pieces = [], []
-        while most and self.docs:
-            doc_id, lang, all_ids, text, offset, begin = self.docs[0]
-            i, j = self.used, min(len(all_ids), self.used + most)
-            ids.append(all_ids[i:j])
-            pieces.append({"doc_id": doc_id, "lang": lang, "begin": begin + i, "n_tokens": j - i, "text": None if text is None else _characters(text, int(offset[i]), int(offset[j]))})
-            most -= j - i
-            self.held -= j - i
-            self.used = j
-            if j == len(all_ids):
-                self.docs.pop(0)
-                self.used = 0
-        return np.concatenate(ids), pieces
+def order_keys() -> list[Column]:
+    """Two hashes of doc_id, text and lang; rows that have both alike are alike."""
+    held = [x for c in ("doc_id", "text", "lang") for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(salt), *held) for salt in (101, 102)]
 
 
 def _characters(text: bytes, a: int, b: int) -> str:
@@ -76,94 +66,101 @@ def _characters(text: bytes, a: int, b: int) -> str:
     return text[a:b].decode("utf-8")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    piece = pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("begin", pa.int64()), ("n_tokens", pa.int32()), ("text", pa.string())])
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(piece)]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["source", "part", "number", "n_tokens", "tokens", "pieces"])
-
+def _encode(with_text: bool, ranks: str, pattern: str):
+    """Tokens of sorted documents and where they begin among those of their source in the partition."""
 
-def _pack(block: int, with_text: bool, ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, packers, numbers, rows = TaskContext.get().partitionId(), {}, {}, []
+        part, offset, kind = TaskContext.get().partitionId(), {}, dtype(ranks, pattern)
         end = np.array([encoding(ranks, pattern).n_vocab], np.uint32)
         for whole in batches:
             for b in slices(whole, "text"):
-                for doc_id, text, lang, source in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source")), strict=True):
-                    if text is None:
-                        continue
-                    ids = encode(text, ranks, pattern)
-                    raw = offset = None
-                    if with_text:
-                        raw = text.encode()
-                        offset = np.concatenate([[0], np.cumsum(widths(ranks, pattern)[ids]), [len(raw)]])
-                    p = packers.setdefault(source, _Packer(block))
-                    p.add(doc_id, lang, np.concatenate([ids, end]).astype("<u2"), raw, offset)
-                    while p.held >= block:
-                        tokens, pieces = p.take(block)
-                        rows.append((source, part, numbers.get(source, 0), block, tokens.tobytes(), pieces))
-                        numbers[source] = numbers.get(source, 0) + 1
-                        if len(rows) >= 512:
-                            yield _batch(rows)
-                            rows = []
-        for source, p in packers.items():
-            if p.held:
-                n = p.held
-                tokens, pieces = p.take(n)
-                rows.append((source, part, -1, n, tokens.tobytes(), pieces))
+                at, n, tokens = [], [], []
+                for text, source in zip(b.column("text").to_pylist(), b.column("source").to_pylist(), strict=True):
+                    ids = np.concatenate([encode(text, ranks, pattern), end])
+                    at.append(offset.get(source, 0))
+                    n.append(len(ids))
+                    tokens.append(ids.astype(kind).tobytes())
+                    offset[source] = at[-1] + len(ids)
+                text = b.column("text") if with_text else pa.nulls(b.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("source"), pa.array([part] * b.num_rows, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), b.column("doc_id"), b.column("lang"), text, pa.array(tokens, pa.binary())], names=["source", "part", "offset", "n", "doc_id", "lang", "text", "tokens"])
+        trim()
+
+    return run
+
+
+def _cut(block: int, ranks: str, pattern: str):
+    """Blocks of documents at their places; a block of which a task has only a part is given out as that part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, width = dtype(ranks, pattern), np.append(widths(ranks, pattern), 0)
+        rows: list[dict] = []
+        now: dict = {}
+
+        def close() -> None:
+            if now:
+                rows.append({**now, "tokens": b"".join(now["tokens"])})
+                now.clear()
+
+        for whole in batches:
+            for b in slices(whole, "tokens"):
+                for r in b.to_pylist():
+                    ids = np.frombuffer(r["tokens"], kind)
+                    raw = None if r["text"] is None else r["text"].encode()
+                    byte = None if raw is None else np.concatenate([[0], np.cumsum(width[ids])])
+                    i = 0
+                    while i < len(ids):
+                        number, at = divmod(r["begin"] + i, block)
+                        j = min(len(ids), i + block - at)
+                        if now and not (now["source"] == r["source"] and now["number"] == number and now["at"] + now["n_tokens"] == at):
+                            close()
+                        if not now:
+                            now |= {"source": r["source"], "number": number, "at": at, "n_tokens": 0, "tokens": [], "pieces": []}
+                        now["tokens"].append(ids[i:j].tobytes())
+                        now["n_tokens"] += j - i
+                        now["pieces"].append({"doc_id": r["doc_id"], "lang": r["lang"], "begin": i, "n_tokens": j - i, "text": None if raw is None else _characters(raw, int(byte[i]), int(byte[j]))})
+                        i = j
+                        if now["at"] + now["n_tokens"] == block:
+                            close()
+                    if len(rows) >= 512:
+                        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                        rows = []
+        close()
         if rows:
-            yield _batch(rows)
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
         trim()
 
     return run
 
 
-def _tails(block: int, end: int):
-    """Packs what partitions left of a source; the rows of a group are `block` tokens at most, each."""
+def _assemble(block: int, end: int, kind: str):
+    """Whole blocks of the parts that tasks had; a source's last is filled up with end marks."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["part"])
-        source, p, out = rows[0]["source"], _Packer(block), []
-        for r in rows:
-            ids, at = np.frombuffer(r["tokens"], "<u2"), 0
-            for x in r["pieces"]:
-                # Texts aren't cut by token here but given whole to the block where they begin.
-                p.docs.append((x["doc_id"], x["lang"], ids[at : at + x["n_tokens"]], x["text"], None, x["begin"]))
-                at += x["n_tokens"]
-            p.held += at
-        while p.held:
-            ids, pieces, room = [], [], block
-            while room and p.docs:
-                doc_id, lang, all_ids, text, _, begin = p.docs[0]
-                j = min(len(all_ids), p.used + room)
-                ids.append(all_ids[p.used : j])
-                pieces.append({"doc_id": doc_id, "lang": lang, "begin": begin + p.used, "n_tokens": j - p.used, "text": None if text is None else text if p.used == 0 else ""})
-                room -= j - p.used
-                p.held -= j - p.used
-                p.used = j
-                if j == len(all_ids):
-                    p.docs.pop(0)
-                    p.used = 0
-            n = block - room
-            tokens = np.concatenate([*ids, np.full(room, end, "<u2")]).astype("<u2")
-            out.append((source, -1 - rows[0]["part"] // FAN_IN, len(out), n, tokens.tobytes(), pieces))
-        return pa.Table.from_batches([_batch(out)])
+        parts = sorted(t.to_pylist(), key=lambda r: r["at"])
+        n = sum(r["n_tokens"] for r in parts)
+        tokens = b"".join(r["tokens"] for r in parts) + np.full(block - n, end, kind).tobytes()
+        return pa.Table.from_pylist([parts[0] | {"at": 0, "n_tokens": n, "tokens": tokens, "pieces": [x for r in parts for x in r["pieces"]]}], _SCHEMA)
 
     return run
 
 
-def pack(docs: DataFrame, block: int = BLOCK, with_text: bool = False, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """Staged blocks: source, number (from 0 in each source), n_tokens (without fill), tokens (little-endian 16-bit) and pieces."""
-    if encoding(ranks, pattern).n_vocab >= 1 << 16:
-        raise ValueError("tokens are stored in 16 bits")
-    raw = stage_table(docs.mapInArrow(_pack(block, with_text, ranks, pattern), _BLOCKS), "packed")
-    whole, rest = raw.where("number >= 0"), raw.where("number < 0")
-    group = rest.groupBy("source", F.floor(F.col("part") / FAN_IN).alias("of")).applyInArrow(_tails(block, encoding(ranks, pattern).n_vocab), _BLOCKS)
-    tails = stage_table(group, "tails")
-    both = whole.unionByName(tails)
-    counts = both.groupBy("source", "part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = stage_table(before.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce("before", F.lit(0)).alias("before")), "offsets")
-    return both.join(small(offsets), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("source", (F.col("before") + F.col("number")).alias("number"), "n_tokens", "tokens", "pieces")
+def pack(docs: DataFrame, block: int = BLOCK, with_text: bool = False, ranks: str = RANKS, pattern: str = PATTERN) -> tuple[DataFrame, DataFrame]:
+    """Blocks: source, number (from 0 in each source), n_tokens (without fill), tokens (as dtype()) and pieces; and the tokens of each source."""
+    first, second = order_keys()
+    # Rows that are alike may be many: they are spread by their place, which leaves the tokens' order as it is.
+    rows = docs.where("text IS NOT NULL").select("source", "doc_id", "lang", "text", first.alias("__a"), second.alias("__b"), F.monotonically_increasing_id().alias("__place"))
+    order = ["source", "__a", "__b", "__place"]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("source", "doc_id", "lang", "text")
+    held = stage_table(placed.mapInArrow(_encode(with_text, ranks, pattern), _ENCODED), "encoded")
+    counts = stage_table(held.groupBy("source", "part").agg(F.sum("n").alias("n")), "counts")  # a row a source and partition, mostly a row a partition
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = stage_table(counts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    begun = held.join(small(bases), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    cut = begun.select("source", (F.col("base") + F.col("offset")).alias("begin"), "doc_id", "lang", "text", "tokens")
+    raw = stage_table(cut.mapInArrow(_cut(block, ranks, pattern), _BLOCKS), "blocks")
+    whole = F.col("n_tokens") == block
+    rest = raw.where(~whole).groupBy("source", "number").applyInArrow(_assemble(block, encoding(ranks, pattern).n_vocab, dtype(ranks, pattern)), _BLOCKS)
+    return raw.where(whole).unionByName(rest).drop("at"), counts.groupBy("source").agg(F.sum("n").alias("tokens"))
 
 
 def draw(shard: int, blocks: int, p: np.ndarray, seed: int) -> np.ndarray:
@@ -191,9 +188,14 @@ def slots(n_blocks: list[int], p: np.ndarray, shard_blocks: int, seed: int, spar
                 c = draw(int(s), int(size(s)), p, seed)
                 yield pd.DataFrame({"shard": s, "source_no": np.arange(len(c), dtype=np.int32), "taken": c, "place": np.cumsum(c) - c})
 
-    counts = spark.range(-(-total // shard_blocks)).mapInPandas(drawn, "shard bigint, source_no int, taken bigint, place bigint").where("taken > 0")
-    before = F.sum("taken").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    each = counts.withColumn("before", F.coalesce(before, F.lit(0))).select("shard", "source_no", "place", "before", F.posexplode(F.sequence(F.lit(1).cast("bigint"), "taken")).alias("i", "_"))
+    drawn_all = spark.range(-(-total // shard_blocks)).mapInPandas(drawn, "shard bigint, source_no int, taken bigint, place bigint").where("taken > 0")
+    counts = stage_table(drawn_all.withColumn("of", F.floor(F.col("shard") / GROUP)), "draws")  # a row a shard and source
+    upto = lambda w, order: F.coalesce(F.sum("taken").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("source_no", "of").agg(F.sum("taken").alias("taken"))
+    groups = groups.select("source_no", "of", upto(Window.partitionBy("source_no"), "of").alias("base"))
+    near = counts.withColumn("near", upto(Window.partitionBy("source_no", "of"), "shard"))
+    each = near.join(groups, ["source_no", "of"]).select("shard", "source_no", "place", "taken", (F.col("base") + F.col("near")).alias("before"))
+    each = each.repartition("shard").select("shard", "source_no", "place", "before", F.posexplode(F.sequence(F.lit(1).cast("bigint"), "taken")).alias("i", "_"))
     each = each.select("shard", "source_no", (F.col("place") + F.col("i")).alias("place"), (F.col("before") + F.col("i")).alias("k"))
 
     @F.pandas_udf("slot bigint, number bigint, epoch bigint")
@@ -210,18 +212,18 @@ def slots(n_blocks: list[int], p: np.ndarray, shard_blocks: int, seed: int, spar
 
 def _mixed(docs: DataFrame, weights, alpha, block, shard_blocks, seed, with_text, ranks, pattern) -> DataFrame | None:
     spark = docs.sparkSession
-    blocks = pack(narrow(docs, DOCUMENT), block, with_text, ranks, pattern)
-    rows = blocks.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens")).collect()  # a row a source
-    rows = sorted(rows, key=lambda r: (r["source"] is not None, r["source"] or ""))
+    blocks, tokens = pack(narrow(docs, DOCUMENT), block, with_text, ranks, pattern)
+    rows = sorted(tokens.collect(), key=lambda r: (r["source"] is not None, r["source"] or ""))  # a row a source
     if not rows:
         return None
     want = np.array([weights.get(r["source"], 0.0) if weights is not None else float(r["tokens"]) ** alpha for r in rows])
     if not want.sum() > 0:
         return None
+    n_blocks = [-(-r["tokens"] // block) for r in rows]
     names = spark.createDataFrame([(i, r["source"]) for i, r in enumerate(rows)], "source_no int, name string")
-    where = slots([r["blocks"] for r in rows], want / want.sum(), shard_blocks, seed, spark)
+    where = slots(n_blocks, want / want.sum(), shard_blocks, seed, spark)
     numbered = blocks.join(small(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    few = sum(r["blocks"] for r in rows) <= MOST_BROADCAST  # Spark's own estimate doesn't count what explode() makes
+    few = sum(n_blocks) <= MOST_BROADCAST  # Spark's own estimate doesn't count what explode() makes
     return (F.broadcast(where) if few else where.hint("merge")).join(numbered, ["source_no", "number"])
 
 
@@ -230,10 +232,11 @@ def mix_blocks(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     weights: expected share of each source among the slots; sources that it lacks, or
     that have no block, get none. Without it a source's share is (its tokens) ** alpha,
-    normalised. Null texts give no tokens; an empty text is its end mark; a null source is a source; a null
-    doc_id stays null in doc_ids. Rows that repeat are repeated. Extra columns are
-    dropped. No blocks, no shards. The same files, read in the same splits, give the
-    same blocks.
+    normalised. Tokens are little-endian, of 16 bits, or 32 for a vocabulary that needs
+    it. Null texts give no tokens; an empty text is its end mark; a null source is a
+    source; a null doc_id stays null in doc_ids. Rows that repeat are repeated. Extra
+    columns are dropped. No blocks, no shards. The same rows give the same result
+    however they are partitioned.
     """
     mixed = _mixed(docs, weights, alpha, block, shard_blocks, seed, False, ranks, pattern)
     if mixed is None:
@@ -244,9 +247,8 @@ def mix_blocks(docs: DataFrame, weights: dict[str | None, float] | None = None,
 def mix_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """mix_blocks() as columns of documents: a row for each document's part of each slot's block, n_chars its characters.
 
-    A character belongs to the block of its first byte. What a partition had left of a
-    document goes whole into the block where it begins. Parts without characters (an
-    end mark alone) are left out, unless their document is empty.
+    A character belongs to the block of its first byte. Parts without characters (an end
+    mark alone) are left out, unless their document is empty.
     """
     mixed = _mixed(docs, weights, alpha, block, shard_blocks, seed, True, ranks, pattern)
     if mixed is None:
