@@ -1,9 +1,13 @@
 import gzip
+import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -98,6 +102,27 @@ def test_scores_equal_the_definition_and_both_ways_agree(spark):
     assert max(abs(r.score - x) for r, x in zip(got, want, strict=True)) < 1e-8
 
 
+def test_pieces_of_long_urls_have_all_runs():
+    urls = pa.array(["http://h/" + "abc/é" * 50, None, "", "x", "http://h/" + "z" * 300])
+    whole = list(U.pieces(urls, 3, 1 << 20))
+    assert len(whole) == 1
+    for most in (1, 2, 7, 64, 309):
+        parts = list(U.pieces(urls, 3, most))
+        assert len(parts) > 1 and np.array_equal(np.concatenate([p.url for p in parts]), whole[0].url)
+        for name in ("keys", "context"):
+            for n, want in enumerate(getattr(whole[0], name)[: 5 if name == "keys" else 4]):
+                assert np.array_equal(np.concatenate([getattr(p, name)[n] for p in parts]), want)
+
+
+def test_long_urls_are_scored_in_little_memory():
+    urls = pa.array([f"http://h/{i}/" + "abcdefgh" * 250 for i in range(1024)])
+    tracemalloc.start()
+    keys = np.sort(np.unique(np.concatenate([k for r in U.pieces(urls.slice(0, 2), 5, 1 << 15) for k in r.keys])))
+    U.likelihood(urls, np.zeros(1024, np.int64), keys, np.ones((len(keys), len(U._MODEL)), np.int64), 5, 2)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_held_out_accuracy_and_calibration(spark):
     got = U.url_filter(crawl(spark)).collect()  # each half is scored by the other's counts
     assert sum((r.score > 0) == r.accepted for r in got) > 0.97 * len(got)
@@ -118,13 +143,16 @@ def test_awkward_pages(spark):
 def test_archives_round_trip(spark):
     rows = [(i, f"http://h/{i}", ["same ü", "other\r\n\r\nWARC/1.1\r\n", "", None][i % 4] if i < 20 else f"own {i} " * 500) for i in range(60)]
     pages = spark.createDataFrame(rows, PAGE)
-    got = {r.page_id: r for r in W.rewrite_pages(pages.repartition(4)).collect()}
+    both = W.rewrite_pages(pages.repartition(4)).collect()
+    got, again = ({r.page_id: r for r in both if r.date.startswith("2020-01-02") == late} for late in (False, True))
     first = {}
     for i, u, h in rows:
         h = h or ""
         o = first.setdefault(h, (i, u))
         assert got[i].type == ("response" if o[0] == i else "revisit") and got[i].n_bytes == (len(h.encode()) if o[0] == i else 0)
         assert got[i].refers_to_uri == (None if o[0] == i else o[1])
+        assert (again[i].type, again[i].refers_to_uri, again[i].n_bytes) == ("revisit", o[1], 0)
+    assert len(both) == 120
 
 
 def records(spark, rows):
@@ -166,20 +194,82 @@ def test_reader_takes_plain_cut_and_foreign_files(spark, tmp_path):
 def test_awkward_pages_as_archives(spark):
     rows = [(None, None, None), (1, "http://h/1", ""), (1, "http://h/1", ""), (2, "http://h/2", "z" * 1_000_000)]
     df = spark.createDataFrame(rows, PAGE).select("*", F.lit(1)).toDF("page_id", "url", "html", "HTML")
-    got = {r.page_id: r for r in W.rewrite_pages(df).collect()}
-    assert len(got) == 3 and got[2].n_bytes == 1_000_000 and got[None].url == "" and {got[1].type, got[None].type} == {"response", "revisit"}
+    both = W.rewrite_pages(df).collect()
+    got = {r.page_id: r for r in both if r.date.startswith("2020-01-01")}
+    assert len(both) == 6 and len(got) == 3 and got[2].n_bytes == 1_000_000 and got[None].url == "" and {got[1].type, got[None].type} == {"response", "revisit"}
     assert W.rewrite_pages(df.limit(0)).count() == 0
 
 
 def test_recrawls_of_a_page_keep_their_payloads(spark):
     rows = [(1, "http://h/1", "first"), (1, "http://h/1", "second"), (1, "http://h/1", "second"), (2, "http://h/2", "second"), (None, "http://h/n", "x"), (None, "http://h/n", "y"), (None, None, "z"), (None, None, "y"), (-1, "http://h/n", "x")]
-    got = W.rewrite_pages(spark.createDataFrame(rows, PAGE).repartition(3)).collect()
-    assert len(got) == 8 and sorted(r.n_bytes for r in got if r.type == "response") == [1, 1, 1, 5, 6]
+    both = W.rewrite_pages(spark.createDataFrame(rows, PAGE).repartition(3)).collect()
+    got = [r for r in both if r.date.startswith("2020-01-01")]
+    assert len(both) == 16 and len(got) == 8 and sorted(r.n_bytes for r in got if r.type == "response") == [1, 1, 1, 5, 6]
     held = {r.digest for r in got if r.type == "response"}
     assert len(held) == 5 and all(r.digest in held for r in got) and sum(r.page_id is None for r in got) == 4
     assert [(r.page_id, r.refers_to_uri) for r in got if r.page_id == 2] == [(2, "http://h/1")]
 
 
+def test_pages_with_one_id_and_url_are_kept_apart(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (None, "", "c"), (7, "u", "v1"), (7, "u", "v2"), (8, "u8", "z")]
+    got = W.rewrite_pages(spark.createDataFrame(rows, PAGE)).where("type = 'response'").collect()
+    assert sorted(r.digest for r in got) == sorted("sha256:" + hashlib.sha256(h.encode()).hexdigest() for _, _, h in rows)
+
+
+def test_rewritten_pages_match_sql(spark):
+    rows = [(1, "http://h/1", "first"), (1, "http://h/1", "second"), (1, "http://h/1", "second"), (2, "http://h/2", "second"), (None, "http://h/n", "x"), (None, None, "z"), (None, None, None), (-1, "http://h/n", "x"), (3, None, ""), (4, "", ""), (4, "", "")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    assert sorted(map(tuple, W.rewrite_pages(spark.createDataFrame(rows, PAGE)).collect()), key=key) == sorted(db.execute(W.oracle()).fetchall(), key=key)
+
+
+def test_revisits_name_the_fresh_id_of_their_original(spark):
+    d = "sha256:" + "0" * 64
+    got = W.deduplicate(records(spark, [("<a>", "response", "http://a", "1", d, b"x"), ("<b>", "response", "http://b", "2", d, b"x"), ("<v>", "revisit", None, None, d, None)])).collect()
+    first = {r.record_id for r in got if r.type == "response"}
+    assert len(first) == 1 and [r.refers_to for r in got if r.type == "revisit"] == [*first] * 2
+
+
+def test_the_least_of_records_with_one_name_stays(spark):
+    at = dict.fromkeys(W.RECORD) | {"record_id": "<r>", "type": "response", "uri": "u", "date": "1", "digest": "d", "payload": b"p"}
+    rows = [at | {"http": h} for h in (b"c", b"a", b"b")] + [at | {"record_id": None, "uri": "<r>"}, at | {"record_id": "<r>", "uri": None}]
+    df = spark.createDataFrame([tuple(r[c] for c in W.RECORD) for r in rows], W._DDL)
+    got = W.deduplicate(df.repartition(3)).collect()
+    assert len(got) == 3 and [bytes(r.http) for r in got if r.source_id == "<r>" and r.uri == "u"] == [b"a"]
+
+
+def test_reader_goes_on_after_damage(spark, tmp_path):
+    one = lambda i: W.encode_record(dict.fromkeys(W.RECORD) | {"type": "response", "uri": f"http://{i}", "http": b"HTTP/1.1 200 OK\r\n\r\n", "payload": f"body {i} ".encode() * 50})
+    z = [gzip.compress(one(i)) for i in range(4)]
+    broken = bytearray(z[1])
+    broken[40:60] = b"\xff" * 20
+    bad = one(1).replace(b"Content-Length: ", b"Content-Length: x")
+    files = {
+        "zeros": (z[0] + z[1] + b"\0" * 512, [0, 1], 0),
+        "broken": (z[0] + bytes(broken) + z[2] + z[3], [0, 2, 3], 1),
+        "length": (gzip.compress(bad) + z[2], [2], 1),
+        "plain": (one(0) + bad + one(2), [0, 2], 1),
+        "missing": (one(0).replace(b"Content-Length", b"Other") + one(2), [2], 1),
+        "cut": (z[0] + z[1][:-40], [0], 1),
+        "head": (one(0) + one(1)[:60], [0], 1),
+        "junk": (z[0] + b"junk" + z[2], [0, 2], 1),
+        "nothing": (b"\0" * 100, [], 0),
+    }
+    for name, (data, _, _) in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    got = {}
+    for r in W.read_archives(spark, str(tmp_path)).collect():
+        got.setdefault(r.uri, []).append(bytes(r.payload))
+    want = [i for _, have, _ in files.values() for i in have]
+    assert {u: len(x) for u, x in got.items()} == {f"http://{i}": want.count(i) for i in set(want)}
+    assert all(p == f"body {u[7:]} ".encode() * 50 for u, x in got.items() for p in x)
+    for r in W.damage(spark, str(tmp_path)).collect():
+        name = r.file.rpartition("/")[2].removesuffix(".warc")
+        assert (name, r.records, r.errors) == (name, len(files[name][1]), files[name][2])
+
+
 def test_second_captures_join_their_first(spark):
     rows = [(i, f"http://h/{i}", f"body {i % 40}") for i in range(120)]
     pages = W.page_records(spark.createDataFrame(rows, PAGE))
