@@ -3,17 +3,19 @@
 Windows of an item's size are compared with it in four steps:
 
 1. Seeds. An item of n words that may differ in d edits is d + 1 pieces, one of which
-   occurs unchanged; pieces have SEED words or more, so a window near an item shares a
-   run of SEED words with it. Runs are looked up in a bitmap, then in a sorted table.
-   This step loses nothing. A run's offsets give where the window begins.
+   occurs unchanged, so a window near an item shares a run of q = n // (d + 1) words with
+   it (SEED at most). Runs are looked up in a bitmap, then in a sorted table; a run's
+   offsets give where the window begins. An edit breaks q runs at most, so windows with
+   fewer of the item's runs around them than d edits leave are passed over. This step
+   loses nothing; it spares embedding every window of the corpus for every size.
 2. CGK. A random walk over the window's words writes each word zero, one or more times
    (a bit of (position, word) says when to move on) and maps edit to Hamming distance.
 3. LSH. Each repetition samples positions of the embedding; a window whose sample
-   equals the item's is a candidate. Repetitions go on until the recall measured, for
-   each size of items apart, on items edited up to their limit reaches `recall`. Where
-   MOST_REPEATS don't reach it, or items have more than LONG words, windows are counted
-   instead: an edit breaks SEED runs at most, so a window within reach keeps a number
-   of the item's runs, and all windows that have as many are candidates. This loses nothing.
+   equals the item's is a candidate. For each size of items, positions a sample and
+   repetitions are chosen so that `recall` of items edited up to their limit are found:
+   fewer positions where many edits leave few of them alike, and as many repetitions as
+   it takes, measured on edited items and again on fresh ones. Beyond LONG words the
+   count of runs alone, which loses nothing, is the filter.
 4. Candidates are verified by exact edit distance, ends free, at the window and d words
    around it.
 
@@ -35,17 +37,24 @@ from .words import Words, mix, slices, windows
 
 RATE = 0.2
 SEED = 4
-SAMPLE = 3
+#: Positions a sample, from the most selective; the last is used with as many repetitions as it takes.
+SAMPLES = (3, 2, 1)
+#: Repetitions from which fewer positions are tried.
+MANY = 48
 RECALL = 0.99
-MOST_REPEATS = 64
-#: Words of items beyond which runs are counted rather than embeddings sampled.
+#: Words of items beyond which runs are counted but embeddings not sampled.
 LONG = 128
 PORTION_WORDS = 1 << 22
 
 
-def allowed(n: int, rate: float = RATE, seed: int = SEED) -> int:
-    """Edits that an item of n words may have: rate * n, but few enough that a run of `seed` words survives."""
-    return max(0, min(int(rate * n), n // seed - 1))
+def allowed(n: int, rate: float = RATE) -> int:
+    """Edits that an item of n words may have."""
+    return int(rate * n + 1e-9)
+
+
+def seed_length(n: int, d: int, seed: int = SEED) -> int:
+    """Words of a run that d edits leave whole somewhere in n words."""
+    return min(seed, max(1, n // (d + 1)))
 
 
 def embed(x: np.ndarray, steps: int, repeat: int) -> np.ndarray:
@@ -60,23 +69,30 @@ def embed(x: np.ndarray, steps: int, repeat: int) -> np.ndarray:
     return out
 
 
-def positions(n: int, repeat: int, sample: int = SAMPLE) -> np.ndarray:
+def positions(n: int, repeat: int, sample: int) -> np.ndarray:
     """Sampled positions of the embedding of n words in a repetition; ascending. They fall where nearly every walk still has words."""
     return np.sort((mix(np.arange(sample, dtype=np.uint64), 7919 * (repeat + 1) + n) % np.uint64(max(1, 2 * n - n // 4))).astype(np.int64))
 
 
+def sampled(x: np.ndarray, repeat: int, sample: int) -> np.ndarray:
+    """The samples of rows of words in a repetition."""
+    p = positions(x.shape[1], repeat, sample)
+    return embed(x, int(p[-1]) + 1, repeat)[:, p]
+
+
 def _edited(words: np.ndarray, d: int, rng: np.random.Generator) -> np.ndarray:
-    """The words with d random edits, cut or filled to their number."""
-    out, n = list(words), len(words)
-    for _ in range(d):
-        i, kind, new = int(rng.integers(0, max(1, len(out)))), int(rng.integers(0, 3)), np.uint64(rng.integers(1, 1 << 62))
-        if kind == 0 and out:
-            out[min(i, len(out) - 1)] = new
+    """The words with d random edits, between d and more words of other text."""
+    out = words.tolist()
+    for place, kind, new in zip(rng.random(d).tolist(), rng.integers(0, 3, d).tolist(), rng.integers(1, 1 << 62, d).tolist(), strict=True):
+        i = int(place * len(out))
+        if kind == 0:
+            out[i] = new
         elif kind == 1 and len(out) > 1:
             del out[i]
         else:
             out.insert(i, new)
-    return np.array((out + [np.uint64(3)] * d)[:n], np.uint64)
+    side = lambda k: rng.integers(1, 1 << 62, k).astype(np.uint64)
+    return np.concatenate([side(d + 1), np.array(out, np.uint64), side(len(words) + d)])
 
 
 class Item(NamedTuple):
@@ -85,117 +101,153 @@ class Item(NamedTuple):
     d: int
 
 
-def repeats(items: list[Item], recall: float = RECALL, sample: int = SAMPLE, trials: int = 400) -> dict[int, int]:
-    """By number of words, repetitions after which `recall` of the items of that size, with as many edits as they may have, share a sample; 0 where MOST_REPEATS are too few or the size is above LONG."""
-    by_size: dict[int, list[Item]] = {}
-    for i in items:
-        by_size.setdefault(len(i.words), []).append(i)
-    out = dict.fromkeys(by_size, 0)
-    for n in sorted(by_size):
-        if not 0 < n <= LONG:
-            continue
-        rng, own = np.random.default_rng(5), by_size[n]
-        of = [own[k * len(own) // trials] if len(own) > trials else own[k % len(own)] for k in range(trials)]
-        a, b = np.stack([i.words for i in of]), np.stack([_edited(i.words, i.d, rng) for i in of])
-        for r in range(MOST_REPEATS):
-            p = positions(n, r, sample)
-            other = (embed(a, int(p[-1]) + 1, r)[:, p] != embed(b, int(p[-1]) + 1, r)[:, p]).any(axis=1)
-            a, b = a[other], b[other]
-            if len(a) <= (1 - recall) * trials:
-                out[n] = r + 1
-                break
-    return out
+def _trials(items: list[Item], q: int, trials: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items of the trials, windows at which seeds find them when edited, and trial of each window."""
+    n, x, y, of = len(items[0].words), [], [], []
+    for k in range(trials):
+        item = items[k * len(items) // trials] if len(items) > trials else items[k % len(items)]
+        text = _edited(item.words, item.d, rng)
+        same = np.ones((n - q + 1, len(text) - q + 1), bool)
+        for j in range(q):
+            same &= item.words[j : n - q + 1 + j, None] == text[None, j : len(text) - q + 1 + j]
+        offset, at = np.nonzero(same)
+        start = np.unique(at - offset)
+        start = start[(start >= 0) & (start + n <= len(text))]
+        x.append(text[start[:, None] + np.arange(n)])
+        y.append(item.words)
+        of.append(np.full(len(start), k))
+    return np.stack(y), np.concatenate(x), np.concatenate(of)
+
+
+def _needed(trial: tuple[np.ndarray, np.ndarray, np.ndarray], sample: int, recall: float, most: int) -> int | None:
+    """Repetitions after which `recall` of the trials have a window with the item's sample; None if `most` are too few."""
+    items, x, of = trial
+    missed = np.ones(len(items), bool)
+    for r in range(most):
+        got = sampled(items[missed], r, sample)
+        same = (sampled(x, r, sample) == got[np.cumsum(missed)[of] - 1]).all(axis=1)
+        missed[of[same]] = False
+        x, of = x[missed[of]], of[missed[of]]
+        if missed.sum() <= (1 - recall) * len(items):
+            return r + 1
+    return None
+
+
+def repeats(items: list[Item], q: int, recall: float = RECALL, trials: int = 200) -> tuple[int, int]:
+    """Positions a sample and repetitions for items of one size. Raises ValueError if no number of repetitions reaches `recall`."""
+    n = len(items[0].words)
+    rng = np.random.default_rng(5)
+    first, fresh = (_trials(items, q, trials, rng) for _ in range(2))
+    for sample in SAMPLES:
+        most = MANY if sample > SAMPLES[-1] else 64 * n
+        got = [_needed(t, sample, recall, most) for t in (first, fresh)]
+        if None not in got:
+            return sample, max(got)
+    raise ValueError(f"decontamination: items of {n} words don't reach a recall of {recall}")
+
+
+class Size(NamedTuple):
+    """Items of n words with d edits: their rows in items, words, and samples (item, repetition, position), none beyond LONG words."""
+
+    n: int
+    d: int
+    q: int
+    own: np.ndarray
+    words: np.ndarray
+    samples: np.ndarray
 
 
 class Index:
-    def __init__(self, items: list[Item], seed: int = SEED, recall: float = RECALL, sample: int = SAMPLE):
-        self.items, self.seed, self.sample = items, seed, sample
-        self.repeats = repeats(items, recall, sample)
+    def __init__(self, items: list[Item], seed: int = SEED, recall: float = RECALL):
+        self.items, by_size = items, {}
+        for k, i in enumerate(items):
+            by_size.setdefault((len(i.words), i.d), []).append(k)
+        self.sizes: list[Size] = []
+        self.size_of, self.row_of = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+        for (n, d), own in sorted(by_size.items()):
+            q, words = seed_length(n, d, seed), np.stack([items[k].words for k in own])
+            if n > LONG:
+                samples = np.zeros((len(own), 0, 0), np.uint64)
+            else:
+                sample, times = repeats([items[k] for k in own], q, recall)
+                samples = np.stack([sampled(words, r, sample) for r in range(times)], axis=1)
+            self.size_of[own], self.row_of[own] = len(self.sizes), np.arange(len(own))
+            self.sizes.append(Size(n, d, q, np.array(own), words, samples))
         self.seeds = {}
-        for q in sorted({min(seed, len(i.words)) for i in items}):
+        for q in sorted({s.q for s in self.sizes}):
             runs, owner, offset = [], [], []
-            for k, i in enumerate(items):
-                if min(seed, len(i.words)) == q:
-                    w = windows(i.words, q)
+            for s in self.sizes:
+                for k in s.own.tolist() if s.q == q else ():
+                    w = windows(items[k].words, q)
                     runs.append(w)
                     owner.append(np.full(len(w), k))
                     offset.append(np.arange(len(w)))
             runs, owner, offset = np.concatenate(runs), np.concatenate(owner), np.concatenate(offset)
             by = np.argsort(runs, kind="stable")
-            bits = np.zeros(1 << 22, bool)
-            bits[(runs & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            bits = np.zeros(max(1 << 20, 1 << int(8 * len(runs)).bit_length()), bool)
+            bits[(runs & np.uint64(len(bits) - 1)).astype(np.int64)] = True
             self.seeds[q] = (bits, runs[by], owner[by], offset[by])
-        self.samples = np.zeros((len(items), max(self.repeats.values(), default=0), sample), np.uint64)
-        for n in self.repeats:
-            own = [k for k, i in enumerate(items) if len(i.words) == n]
-            x = np.stack([items[k].words for k in own])
-            for r in range(self.repeats[n]):
-                p = positions(n, r, sample)
-                self.samples[own, r] = embed(x, int(p[-1]) + 1, r)[:, p]
-
-    def windows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct rows (item, where it would begin) for every run of words of h that the item has, and how many runs each has."""
-        out = []
+
+    def windows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items and where they would begin, for every run of words of h that an item has, each once and in order; and how many runs each has."""
+        keys, shift = [], 1 << 24
         for q, (bits, runs, owner, offset) in self.seeds.items():
             g = windows(h, q)
-            at = np.flatnonzero(bits[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            at = np.flatnonzero(bits[(g & np.uint64(len(bits) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(runs, g[at], "left"), np.searchsorted(runs, g[at], "right")
             n = hi - lo
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(np.stack([owner[which], np.repeat(at, n) - offset[which]], axis=1))
-        return np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            keys.append((owner[which].astype(np.int64) << 32) + (np.repeat(at, n) - offset[which] + shift))
+        key, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64),) * 2
+        return key >> 32, (key & 0xFFFFFFFF) - shift, count
 
     def search(self, h: np.ndarray, offsets: np.ndarray, lsh: bool = True) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, edits) of the best passage of each document and item within reach."""
-        cand, runs = self.windows(h)
+        item, start, runs = self.windows(h)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        ends = offsets[1:]
-        for k in np.unique(cand[:, 0]).tolist():
-            item, n = self.items[k], len(self.items[k].words)
-            start = cand[cand[:, 0] == k, 1]
-            sampled = lsh and self.repeats[n] > 0
-            if lsh and not sampled:
-                # Of n - seed + 1 runs an edit breaks `seed` at most; the others begin within d words of each other's start.
-                have = np.concatenate([[0], np.cumsum(runs[cand[:, 0] == k])])
-                near = have[np.searchsorted(start, start + item.d, "right")] - have[np.searchsorted(start, start - item.d, "left")]
-                q = min(self.seed, n)
-                start = start[near >= n - q + 1 - q * item.d]
-                if not len(start):
-                    continue
+        ends, size_of = offsets[1:], self.size_of[item]
+        for z in np.unique(size_of).tolist():
+            s, mine = self.sizes[z], size_of == z
+            k, at, have = item[mine], start[mine], np.concatenate([[0], np.cumsum(runs[mine])])
+            # Of n - q + 1 runs an edit breaks q at most; the others begin within d words of each other's start.
+            key = (k << 32) + at
+            near = have[np.searchsorted(key, key + s.d, "right")] - have[np.searchsorted(key, key - s.d, "left")]
+            enough = near >= s.n - s.q + 1 - s.q * s.d
+            k, at = k[enough], at[enough]
             # A run lies in the document of its words: for a start before it or an end after it, other documents' words are masked.
-            seeds = []
-            for s in (start, start + n - 1):
-                seeds.append(np.searchsorted(ends, np.clip(s, 0, len(h) - 1), "right"))
-            spans = np.unique(np.concatenate([np.stack([start, x], axis=1) for x in range_union(seeds[0], seeds[1])]), axis=0)
-            step = max(1, min(4096, (1 << 22) // n))
+            docs = [np.searchsorted(ends, np.clip(x, 0, len(h) - 1), "right") for x in (at, at + s.n - 1)]
+            several = range_union(*docs)
+            spans = np.unique(np.concatenate([np.stack([k, at, x], axis=1) for x in several]), axis=0) if len(several) > 1 else np.stack([k, at, docs[0]], axis=1)
+            step = max(1, min(4096, (1 << 20) // s.n))
             for i in range(0, len(spans), step):
-                self._some(h, offsets, k, item, spans[i : i + step], best, sampled)
+                self._some(h, offsets, s, spans[i : i + step], best, lsh)
         return [(doc, k, first, length, e) for (doc, k), (e, first, length) in sorted(best.items())]
 
-    def _some(self, h: np.ndarray, offsets: np.ndarray, k: int, item: Item, spans: np.ndarray, best: dict, lsh: bool) -> None:
-        n, d = len(item.words), item.d
-        start, doc = spans[:, 0], spans[:, 1]
-        lo, hi = offsets[doc], offsets[doc + 1]
-        pick = start[:, None] + np.arange(n)
+    def _some(self, h: np.ndarray, offsets: np.ndarray, s: Size, spans: np.ndarray, best: dict, lsh: bool) -> None:
+        k, start, doc = spans.T
+        lo, hi, row = offsets[doc], offsets[doc + 1], self.row_of[k]
+        pick = start[:, None] + np.arange(s.n)
         own = (pick >= lo[:, None]) & (pick < hi[:, None])
         x = np.where(own, h[np.clip(pick, 0, len(h) - 1)], np.uint64(0))
-        keep = own.sum(axis=1) >= n - d
-        if lsh:
-            near = (x == item.words).all(axis=1)  # the sample of equal windows is equal
-            for r in range(self.repeats[n]):
+        keep = own.sum(axis=1) >= s.n - s.d
+        if lsh and s.samples.shape[1]:
+            near = (x == s.words[row]).all(axis=1)  # the sample of equal windows is equal
+            for r in range(s.samples.shape[1]):
                 left = np.flatnonzero(keep & ~near)
                 if not len(left):
                     break
-                p = positions(n, r, self.sample)
-                near[left] = (embed(x[left], int(p[-1]) + 1, r)[:, p] == self.samples[k, r]).all(axis=1)
+                near[left] = (sampled(x[left], r, s.samples.shape[2]) == s.samples[row[left], r]).all(axis=1)
             keep &= near
-        for i in np.flatnonzero(keep).tolist():
-            a, b = max(int(lo[i]), int(start[i]) - d), min(int(hi[i]), int(start[i]) + n + d)
-            e, first, length = closest(item.words, h[a:b])
-            if e <= d:
-                got, key = (e, a + first - int(lo[i]), length), (int(doc[i]), k)
-                if key not in best or got < best[key]:
-                    best[key] = got
+        i = np.flatnonzero(keep)
+        if not len(i):
+            return
+        a, b = np.maximum(lo[i], start[i] - s.d), np.minimum(hi[i], start[i] + s.n + s.d)
+        text = a[:, None] + np.arange(s.n + 2 * s.d)
+        e, first, length = closest(s.words[row[i]], h[np.minimum(text, len(h) - 1)], b - a)
+        for j in np.flatnonzero(e <= s.d).tolist():
+            got, key = (int(e[j]), int(a[j] + first[j] - lo[i[j]]), int(length[j])), (int(doc[i[j]]), int(k[i[j]]))
+            if key not in best or got < best[key]:
+                best[key] = got
 
 
 def range_union(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
@@ -203,43 +255,56 @@ def range_union(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return [np.minimum(a + i, b) for i in range(int((b - a).max(initial=0)) + 1)]
 
 
-def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Edits, begin and length of the run of text that is closest to item; the first of the least."""
-    m = len(text)
-    row, begin = np.zeros(m + 1, np.int64), np.arange(m + 1)
-    cols = np.arange(m + 1)
-    for i, w in enumerate(item):
-        take = np.concatenate([[i + 1], row[:-1] + (text != w)])
+def closest(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edits, begin and length of the run of each row's first `sizes` words of text that is closest to the row's item; the first of the least."""
+    m, w = texts.shape
+    cols = np.arange(w + 1)
+    row, begin = np.zeros((m, w + 1), np.int32), np.tile(cols, (m, 1))
+    edge = np.zeros((m, 1), np.int32)
+    for i in range(items.shape[1]):
+        take = np.concatenate([edge + (i + 1), row[:, :-1] + (texts != items[:, i : i + 1])], axis=1)
         skip = row + 1
         least = np.minimum(take, skip)
-        start = np.where(take <= skip, np.concatenate([[0], begin[:-1]]), begin)
-        run = np.minimum.accumulate(least - cols)
-        src = np.maximum.accumulate(np.where(least - cols == run, cols, 0))
-        row, begin = run + cols, start[src]
-    e = int(np.argmin(row))
-    return int(row[e]), int(begin[e]), e - int(begin[e])
+        start = np.where(take <= skip, np.concatenate([edge, begin[:, :-1]], axis=1), begin)
+        run = np.minimum.accumulate(least - cols, axis=1)
+        src = np.maximum.accumulate(np.where(least - cols == run, cols, 0), axis=1)
+        row, begin = (run + cols).astype(np.int32), np.take_along_axis(start, src, 1)
+    row = np.where(cols <= sizes[:, None], row, np.iinfo(np.int32).max)
+    e, at = row.argmin(axis=1), np.arange(m)
+    return row[at, e], begin[at, e], e - begin[at, e]
 
 
-def _items(benchmark: DataFrame, portion: int, rate: float, seed: int) -> Iterator[list[Item]]:
+def _items(benchmark: DataFrame, portion: int, rate: float) -> Iterator[list[Item]]:
     """Items with words, in portions of about `portion` words; an item's id and text may repeat."""
-    now, held = [], 0
+    now, held, rows = [], 0, []
+
+    def read() -> None:
+        nonlocal held
+        w = Words(pa.array([r["text"] for r in rows], pa.string()))
+        for k, r in enumerate(rows):
+            if len(w.of(k)):
+                now.append(Item(r["item_id"], w.of(k), allowed(len(w.of(k)), rate)))
+                held += len(w.of(k))
+        rows.clear()
+
     for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
-        w = Words(pa.array([row["text"]])).of(0)
-        if len(w):
-            now.append(Item(row["item_id"], w, allowed(len(w), rate, seed)))
-            held += len(w)
+        rows.append(row)
+        if len(rows) >= 256:
+            read()
         if held >= portion:
             yield now
             now, held = [], 0
+    if rows:
+        read()
     if now:
         yield now
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, seed: int = SEED, recall: float = RECALL, sample: int = SAMPLE, portion: int = PORTION_WORDS) -> DataFrame:
-    """doc_id, item_id, first_word, n_words and edits of the closest passage of each document and item within allowed() edits.
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, seed: int = SEED, recall: float = RECALL, portion: int = PORTION_WORDS) -> DataFrame:
+    """doc_id, item_id, first_word, n_words and edits of the closest passage of each document and item within allowed() edits: rate * n for an item of n words.
 
-    Words are compared, so case, punctuation and white space don't count. Items of fewer
-    than 2 * seed words match exactly; items without words, null items and null item_ids
+    Words are compared, so case, punctuation and white space don't count. Of passages as
+    close the first counts. Items without words, null items and null item_ids
     match nothing; null texts and texts without words have no passage. A null doc_id
     stays null. Rows that repeat are repeated; an item_id that repeats with another
     text is an item of its own. Extra columns are dropped.
@@ -247,8 +312,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, seed: int
     docs = narrow(docs, {"doc_id": "bigint", "text": "string"})
     spark, kind = docs.sparkSession, "doc_id bigint, item_id bigint, first_word bigint, n_words int, edits int"
     out = spark.createDataFrame([], kind)
-    for items in _items(narrow(benchmark, {"item_id": "bigint", "text": "string"}), portion, rate, seed):
-        index = spark.sparkContext.broadcast(Index(items, seed, recall, sample))  # of `portion` words at most
+    for items in _items(narrow(benchmark, {"item_id": "bigint", "text": "string"}), portion, rate):
+        index = spark.sparkContext.broadcast(Index(items, seed, recall))  # of `portion` words at most
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
