@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from helpers import awkward, documents, empty
 
@@ -56,21 +57,57 @@ def test_equals_brute_force(spark, seed, length, depth, batches):
 
 def test_levels_merge_geometrically(spark):
     docs = documents(spark, [" ".join(w) for w in corpus(6)])
-    arrays, family = S.suffix_arrays(docs, 6, 20, 10), S.Family(spark)
+    family = S.Family.create(docs, length=20, depth=10)
+    arrays = family.arrays(docs, 6)
     for i in range(6):
-        family.add(arrays.where(f"batch = {i}"))
+        family._add(arrays.where(f"batch = {i}"))
         assert sorted(family.levels) == [k for k in range(4) if (i + 1) >> k & 1]
+    path = family.levels[2]
+    t = spark.read.parquet(path).orderBy("bucket").collect()
+    keys = np.concatenate([np.frombuffer(r.suffixes, f"S{S.n_codes(10)}") for r in t])
+    assert len(t) > 2 and (keys[1:] >= keys[:-1]).all()  # one order over all buckets
     family.drop()
     assert family.levels == {}
 
 
-def test_a_new_batch_finds_what_older_levels_hold(spark):
+def test_a_new_batch_finds_what_an_opened_index_holds(spark, tmp_path):
     a, b = " ".join(f"x{i}" for i in range(80)), " ".join(f"y{i}" for i in range(80))
-    family = S.Family(spark)
-    old = S.suffix_arrays(documents(spark, [a, b], ids=[1, 2]), 1, 50, 25)
-    new = S.suffix_arrays(documents(spark, ["pre " + a], ids=[3]), 1, 50, 25)
-    assert family.add(old).count() == 0
-    assert {r.doc_id for r in family.add(new).collect()} == {1, 3}
+    old, new = documents(spark, [a, b], ids=[1, 2]), documents(spark, ["pre " + a, b + " post", "nothing " * 60], ids=[3, 4, 5])
+    at = f"file://{tmp_path}/index"
+    assert S.Family.create(old, at).add(old).count() == 0
+    family = S.Family.open(spark, at)
+    got = family.add(new)
+    assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4} and sorted(S.Family.open(spark, at).levels) == [1]
+    assert sorted(tuple(r) for r in S.verify(old.union(new), got).collect()) == [(1, 0, 80), (2, 0, 80), (3, 1, 80), (4, 0, 80)]
+    third = S.Family.open(spark, at).add(documents(spark, [a], ids=[6]))
+    assert 6 in {r.doc_id for r in third.collect()}
+
+
+def test_order_prefixes_and_merges():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (400, 8), dtype=np.uint8)
+    x[np.maximum.accumulate(x == 0, axis=1)] = 0
+    e = [S.ordered(S.Entries(np.ascontiguousarray(y).view("S8").ravel(), rng.integers(0, 9, len(y)), rng.random(len(y)) < 0.5)) for y in (x[:150], x[150:])]
+    both = S.merged(*e)
+    assert (both.keys[1:] >= both.keys[:-1]).all() and sorted(zip(*map(list, both), strict=True)) == sorted([t for a in e for t in zip(*map(list, a), strict=True)])
+    for i, n in enumerate(S.common(both.keys).tolist()):
+        a, b = both.keys[i], both.keys[i + 1]
+        assert n == next((k for k in range(8) if a[k : k + 1] != b[k : k + 1] or not a[k : k + 1]), 8)
+    kept, others = S.collapse(both)
+    for key in np.unique(both.keys):
+        docs = set(both.docs[both.keys == key].tolist())
+        assert set(kept.docs[kept.keys == key].tolist()) == {min(docs), max(docs)}
+        assert sorted(others.docs[others.keys == key].tolist()) == sorted(docs - {min(docs), max(docs)})
+
+
+def test_a_passage_in_very_many_documents(spark):
+    p = " ".join(f"x{i}" for i in range(55))
+    df = spark.range(20_000).selectExpr("id AS doc_id", f"concat('a', id, ' {p} b', id) AS text")
+    got = S.repeats(df)
+    assert got.count() == 20_000 and got.where("first_word = 1 AND n_words = 55").count() == 20_000
+    family = S.Family.create(df)
+    arrays = family.arrays(df, 1).where("bucket IS NOT NULL")
+    assert sum(len(r.docs) // 8 for r in arrays.collect()) < 500  # not one a document
     family.drop()
 
 

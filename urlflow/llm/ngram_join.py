@@ -44,10 +44,15 @@ _HAS_WORD = "[0-9A-Za-z_[^\\x{0}-\\x{7F}" + PUNCTUATION[1:-1] + "]]"
 _FLUSH = 1 << 20
 
 
+def estimated(df: DataFrame) -> int | None:
+    """Bytes of input by Spark's estimate; None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def buckets(df: DataFrame) -> int:
     """One for each shuffle partition, but no more than 32 MB of input a bucket by Spark's estimate: they bound the memory of a group."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size >> 25, 1 << 20))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min((estimated(df) or 0) >> 25, 1 << 20))
 
 
 def _split(ids: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,42 +3,58 @@
 A passage of `length` words holds `length - depth + 1` suffixes that share their first
 `depth` words with those of its copy. Of every such run of suffixes the ones whose first
 `depth` words hash lowest are indexed, so that two copies of a passage index the same
-suffix: about one in thirteen is. Suffixes are ordered by the hash of their first
-`depth` words: equal beginnings are neighbours, which is all that a scan for long
-matches asks of the order.
-
-A new batch of documents gets a suffix array (sorted, packed by bucket). It is scanned
-with all levels of the family in one merge by bucket: beginnings that two documents
-share are long matches. The batch then enters at level 0, and two levels of equal size
-merge into the next, so that a suffix is rewritten a logarithmic number of times.
-
-Documents with a long match are verified: all their windows of `length` words, sent to
-the bucket of their lowest suffix, are compared, and equal windows of different
-documents mark their words. Windows that have the same lowest suffix travel together.
+suffix: about one in thirteen is. A suffix is held as the codes (a byte each, never 0,
+which ends a document) of its first words, and suffixes are in lexicographic order of
+their words' codes. Equal words have equal codes, so the common prefix of two entries is
+never shorter than that of their suffixes.
+
+A new batch of documents gets a suffix array, cut into buckets by ranges of the order. It
+is merged bucket by bucket with the levels of the family and scanned: neighbours with a
+common prefix of `depth` words, at least one of them new, are matches, and the greater
+prefix with a neighbour bounds how far a match goes. The batch then enters at level 0, and
+two levels of equal size merge into the next, so that a suffix is rewritten a logarithmic
+number of times. Of a beginning that many documents have in full, an array keeps the
+least and the greatest document, before it is first sent: the others are matches anyway.
+
+Matches are verified in the texts: the windows of `length` words that a match's bound
+allows around its suffix are compared by hash, and equal windows of different documents
+mark their words. Each task sends a window once, with its least document, and learns
+whether others have it; so a passage that many documents share is no large group.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import narrow, new_path, remove, small, stage_table, trim
-from .grams import planes, squeeze, unplanes, unsqueeze
-from .ngram_join import _parts, _split, buckets
-from .words import Words, rolling, slices
+from .grams import planes, unplanes
+from .ngram_join import _parts, buckets, estimated
+from .words import Words, mix, rolling, slices
 
 LENGTH = 50
 DEPTH = 25
-BATCHES = 8
+BATCHES = 4
+#: Bytes of text, for each bucket, from which the bounds of the buckets are taken; they affect balance alone.
+SAMPLE_BYTES = 1_000
 _FLUSH = 1 << 20
-_LEVEL = "bucket int, suffixes binary, docs binary"
+_ARRAY = "bucket int, suffixes binary, docs binary"
+_MATCHES = "doc_id bigint, suffix bigint, shared int"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def n_codes(depth: int) -> int:
+    """Words whose codes an entry holds."""
+    return 8 * (depth // 8 + 1)
+
+
 def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) of each w neighbours, from the left; len(x) - w + 1 values."""
     out, have = x, 1
@@ -63,199 +79,411 @@ def lowest(w: Words, length: int, depth: int) -> tuple[np.ndarray, np.ndarray, n
     return first, _sliding(padded, span, np.minimum), owner
 
 
-def sampled(w: Words, length: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix hashes to index and their documents; documents of fewer than `length` words have none."""
-    first, least, owner = lowest(w, length, depth)
+def sampled(w: Words, length: int, depth: int, of: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which suffixes to index begin, and their documents; documents of fewer than `length` words have none."""
+    first, least, owner = of or lowest(w, length, depth)
     span = length - depth + 1
     full = (w.offsets[owner + 1] - np.arange(len(owner))) >= length if len(owner) else np.zeros(0, bool)
     least = np.where(full, least, np.uint64(0))  # windows inside a document choose
     most = _sliding(np.concatenate([np.zeros(span - 1, np.uint64), least]), span, np.maximum)
     at = np.flatnonzero((first != _NONE) & (most == first))
-    return first[at], owner[at]
+    return at, owner[at]
+
+
+def codes(w: Words, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the first k words of the suffixes at the given words, as strings of k bytes."""
+    code = np.concatenate([(w.hashes >> np.uint64(56)) % np.uint64(255) + np.uint64(1), np.zeros(k, np.uint64)]).astype(np.uint8)
+    out = np.lib.stride_tricks.sliding_window_view(code, k)[at]
+    out[np.arange(k) >= (w.offsets[doc + 1] - at)[:, None]] = 0
+    return np.ascontiguousarray(out).view(f"S{k}").ravel()
+
+
+def names(keys: np.ndarray) -> np.ndarray:
+    """64-bit hashes of entries' codes."""
+    out = np.zeros(len(keys), np.uint64)
+    for i, column in enumerate(np.ascontiguousarray(keys).view("<u8").reshape(len(keys), keys.dtype.itemsize // 8).T):
+        out = mix(out ^ mix(column, 60 + i))
+    return out
+
+
+class Entries(NamedTuple):
+    """Suffixes in order: their codes, documents and whether they are new."""
+
+    keys: np.ndarray
+    docs: np.ndarray
+    fresh: np.ndarray
+
+    def take(self, i: np.ndarray) -> Entries:
+        return Entries(self.keys[i], self.docs[i], self.fresh[i])
+
+
+def ordered(e: Entries) -> Entries:
+    return e.take(np.argsort(e.keys, kind="stable"))
+
+
+def merged(a: Entries, b: Entries) -> Entries:
+    """Two arrays in order as one."""
+    if len(a.keys) < len(b.keys):
+        a, b = b, a
+    place = np.searchsorted(a.keys, b.keys, "right") + np.arange(len(b.keys))
+    rest = np.ones(len(a.keys) + len(b.keys), bool)
+    rest[place] = False
+    out = []
+    for x, y in zip(a, b, strict=True):
+        z = np.empty(len(rest), x.dtype)
+        z[place], z[rest] = y, x
+        out.append(z)
+    return Entries(*out)
+
 
+def _begins(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
-def _pack(r: int, batch: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-    bucket, low = _split(key, r)
-    by = np.lexsort((doc, low, bucket, batch))
-    batch, bucket, low, doc = batch[by], bucket[by], low[by], doc[by]
-    place = batch * r + bucket
-    for p, i, j in _parts(place, int(place.max(initial=-1)) + 1):
-        new = np.ones(j - i, bool)
-        new[1:] = (low[i + 1 : j] != low[i : j - 1]) | (doc[i + 1 : j] != doc[i : j - 1])
-        yield p // r, p % r, squeeze(low[i:j][new].astype(np.uint32)), doc[i:j][new].tobytes()
 
+def collapse(e: Entries) -> tuple[Entries, Entries]:
+    """The least and the greatest document of every beginning, and the other documents' entries, each once."""
+    group = np.repeat(np.arange(len(begin := _begins(e.keys))), np.diff(np.append(begin, len(e.keys))))
+    e = e.take(np.lexsort((e.docs, group)))
+    new = np.ones(len(e.keys), bool)
+    new[1:] = (e.keys[1:] != e.keys[:-1]) | (e.docs[1:] != e.docs[:-1])
+    e = e.take(np.flatnonzero(new))
+    begin = _begins(e.keys)
+    ends = np.zeros(len(e.keys), bool)
+    ends[begin] = True
+    ends[np.append(begin[1:], len(e.keys))[: len(begin)] - 1] = True
+    return e.take(np.flatnonzero(ends)), e.take(np.flatnonzero(~ends))
+
+
+def common(keys: np.ndarray) -> np.ndarray:
+    """Words that each entry's codes have in common with the next one's."""
+    k = keys.dtype.itemsize
+    if len(keys) < 2:
+        return np.zeros(0, np.int64)
+    x = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, k)
+    other = (x[1:] != x[:-1]) | (x[1:] == 0)
+    return np.where(other.any(axis=1), other.argmax(axis=1), k)
+
+
+def scan(e: Entries, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of an array that share their first `depth` words with another document's, one of such neighbours new; and the most words they share with a neighbour."""
+    near = common(e.keys)
+    begin = np.flatnonzero(np.concatenate([[True], near < depth])) if len(e.keys) else np.zeros(0, np.int64)
+    if not len(begin):
+        return begin, begin
+    several = np.minimum.reduceat(e.docs, begin) != np.maximum.reduceat(e.docs, begin)
+    several &= np.maximum.reduceat(e.fresh, begin)
+    hit = np.repeat(several, np.diff(np.append(begin, len(e.keys))))
+    shared = np.maximum(np.append(near, 0), np.concatenate([[0], near]))
+    at = np.flatnonzero(hit)
+    return at, shared[at]
+
+
+def _load(t: pa.Table, k: int) -> Entries:
+    """One array of all rows, each of which is in order."""
+    fresh = t.column("fresh").to_pylist() if "fresh" in t.column_names else [True] * t.num_rows
+    rows = [Entries(np.frombuffer(x, f"S{k}"), d := np.frombuffer(y, np.int64), np.full(len(d), f)) for x, y, f in zip(t.column("suffixes").to_pylist(), t.column("docs").to_pylist(), fresh, strict=True)]
+    while len(rows) > 1:
+        rows = sorted(rows, key=lambda e: len(e.keys))
+        rows = [merged(rows[0], rows[1]), *rows[2:]] if len(rows) % 2 else [merged(a, b) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    return rows[0]
+
+
+def _packed(e: Entries) -> tuple[bytes, bytes]:
+    return e.keys.tobytes(), e.docs.tobytes()
+
+
+def _emit_suffixes(length: int, depth: int, bounds: np.ndarray):
+    """Arrays of a task's suffixes by batch and bucket, in order; what collapse() takes out of them as rows without a bucket."""
+    k = n_codes(depth)
+    schema = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("suffixes", pa.binary()), ("docs", pa.binary())])
 
-def _emit_suffixes(length: int, depth: int, r: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = list(_pack(r, *(np.concatenate(x) for x in zip(*held, strict=True))))
-                held.clear()
+            batch, keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for b in np.unique(batch).tolist():
+                own = batch == b
+                e, others = collapse(ordered(Entries(keys[own], docs[own], np.ones(own.sum(), bool))))
+                bucket = bucket_of(e.keys, bounds)
+                rows = [(b, p, *_packed(e.take(slice(i, j)))) for p, i, j in _parts(bucket, len(bounds) + 1)]
+                if len(others.keys):
+                    rows.append((b, None, names(others.keys).tobytes(), others.docs.tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "bucket", "suffixes", "docs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for whole in batches:
             for b in slices(whole, "text"):
-                key, doc = sampled(Words(b.column("text")), length, depth)
+                w = Words(b.column("text"))
+                at, doc = sampled(w, length, depth)
                 ids, no = b.column("doc_id").to_numpy(), b.column("batch").to_numpy()
-                held.append((no[doc].astype(np.int64), key, ids[doc]))
-                if sum(len(k) for _, k, _ in held) > _FLUSH:
+                held.append((no[doc].astype(np.int64), codes(w, at, doc, k), ids[doc]))
+                if sum(len(x) for _, x, _ in held) > _FLUSH:
                     yield from flush()
-        yield from flush()
+        if held:
+            yield from flush()
         trim()
 
     return run
 
 
-def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes and documents of all rows in order, each pair once."""
-    low = np.concatenate([unsqueeze(x) for x in t.column("suffixes").to_pylist()])
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("docs").to_pylist()])
-    by = np.lexsort((doc, low))
-    low, doc = low[by], doc[by]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-    return low[new], doc[new]
+def _leading(keys: np.ndarray) -> np.ndarray:
+    """The first eight codes as numbers of the same order."""
+    return np.ascontiguousarray(np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), keys.dtype.itemsize)[:, :8]).view(">u8").ravel().astype(np.uint64)
 
 
-def _merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    low, doc = _merged(t)
-    return pa.table({"bucket": pa.array([key[-1].as_py()], pa.int32()), "suffixes": pa.array([squeeze(low)], pa.binary()), "docs": pa.array([doc.tobytes()], pa.binary())})
+def bucket_of(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.searchsorted(bounds, _leading(keys), "right")
 
 
-def _scan(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Documents that share a suffix's beginning with another, one of the two in the new batch."""
-    low, doc = _merged(t)
-    fresh = _merged(t.filter(t.column("fresh"))) if any(t.column("fresh").to_pylist()) else (low[:0], doc[:0])
-    begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
-    n = np.diff(np.append(begin, len(low)))
-    hit = np.repeat((n > 1) & np.isin(low[begin], fresh[0]), n)
-    trim()
-    return pa.table({"doc_id": np.unique(doc[hit])})
+def bucket_bounds(docs: DataFrame, length: int, depth: int, r: int) -> np.ndarray:
+    """r - 1 bounds between buckets, from about SAMPLE_BYTES of text a bucket (4 MB at least); they affect balance alone."""
+    want, k = max(4 << 20, r * SAMPLE_BYTES), n_codes(depth)
+    if (size := estimated(docs)) is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    some = docs.select("text") if size <= want else docs.select("text").sample(fraction=want / size, seed=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                w = Words(b.column("text"))
+                got = np.unique(_leading(codes(w, *sampled(w, length, depth), k)))
+                yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], names=["leading"])
+
+    rows = some.mapInArrow(run, "leading binary").toArrow()
+    got = np.sort(np.concatenate([np.zeros(1, np.uint64), *[np.frombuffer(x, np.uint64) for x in rows.column(0).to_pylist()]]))
+    return got[np.linspace(0, len(got) - 1, r + 1).astype(np.int64)[1:-1]]
 
 
 class Family:
-    """Levels of suffix arrays in the shared folder. Level i holds 2 ** i batches."""
+    """A suffix index that lasts: levels of suffix arrays below a folder that all executors share. Level i holds 2 ** i batches.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, {}
+    create() makes one for documents like those given, open() finds one by its folder,
+    add() enters a batch. A state is written when its levels are complete, and levels are
+    removed only after that, so that the index survives a driver that is lost.
+    """
 
-    def _write(self, df: DataFrame) -> str:
-        at = new_path(self.spark, "level")
+    def __init__(self, spark: SparkSession, path: str, state: dict):
+        self.spark, self.path, self.state = spark, path, state
+        self.length, self.depth, self.bounds = state["length"], state["depth"], np.array(state["bounds"], np.uint64)
+
+    @classmethod
+    def create(cls, docs: DataFrame, path: str | None = None, length: int = LENGTH, depth: int = DEPTH) -> Family:
+        spark, docs = docs.sparkSession, _usable(docs)
+        bounds = bucket_bounds(docs, length, depth, buckets(docs))
+        family = cls(spark, path or new_path(spark, "family"), {"version": 0, "length": length, "depth": depth, "bounds": bounds.tolist(), "levels": {}})
+        family._save({})
+        return family
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Family:
+        newest = spark.read.text(f"{path}/state-*").selectExpr("value", "get_json_object(value, '$.version') + 0 AS v").orderBy("v", ascending=False).first()
+        return cls(spark, path, json.loads(newest["value"]))
+
+    def _save(self, levels: dict[str, str]) -> None:
+        before = self.state["version"]
+        self.state = self.state | {"version": before + 1, "levels": levels}
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/state-{before + 1}")
+        remove(self.spark, f"{self.path}/state-{before}")
+
+    @property
+    def levels(self) -> dict[int, str]:
+        return {int(i): at for i, at in self.state["levels"].items()}
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        at = f"{self.path}/{name}"
+        remove(self.spark, at)  # of a call that didn't end
         df.write.option("compression", "zstd").parquet(at)
         return at
 
     def _read(self, at: str) -> DataFrame:
-        return self.spark.read.schema(_LEVEL).parquet(at)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Enters a batch's suffix array; the documents with long matches in it or between it and the family, staged."""
-        at = self._write(batch.select("bucket", "suffixes", "docs"))
+        return self.spark.read.schema(_ARRAY).parquet(at)
+
+    def arrays(self, docs: DataFrame, batches: int) -> DataFrame:
+        """batch, bucket, suffixes and docs: the suffix arrays of all batches, staged; rows without a bucket are matches already."""
+        tagged = _usable(docs).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+        k, kind = n_codes(self.depth), "batch int, bucket int, suffixes binary, docs binary"
+        pieces = stage_table(tagged.mapInArrow(_emit_suffixes(self.length, self.depth, self.bounds), kind), "suffixes")
+
+        def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            e, others = collapse(_load(t, k))
+            trim()
+            rows = [(key[1].as_py(), *_packed(e))] + ([(None, names(others.keys).tobytes(), others.docs.tobytes())] if len(others.keys) else [])
+            return pa.table({"batch": pa.array([key[0].as_py()] * len(rows), pa.int32())} | {c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in zip(("bucket", "suffixes", "docs"), zip(*rows, strict=True), strict=True)})
+
+        arrays = pieces.where("bucket IS NOT NULL").groupBy("batch", "bucket").applyInArrow(build, kind)
+        return stage_table(arrays.unionByName(pieces.where("bucket IS NULL")), "suffix-arrays")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Enters documents as one batch; doc_id, suffix and shared of the matches in it and between it and the family, staged."""
+        return self._add(self.arrays(docs, 1))
+
+    def _add(self, batch: DataFrame) -> DataFrame:
+        n, k, depth, levels = self.state["version"], n_codes(self.depth), self.depth, self.levels
+        at = self._write(batch.where("bucket IS NOT NULL").select("bucket", "suffixes", "docs"), f"level-{n}-0")
         both = self._read(at).withColumn("fresh", F.lit(True))
-        for old in self.levels.values():
+        for old in levels.values():
             both = both.unionByName(self._read(old).withColumn("fresh", F.lit(False)))
-        found = stage_table(both.groupBy("bucket").applyInArrow(_scan, "doc_id bigint").distinct(), "long-matches")
-        i = 0
-        while i in self.levels:
-            old = self.levels.pop(i)
-            merged = self._write(self._read(at).unionByName(self._read(old)).groupBy("bucket").applyInArrow(_merge, _LEVEL))
-            remove(self.spark, at)
+
+        def scanned(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            if not any(t.column("fresh").to_pylist()):
+                return pa.table({"docs": pa.array([], pa.binary()), "suffixes": pa.array([], pa.binary()), "shared": pa.array([], pa.binary())})
+            e = _load(t, k)
+            i, shared = scan(e, depth)
+            trim()
+            return pa.table({"docs": [e.docs[i].tobytes()], "suffixes": [names(e.keys[i]).tobytes()], "shared": [shared.astype(np.uint8).tobytes()]})
+
+        found = both.groupBy("bucket").applyInArrow(scanned, "docs binary, suffixes binary, shared binary")
+        whole = batch.where("bucket IS NULL").select("docs", "suffixes", F.lit(None).cast("binary").alias("shared"))  # they share all that entries hold
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for d, s, x in zip(*(b.column(c).to_pylist() for c in ("docs", "suffixes", "shared")), strict=True):
+                    docs, suffix = np.frombuffer(d, np.int64), np.frombuffer(s, np.int64)
+                    shared = np.full(len(docs), k) if x is None else np.frombuffer(x, np.uint8)
+                    for i in range(0, len(docs), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + (1 << 16)]), pa.array(suffix[i : i + (1 << 16)]), pa.array(shared[i : i + (1 << 16)].astype(np.int32))], names=["doc_id", "suffix", "shared"])
+
+        matches = stage_table(found.unionByName(whole).mapInArrow(unpack, _MATCHES), "matches")
+
+        def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            suffixes, docs = _packed(collapse(_load(t, k))[0])
+            trim()
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "suffixes": pa.array([suffixes], pa.binary()), "docs": pa.array([docs], pa.binary())})
+
+        i, gone = 0, []
+        while i in levels:
+            gone += [at, levels.pop(i)]
+            i += 1
+            at = self._write(self._read(gone[-2]).unionByName(self._read(gone[-1])).groupBy("bucket").applyInArrow(merge, _ARRAY), f"level-{n}-{i}")
+        self._save({str(j): x for j, x in (levels | {i: at}).items()})
+        for old in gone:
             remove(self.spark, old)
-            at, i = merged, i + 1
-        self.levels[i] = at
-        return found
+        return matches
 
     def drop(self) -> None:
-        for at in self.levels.values():
-            remove(self.spark, at)
-        self.levels = {}
+        remove(self.spark, self.path)
+        self.state = self.state | {"levels": {}}
+
+
+def _usable(docs: DataFrame) -> DataFrame:
+    return narrow(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def suffix_arrays(docs: DataFrame, batches: int, length: int, depth: int) -> DataFrame:
-    """batch, bucket, suffixes and docs: the suffix arrays of all batches, staged by batch."""
-    r = buckets(docs)
-    tagged = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
-    packed = tagged.mapInArrow(_emit_suffixes(length, depth, r), "batch int, bucket int, suffixes binary, docs binary")
+# Verification
 
-    def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return _merge(key, t).add_column(0, "batch", pa.array([key[0].as_py()], pa.int32()))
 
-    return stage_table(packed.groupBy("batch", "bucket").applyInArrow(build, "batch int, " + _LEVEL), "suffix-arrays")
+def marked(w: Words, length: int, depth: int, doc: np.ndarray, suffix: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (their first words, in order) that matches (document in w, suffix, words shared) allow, their documents and lowest hashes."""
+    of = lowest(w, length, depth)
+    at, own = sampled(w, length, depth, of)
+    k = n_codes(depth)
+    tag = lambda s, d: mix(s ^ mix(d.astype(np.uint64), 9), 10)
+    keys, have = tag(suffix.view(np.uint64), doc), tag(names(codes(w, at, own, k)), own)
+    by = np.argsort(keys)
+    keys, bound = keys[by], shared[by]
+    j = np.minimum(np.searchsorted(keys, have), max(len(keys) - 1, 0))
+    hit = np.flatnonzero(keys[j] == have) if len(keys) else np.zeros(0, np.int64)
+    at, own, bound = at[hit], own[hit], bound[j[hit]]
+    # A window that has o words before the suffix shares length - o from it on.
+    lo = np.maximum(at - (length - depth), w.offsets[own])
+    hi = np.minimum(np.where(bound < k, at - np.maximum(length - bound, 0), at), w.offsets[own + 1] - length)
+    edge = np.zeros(len(w.hashes) + 1, np.int64)
+    good = lo <= hi
+    np.add.at(edge, lo[good], 1)
+    np.add.at(edge, hi[good] + 1, -1)
+    windows = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    return windows, of[2][windows], of[1][windows]
 
 
 def _emit_windows(length: int, depth: int, r: int):
-    """Runs of windows that have the same lowest suffix, packed by its bucket."""
+    """What a slice of documents asks of a bucket: distinct windows with their least document and whether it has more, and where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId() << 32, 0
         for whole in batches:
             for b in slices(whole, "text", 16 << 20):
-                w = Words(b.column("text"))
-                _, least, owner = lowest(w, length, depth)
-                g = rolling(w.hashes, length)
-                at = np.flatnonzero(owner[: len(g)] == owner[length - 1 :]) if len(g) else np.zeros(0, np.int64)
+                w, lists = Words(b.column("text")), b.column("found")
+                found = lists.flatten()
+                doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                at, own, least = marked(w, length, depth, doc, found.field("suffix").to_numpy(), found.field("shared").to_numpy())
                 if not len(at):
                     continue
-                bucket = (least[at] % np.uint64(r)).astype(np.int64)
+                g, ids = rolling(w.hashes, length), b.column("doc_id").to_numpy()
+                bucket = (least % np.uint64(r)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                at, bucket = at[by], bucket[by]
-                ids = b.column("doc_id").to_numpy()
-                rows = []
+                at, own, bucket = at[by], own[by], bucket[by]
+                rows, n = [], n + 1
                 for p, i, j in _parts(bucket, r):
-                    some = at[i:j]
-                    doc, word = owner[some], (some - w.offsets[owner[some]]).astype(np.uint32)
-                    # A run: the next window of the same document.
-                    new = np.concatenate([[True], (np.diff(some) != 1) | (np.diff(doc) != 0)])
+                    some, mine = at[i:j], ids[own[i:j]]
+                    uniq, first, no = np.unique(g[some], return_index=True, return_inverse=True)
+                    order = np.argsort(first)  # as they come, so that documents and numbers compress
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    no = rank[no]
+                    low, high = np.full(len(uniq), np.iinfo(np.int64).max), np.full(len(uniq), np.iinfo(np.int64).min)
+                    np.minimum.at(low, no, mine)
+                    np.maximum.at(high, no, mine)
+                    new = np.concatenate([[True], (np.diff(some) != 1) | (mine[1:] != mine[:-1])])
                     start = np.flatnonzero(new)
-                    rows.append((p, g[some].tobytes(), ids[doc[start]].tobytes(), planes(word[start]), planes(np.diff(np.append(start, len(some))))))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], names=["bucket", "windows", "docs", "words", "runs"])
+                    word = some[start] - w.offsets[own[i:j][start]]
+                    rows.append((task + n, p, uniq[order].tobytes(), low.tobytes(), np.packbits(low != high).tobytes(), planes(np.diff(no, prepend=0).astype(np.int32).view(np.uint32)), mine[start].tobytes(), planes(word), planes(np.diff(np.append(start, j - i)))))
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "bucket", "windows", "least", "several", "places", "docs", "words", "runs"])
         trim()
 
     return run
 
 
-def _equal(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """doc_id, first and last window of every run of windows that another document has too."""
-    cat = lambda c, f: np.concatenate([f(x) for x in t.column(c).to_pylist()])
-    g, ids, word, runs = cat("windows", lambda x: np.frombuffer(x, np.uint64)), cat("docs", lambda x: np.frombuffer(x, np.int64)), cat("words", unplanes), cat("runs", unplanes)
-    run = np.repeat(np.arange(len(runs)), runs)
-    at = word[run].astype(np.int64) + np.arange(len(g)) - np.repeat(np.cumsum(runs, dtype=np.int64) - runs, runs)
-    doc = ids[run]
+_ASKED = "id bigint, bucket int, windows binary, least binary, several binary, places binary, docs binary, words binary, runs binary"
+
+
+def _answer(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """For each row, which of its windows several documents have."""
+    g = [np.frombuffer(x, np.uint64) for x in t.column("windows").to_pylist()]
+    size = np.cumsum([0, *map(len, g)])
+    doc = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("least").to_pylist()])
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(t.column("several").to_pylist(), g, strict=True)])
+    g = np.concatenate(g)
     by = np.argsort(g, kind="stable")
-    g, d = g[by], doc[by]
-    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    n = np.diff(np.append(begin, len(g)))
-    several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+    begin = _begins(g[by])
+    several = (np.minimum.reduceat(doc[by], begin) != np.maximum.reduceat(doc[by], begin)) | (np.maximum.reduceat(many[by], begin) > 0)
     hit = np.zeros(len(g), bool)
-    hit[by] = np.repeat(several, n)
-    i = np.flatnonzero(hit)
-    new = np.concatenate([[True], (np.diff(run[i]) != 0) | (np.diff(at[i]) != 1)]) if len(i) else np.zeros(0, bool)
-    start = np.flatnonzero(new)
-    end = np.append(start[1:], len(i))[: len(start)] - 1
+    hit[by] = np.repeat(several, np.diff(np.append(begin, len(g))))
     trim()
-    return pa.table({"doc_id": doc[i[start]], "first": at[i[start]], "last": at[i[end]]})
+    return pa.table({"id": t.column("id"), "bucket": t.column("bucket"), "shared": pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(size[:-1], size[1:], strict=True)], pa.binary())})
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, batches: int = BATCHES) -> DataFrame:
-    """doc_id, first_word and n_words of every longest run of words of which each is in a passage of `length` words that another document has too.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, first and last window of every run of windows that another document has too."""
+    for b in batches:
+        for row in range(b.num_rows):
+            get = lambda c: b.column(c)[row].as_py()  # noqa: B023, E731
+            no = np.cumsum(unplanes(get("places")).view(np.int32))
+            hit = np.unpackbits(np.frombuffer(get("shared"), np.uint8))[no] > 0
+            if not hit.any():
+                continue
+            docs, word, size = np.frombuffer(get("docs"), np.int64), unplanes(get("words")).astype(np.int64), unplanes(get("runs")).astype(np.int64)
+            run = np.repeat(np.arange(len(size)), size)
+            at = word[run] + np.arange(len(no)) - np.repeat(np.cumsum(size) - size, size)
+            i = np.flatnonzero(hit)
+            new = np.concatenate([[True], (np.diff(run[i]) != 0) | (np.diff(at[i]) != 1)])
+            start = np.flatnonzero(new)
+            end = np.append(start[1:], len(i)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(docs[run[i[start]]]), pa.array(at[i[start]]), pa.array(at[i[end]])], names=["doc_id", "first", "last"])
+    trim()
 
-    Exact. Words are compared, so case, punctuation and white space don't count.
-    Documents of fewer than `length` words, null texts and rows without doc_id have no
-    passage. Rows that share a doc_id are one document: what they repeat among
-    themselves doesn't count. Extra columns are dropped; no documents, no passages.
-    """
-    docs = narrow(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    spark = docs.sparkSession
-    arrays, family, found = suffix_arrays(docs, batches, length, depth), Family(spark), None
-    for i in range(batches):  # the family grows a batch at a time
-        hits = family.add(arrays.where(F.col("batch") == i))
-        found = hits if found is None else found.unionByName(hits)
-    family.drop()
-    candidates = stage_table(found.distinct(), "candidates")
-    r = buckets(docs)
-    windows = docs.join(small(candidates), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_emit_windows(length, depth, r), "bucket int, windows binary, docs binary, words binary, runs binary")
-    runs = windows.groupBy("bucket").applyInArrow(_equal, "doc_id bigint, first bigint, last bigint")
+
+def verify(docs: DataFrame, matches: DataFrame, length: int = LENGTH, depth: int = DEPTH) -> DataFrame:
+    """doc_id, first_word and n_words of the repeated passages that matches (of a family, over the same documents) lead to."""
+    docs = _usable(docs)
+    best = matches.groupBy("doc_id", "suffix").agg(F.max("shared").alias("shared"))
+    found = stage_table(best.groupBy("doc_id").agg(F.collect_list(F.struct("suffix", "shared")).alias("found")), "found")
+    asked = docs.join(small(found, 1 << 18), "doc_id").select("doc_id", "text", "found").mapInArrow(_emit_windows(length, depth, buckets(docs)), _ASKED)
+    asked = stage_table(asked, "windows")
+    answers = asked.select("id", "bucket", "windows", "least", "several").groupBy("bucket").applyInArrow(_answer, "id bigint, bucket int, shared binary")
+    runs = asked.drop("windows", "least", "several").join(answers, ["id", "bucket"]).mapInArrow(_runs, "doc_id bigint, first bigint, last bigint")
     spans = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,3 +500,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, batches:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], names=["doc_id", "first_word", "n_words"])
 
     return spans.mapInArrow(join, "doc_id bigint, first_word bigint, n_words bigint")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, batches: int = BATCHES) -> DataFrame:
+    """doc_id, first_word and n_words of every longest run of words of which each is in a passage of `length` words that another document has too.
+
+    Words and windows are compared by 64-bit hashes, windows within the bucket of their
+    lowest suffix. Case, punctuation and white space don't count. Documents of fewer than
+    `length` words, null texts and rows without doc_id have no passage. Rows that share a
+    doc_id are one document: what they repeat among themselves doesn't count. Extra
+    columns are dropped; no documents, no passages.
+    """
+    docs = _usable(docs)
+    family, found = Family.create(docs, length=length, depth=depth), None
+    arrays = family.arrays(docs, batches)
+    for i in range(batches):  # the family grows a batch at a time
+        hits = family._add(arrays.where(F.col("batch") == i))
+        found = hits if found is None else found.unionByName(hits)
+    family.drop()
+    return verify(docs, found, length, depth)
