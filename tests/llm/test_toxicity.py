@@ -1,5 +1,8 @@
 import random
+import time
+import unicodedata
 
+import numpy as np
 import pytest
 from helpers import awkward, documents, empty
 
@@ -20,16 +23,18 @@ def swaps(t):
     return {t[:i] + t[i + 1] + t[i] + t[i + 2 :] for i in range(1, len(t) - 1)}
 
 
+def fold(word):
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 def brute(word):
-    """Fewest edits to a term within its tolerance, first letters equal; None if there is none."""
-    best = [e for t in X.LEXICON if word[0] == t[0] and (e := distance(word[1:].encode(), t[1:].encode())) <= X.tolerance(t)]
+    """Fewest edits of letters to a term within its tolerance, first letters equal; None if there is none."""
+    best = [e for t in X.LEXICON if word[0] == t[0] and (e := distance(word[1:], t[1:])) <= X.tolerance(t)]
     best += [1 for t in X.LEXICON if X.tolerance(t) and word in swaps(t)]
     return min(best, default=None)
 
 
 def matched(word, a):
-    import numpy as np
-
     raw = np.frombuffer(word.encode(), np.uint8)
     _, e, _ = a.match(raw, np.array([0]), np.array([len(raw)]))
     return int(e[0]) if len(e) else None
@@ -42,15 +47,85 @@ def test_automaton_equals_brute_force():
         for _ in range(rng.randint(0, 3)):
             i, kind = rng.randrange(len(w) or 1), rng.randrange(3)
             if kind == 0 and w:
-                w[i] = rng.choice("abeioxz")
+                w[i] = rng.choice("abeioxzéúсж中")
             elif kind == 1 and len(w) > 1:
                 del w[i]
             else:
-                w.insert(i, rng.choice("abeioxz"))
+                w.insert(i, rng.choice("abeioxzéúсж中"))
         word = "".join(w)
         assert matched(word, a) == brute(word), word
 
 
+def test_an_accent_is_one_edit(spark):
+    a = X.automaton()
+    for w in ("estupido", "cabron", "maricon", "encule", "cretin", "imbecil", "éstupid", "idiót", "estupidо"):
+        assert matched(w, a) == (1 if w not in ("éstupid", "estupidо") else brute(w)), w
+    for t in ("enculé", "idiot"):
+        assert matched(t, a) == 0
+    apart = unicodedata.normalize("NFD", "quel crétin, un enculé")
+    assert len(apart) > len("quel crétin, un enculé") and X.context(apart, a)[3] == ["crétin", "enculé"]
+    assert [r.n_hits for r in X.toxicity(documents(spark, [apart, "a carbon copy"])).orderBy("doc_id").collect()] == [2, 0]
+
+
+def score_of(text, a, window=X.WINDOW):
+    """context() by its definition, word by word and mark by mark."""
+    low, words, at = text.lower(), [], []
+    for m in X._TOKEN.finditer(low):
+        words.append(m.group())
+        at.append(m.start())
+    quoted, i = set(), 0
+    for line in low.splitlines(keepends=True):
+        k = 0
+        while k < len(line):
+            end = X.QUOTES.get(line[k])
+            if end and end in line[k + 1 :]:
+                j = line.index(end, k + 1)
+                quoted |= set(range(i + k + 1, i + j))
+                k = j
+            k += 1
+        i += len(line)
+    hits = []
+    for n, w in enumerate(words):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        _, e, x = a.match(raw, np.array([0]), np.array([len(raw)]))
+        if len(e) and not (e[0] > 0 and w in X.HARMLESS):
+            hits.append((n, int(e[0]), float(x[0])))
+    n_quoted, total, most, known = 0, 0.0, 0.0, {}
+    for n, e, x in hits:
+        s = x if e < 0 else 1 - 0.1 * e
+        q = at[n] in quoted or any(w in X.REPORTING for w in words[max(0, n - 3) : n])
+        n_quoted += q
+        s *= 0.3 if q else 1.2 if any(w in X.ADDRESS for w in words[max(0, n - window) : n + window + 1]) else 1
+        s *= 1.2 if any(m != n and abs(m - n) <= window for m, *_ in hits) else 1
+        if e < 0:
+            known[n] = s / 2 if q else s
+        else:
+            total, most = total + s, max(most, s)
+    best = 0.0
+    for n in known:
+        own = [s for m, s in known.items() if n <= m < n + X.SPAN]
+        best = max(best, sum(own) * min(1, len(own) / (X.RATE * min(X.SPAN, len(words)))))
+    return len(hits), n_quoted, max(most, total / 2, best), [words[n] for n, *_ in hits]
+
+
+def test_scores_are_those_of_the_definition():
+    a = X.automaton(X.LEXICON, (("drumbelig", 0.8), ("drumberg", 0.0), ("quarzel", 0.4), ("größe", 0.8), ("grosse", 0.0)))
+    rng = random.Random(4)
+    pool = ["idiot", "estupido", "morom", "drumbelig", "drumbeilg", "drumberg", "quarzel", "große", "grosse", "you", "said", "crown", "w1", "w2", "w3", "w4"] + ["fine"] * 10
+    for _ in range(300):
+        text = "".join(rng.choice(pool) + rng.choice([" "] * 8 + ['"', ' "', " «", "» ", "„", "“ ", "\n"]) for _ in range(rng.randint(1, 60)))
+        got, want = X.context(text, a), score_of(text, a)
+        assert got[:2] == want[:2] and got[3] == want[3] and got[2] == pytest.approx(want[2], abs=2e-6), text
+
+
+def test_many_hits_and_marks_take_linear_time():
+    a = X.automaton()
+    for text in ("idiot " * 300_000, '"idiot" said ' * 150_000, "«" * 1_000_000 + " idiot", '"' * 1_000_000 + " moron " * 100_000):
+        start = time.time()
+        assert X.context(text, a)[0] >= 1
+        assert time.time() - start < 20
+
+
 @pytest.mark.parametrize(("text", "toxic"), [("you are an idi0t", True), ("what an IDOIT he is", True), ('they called it "idiot" in the paper', False), ("he said idiot", False), ("a crown for the closer", False), ("so worthles and patheticc", True), ("clean words only", False), ("“moron” is a word", False)])
 def test_contexts(spark, text, toxic):
     assert X.toxicity(documents(spark, [text])).first().toxic is toxic
@@ -58,9 +133,9 @@ def test_contexts(spark, text, toxic):
 
 def test_awkward_rows(spark):
     got = X.toxicity(awkward(spark)).collect()
-    assert len(got) == 11 and not any(r.toxic for r in got) and sum(r.toxic is None for r in got) == 2
+    assert len(got) == 13 and not any(r.toxic for r in got) and sum(r.toxic is None for r in got) == 2
     assert all(r.n_hits == 0 and r.terms == [] for r in got if r.toxic is False)
-    assert X.keep_clean(awkward(spark)).count() == 11
+    assert X.keep_clean(awkward(spark)).count() == 13
     assert X.toxicity(empty(spark)).count() == X.keep_clean(empty(spark)).count() == 0
 
 

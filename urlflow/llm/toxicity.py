@@ -1,9 +1,10 @@
 """Toxicity by a lexicon that tolerates misspelling, scored in context.
 
-The lexicon is a trie over UTF-8 bytes. Its intersection with the Levenshtein
-automaton of each term's tolerance is made deterministic once (subset construction
-over trie node and errors so far), so that a word costs one table lookup a byte and
-most words leave the automaton after two or three. All words of a slice of texts
+The lexicon is a trie over characters. Its intersection with the Levenshtein automaton
+of each term's tolerance is made deterministic once (subset construction over trie node
+and errors so far), so that a word costs one table lookup a character and most words
+leave the automaton after two or three. A letter without its accent is one edit; whether
+accents are composed or combining marks is the same. All words of a slice of texts
 step together in numpy. Documents with a hit are then read again around each hit:
 quotation marks and verbs of reporting lower its score, direct address and other
 hits nearby raise it. Map-only: no shuffle; the table depends on the lexicon alone.
@@ -12,6 +13,7 @@ hits nearby raise it. Map-only: no shuffle; the table depends on the lexicon alo
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +34,7 @@ LEXICON = (
     "gilipollas", "cabrón", "pendejo", "imbécil", "estúpido", "maricón", "puta", "malparido",
 )
 #: Words within a term's tolerance that mean something else.
-HARMLESS = frozenset("idiom idioms boron crown crowns clone closer lose loses lower laser user loner poser losel chows clows cloan clow stupor torpid studied stupe scam scud scut scup tras thrash tracsh brash crash trust trasher pathétique".split())
+HARMLESS = frozenset("idiom idioms boron crown crowns clone closer carbon marion cretan schlappe schlappen lose loses lower laser user loner poser losel chows clows cloan clow stupor torpid studied stupe scam scud scut scup tras thrash tracsh brash crash trust trasher pathétique".split())
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "”": "”"}
 REPORTING = frozenset("said says say wrote writes called calls calling word words term terms quote quoted quotes quoting allegedly insult insults slur slurs sagte sagt nannte schrieb wort dit écrit appelé mot terme dijo dice escribió llamó palabra término".split())
 ADDRESS = frozenset("you your youre yourself u ur du dich dir dein ihr euch tu te toi ton vous votre tú usted ustedes eres".split())
@@ -54,18 +56,42 @@ RATIO = 30
 RATE = 0.01
 #: Words that learned words are summed over at once, so that the rest of a long text doesn't matter.
 SPAN = 500
+#: Letters of a learned word, at most: they bound the automaton.
+LETTERS = 64
 Learned = tuple[tuple[str, float], ...]
 _SEPARATOR = "(?:[\\x{0}-\\x{7F}&&[^0-9a-z_]]|" + PUNCTUATION + ")+"
+_MARK = re.compile(f"[{''.join(QUOTES)}]")
 _TOKEN = re.compile(r"(?:[0-9A-Za-z_]|(?!" + PUNCTUATION + r")[^\x00-\x7f])+")
 
 
+def composed(texts: pa.Array) -> pa.Array:
+    """Texts with accents composed, where they have combining marks (U+0300 to U+036F begin with bytes 0xCC and 0xCD)."""
+    a = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    raw = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
+    if not ((raw == 0xCC) | (raw == 0xCD)).any():
+        return a
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in a.to_pylist()], a.type)
+
+
+def characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and places in them for places in the bytes; bytes that aren't UTF-8 stand for themselves."""
+    if not data.size or data.max() < 128:
+        return data, starts, ends
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return data, starts, ends
+    before = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
+    return points, before[starts], before[ends]
+
+
 def tolerance(term: str) -> int:
     """Edits that a term admits: none below 5 letters or in STRICT, 1 up to 9, then 2. The first letter is never edited."""
     return 0 if len(term) < 5 or term in STRICT else 1 if len(term) < 10 else 2
 
 
 class Automaton:
-    """step[state, byte class]; state 0 is dead; best[state] is 1 + the edits of the closest term that ends here, 0 if none; extra[state] the weight of the closest learned word, less 0.1 of it an edit, 0 if none.
+    """step[state, character class]; state 0 is dead; best[state] is 1 + the edits of the closest term that ends here, 0 if none; extra[state] the weight of the closest learned word, less 0.1 of it an edit, 0 if none.
 
     Learned words have the terms' tolerance. Those of weight 0 are words near a learned
     one that mean something else: as they are, they aren't hits of learned words.
@@ -74,10 +100,10 @@ class Automaton:
     def __init__(self, lexicon: tuple[str, ...] = LEXICON, learned: Learned = ()):
         self.terms = sorted(set(lexicon))
         weight = {t: w for t, w in learned if t not in self.terms}
-        used = sorted({b for t in [*self.terms, *weight] for b in t.encode()} | {ord(d) for d in LEET})
-        self.classes = np.zeros(256, np.int16)  # 0: a byte that no term has
-        for i, b in enumerate(used):
-            self.classes[b] = i + 1
+        used = sorted({ord(c) for t in [*self.terms, *weight] for c in t} | {ord(d) for d in LEET})
+        self.classes = np.zeros(max(256, used[-1] + 2), np.int16)  # 0: a character that no term has
+        for i, c in enumerate(used):
+            self.classes[c] = i + 1
         nodes: list[dict[int, int]] = [{}]
         allow, final = [0], [-1]
         swaps = lambda words: {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: t for t in words if tolerance(t) for i in range(1, len(t) - 1)}
@@ -88,7 +114,7 @@ class Automaton:
         spelled += [(t, 0, 1) for t in sorted(near)]
         for k, (t, d, _) in enumerate(spelled):
             at = 0
-            for b in t.encode():
+            for b in map(ord, t):
                 if b not in nodes[at]:
                     nodes[at][b] = len(nodes)
                     nodes.append({})
@@ -113,7 +139,7 @@ class Automaton:
                             todo.append((child, e + 1))
             return frozenset(states.items())
 
-        def move(now: frozenset, byte: int) -> frozenset:
+        def move(now: frozenset, letter: int) -> frozenset:
             out: dict[int, int] = {}
 
             def put(node: int, e: int) -> None:
@@ -122,7 +148,7 @@ class Automaton:
 
             for node, e in now:
                 for b, child in nodes[node].items():
-                    put(child, e if b == byte or b in leet.get(byte, ()) else e + 1 if node else 99)
+                    put(child, e if b == letter or b in leet.get(letter, ()) else e + 1 if node else 99)
                 if node:
                     put(node, e + 1)
             return close(out)
@@ -133,8 +159,8 @@ class Automaton:
         at = 0
         while at < len(order):
             row = []
-            for byte in alphabet:
-                to = move(order[at], byte)
+            for letter in alphabet:
+                to = move(order[at], letter)
                 if to not in number:
                     number[to] = len(order)
                     order.append(to)
@@ -154,7 +180,8 @@ class Automaton:
 
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words that match, their edits (-1: a learned word) and learned words' weights, less what their edits take."""
-        cls = self.classes[data]
+        points, starts, ends = characters(data, starts, ends)
+        cls = self.classes[points if points.dtype == np.uint8 else np.minimum(points, len(self.classes) - 1)]
         alive, state, at = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy()
         found, edits, extra = [], [], []
         while len(alive):
@@ -181,16 +208,19 @@ def automaton(lexicon: tuple[str, ...] = LEXICON, learned: Learned = ()) -> Auto
 
 
 def quoted_spans(text: str) -> list[tuple[int, int]]:
-    """What stands between a quotation mark and its counterpart in the same line."""
+    """What stands between a quotation mark and its counterpart in the same line; ascending and apart."""
     out, base = [], 0
     for line in text.splitlines(keepends=True):
-        i = 0
-        while i < len(line):
-            end = QUOTES.get(line[i])
-            if end and (j := line.find(end, i + 1)) > 0:
-                out.append((base + i, base + j))
-                i = j
-            i += 1
+        missing, at = set(), 0
+        for m in _MARK.finditer(line):
+            end = QUOTES[m.group()]
+            if m.start() < at or end in missing:
+                continue
+            if (j := line.find(end, m.end())) > 0:
+                out.append((base + m.start(), base + j))
+                at = j + 1
+            else:
+                missing.add(end)
         base += len(line)
     return out
 
@@ -206,27 +236,29 @@ def context(text: str, a: Automaton, window: int = WINDOW) -> tuple[int, int, fl
     and scaled down where they are fewer than RATE of these; the greatest of such sums
     counts if it is greater.
     """
-    low = text.lower()
-    spans = list(_TOKEN.finditer(low))
-    words = [m.group() for m in spans]
-    raw = [w.encode() for w in words]
+    low = unicodedata.normalize("NFC", text.lower())
+    spans = [m.span() for m in _TOKEN.finditer(low)]
+    words = [low[x:y] for x, y in spans]
+    raw = [w.encode("utf-8", "replace") for w in words]
     size = np.array([len(r) for r in raw], np.int64)
     ends = np.cumsum(size)
     hits, edits, extra = a.match(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
-    keep = [i for i, h in enumerate(hits) if not (edits[i] > 0 and words[h] in HARMLESS)]
+    keep = [i for i, h in enumerate(hits.tolist()) if not (edits[i] > 0 and words[h] in HARMLESS)]
     hits, edits, extra = hits[keep], edits[keep], extra[keep]
-    marks = quoted_spans(low) if len(hits) else []
+    marks = np.array(quoted_spans(low) if len(hits) else [], np.int64).reshape(-1, 2)
+    place = np.array([spans[h][0] for h in hits.tolist()], np.int64)
+    inside = np.searchsorted(marks[:, 0], place, "left") - 1
+    in_marks = (inside >= 0) & (place < np.append(marks[:, 1], 0)[inside])
+    others = np.searchsorted(hits, hits + window, "right") - np.searchsorted(hits, hits - window, "left") > 1
     n_quoted, total, most, known, terms = 0, 0.0, 0.0, [], []
-    for h, e, x in zip(hits.tolist(), edits.tolist(), extra.tolist(), strict=True):
+    for h, e, x, quoted, other in zip(hits.tolist(), edits.tolist(), extra.tolist(), in_marks.tolist(), others.tolist(), strict=True):
         s = x if e < 0 else 1 - 0.1 * e
-        lo, hi = max(0, h - window), h + window + 1
-        quoted = any(x < spans[h].start() < y for x, y in marks) or not REPORTING.isdisjoint(words[max(0, h - 3) : h])
-        if quoted:
+        if quoted := quoted or not REPORTING.isdisjoint(words[max(0, h - 3) : h]):
             n_quoted += 1
             s *= 0.3
-        elif not ADDRESS.isdisjoint(words[lo:hi]):
+        elif not ADDRESS.isdisjoint(words[max(0, h - window) : h + window + 1]):
             s *= 1.2
-        if np.count_nonzero((hits >= lo) & (hits < hi)) > 1:
+        if other:
             s *= 1.2
         if e < 0:
             known.append((h, s / 2 if quoted else s))
@@ -249,7 +281,7 @@ def _densest(known: list[tuple[int, float]], n_words: int) -> float:
 def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int, learned: Learned = ()) -> dict[int, tuple[int, int, float, list[str]]]:
     """Row number to context(), for rows with a hit."""
     a, out = automaton(lexicon, learned), {}
-    w = Words(batch.column("text"), hashes=False)
+    w = Words(composed(batch.column("text")), hashes=False)
     hits, *_ = a.match(w.data, w.starts, w.ends)
     for i in np.unique(np.searchsorted(w.offsets, hits, "right") - 1).tolist():
         got = context(batch.column("text")[i].as_py(), a, window)
@@ -258,15 +290,16 @@ def _judge(batch: pa.RecordBatch, lexicon: tuple[str, ...], window: int, learned
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE, ratio: float = RATIO, usual: int = USUAL) -> Learned:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE, ratio: float = RATIO, usual: int = USUAL, letters: int = LETTERS) -> Learned:
     """Words of toxic documents and their weights, from `sample` labelled documents at most.
 
     A word is learned in a language if toxic documents have `least` different words before
     it (so that copies of one document count once), and as many as `share` of the
-    language's toxic documents, and if that is `ratio` times its share of the clean ones.
+    language's toxic documents, and if its share of these (by documents or places, which
+    are fewer) is `ratio` times its share of the clean ones.
     Words that clean documents never have weigh 0.8, others 0.4. Words within the
     tolerance of a learned one that `usual` clean documents have weigh 0: they mean
-    something else. Null ids, labels and texts teach nothing; of an id's labels the
+    something else. Words of more than `letters` letters aren't learned. Null ids, labels and texts teach nothing; of an id's labels the
     greatest counts.
     """
     marked = narrow(labels, {"doc_id": "bigint", "toxic": "int"}).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -276,13 +309,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int =
     rows = held.join(F.broadcast(marked), "doc_id").select(F.coalesce("lang", F.lit("")).alias("lang"), (F.col("toxic") > 0).alias("toxic"), words.alias("words"))  # `sample` rows
     rows = stage_table(rows, "labelled")
     pair = F.arrays_zip(F.concat(F.array(F.lit("")), "words").alias("before"), F.col("words").alias("word"))
-    places = rows.where("toxic").select("lang", F.explode(pair).alias("p")).select("lang", "p.before", "p.word").where("length(word) BETWEEN 4 AND 40").distinct()
+    places = rows.where("toxic").select("lang", F.explode(pair).alias("p")).select("lang", "p.before", "p.word").where(F.length("word") <= letters).distinct()
     many = places.groupBy("lang", "word").agg(F.count("*").alias("places")).where(F.col("places") >= least)
     size = rows.groupBy("lang").agg(F.sum(F.col("toxic").cast("bigint")).alias("n_toxic"), F.sum((~F.col("toxic")).cast("bigint")).alias("n_clean"))
     often = stage_table(many.join(F.broadcast(size), "lang").where(F.col("places") >= share * F.col("n_toxic")), "learnable")  # a row a language
-    clean = rows.where("NOT toxic").select("lang", F.explode(F.array_distinct("words")).alias("word")).join(small(often.select("lang", "word")), ["lang", "word"], "left_semi").groupBy("lang", "word").agg(F.count("*").alias("clean"))
-    both = often.join(clean, ["lang", "word"], "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
-    times = ((F.col("places") + 0.5) / (F.col("n_toxic") + 1)) / ((F.col("clean") + 0.5) / (F.col("n_clean") + 1))
+    each = rows.select("lang", "toxic", F.explode(F.array_distinct("words")).alias("word")).join(small(often.select("lang", "word")), ["lang", "word"], "left_semi")
+    both = often.join(each.groupBy("lang", "word").agg(*[F.sum(c.cast("bigint")).alias(n) for c, n in ((F.col("toxic"), "documents"), (~F.col("toxic"), "clean"))]), ["lang", "word"])
+    times = ((F.least("places", "documents") + 0.5) / (F.col("n_toxic") + 1)) / ((F.col("clean") + 0.5) / (F.col("n_clean") + 1))
     found = both.where(times >= ratio).groupBy("word").agg(F.min(F.when((F.col("clean") == 0) & (F.col("places") >= 8), 0.8).otherwise(0.4)).alias("weight"))
     learned = {r["word"]: r["weight"] for r in found.collect()}  # of `sample` documents
     if not learned:
