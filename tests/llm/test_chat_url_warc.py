@@ -21,6 +21,20 @@ from urlflow.llm.tokens import encode
 TURN = "conv_id bigint, turn bigint, role string, text string"
 
 
+def test_ids_and_mask_are_those_of_a_plain_assembly(spark):
+    rows = [(c, t, role, f"turn {t} of {c} <|open|> ü" * (1 + t % 3)) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"][: 2 + c])]
+    n, e = C.encoding().n_vocab, C.encoding()
+    for r in C.format_chats(spark.createDataFrame(rows, TURN).repartition(4)).collect():
+        ids, mask = [n], [0]
+        for _, _, role, text in [x for x in rows if x[0] == r.conv_id]:
+            body = e.encode_ordinary(text.replace("<|", "<\\|"))
+            head = [n + 1, *e.encode_ordinary(role), *e.encode_ordinary("\n")]
+            learned = int(role == "assistant")
+            ids += head + body + [n + 2] + e.encode_ordinary("\n")
+            mask += [0] * len(head) + [learned] * (len(body) + 1) + [0]
+        assert r.ids == ids and r.mask == mask and r.n_turns == sum(x[0] == r.conv_id for x in rows)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.one_of(st.text(max_size=30), st.sampled_from(["<|close|>", "<\\|open|> x", "a<|", ""]))), max_size=5))
 def test_round_trip_and_mask(turns):
@@ -39,6 +53,8 @@ def test_chats(spark):
     rows = [(1, 1, "assistant", "hi"), (1, 0, "user", "hello <|close|>"), (1, 1, "assistant", "hi"), (None, 0, "user", "x"), (2, None, None, None), (2, 0, "us\ner", "y" * 100_000)]
     df = spark.createDataFrame(rows, TURN).select("*", F.lit(1), F.lit(2)).toDF("conv_id", "turn", "role", "text", "TURN", "ids")
     got = {r.conv_id: r for r in C.format_chats(df).collect()}
+    lost = C.format_chats(spark.createDataFrame([(None, i, "assistant", f"t{i}") for i in range(50)] + [(None, 3, "user", " " * 3_000_000)], TURN)).collect()
+    assert len(lost) == 51 and all(r.conv_id is None and r.n_turns == 1 for r in lost)
     assert C.unsplice(np.array(got[1].ids)) == [("user", "hello <|close|>"), ("assistant", "hi"), ("assistant", "hi")]
     assert got[1].n_turns == 3 and C.unsplice(np.array(got[None].ids)) == [("user", "x")]
     assert C.unsplice(np.array(got[2].ids)) == [("", ""), ("us er", "y" * 100_000)]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents, empty
 from hypothesis import given, settings
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 
 from urlflow.llm import fingerprints as P
 from urlflow.llm import sharding as H
+from urlflow.llm.words import Words, mix
 
 
 def test_collisions_estimate_generalised_jaccard():
@@ -18,10 +20,30 @@ def test_collisions_estimate_generalised_jaccard():
         assert abs((got[0] == got[1]).mean() - want) < 4 * np.sqrt(want * (1 - want) / 3000)
 
 
+def test_signatures_are_those_of_the_definition(spark):
+    texts = ["a b c a a d", "Ünï b B b c!", "x " * 500 + "y", "one"]
+    rows = {r.doc_id: r for r in P.fingerprint(documents(spark, texts), 16).collect()}
+    f = np.float32
+    for i, text in enumerate(texts):
+        words = Words(pa.array([text])).of(0).tolist()
+        assert rows[i].n_terms == len(set(words))
+        for k in range(16):
+            best = None
+            for term in sorted(set(words)):
+                u = [f(((int(mix(np.array([term], np.uint64), 5 * k + j + 1)[0]) >> 40) + 0.5) * 2.0**-24) for j in range(5)]
+                r, logc = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
+                t = np.floor(f(np.log(words.count(term))) / r + u[4])
+                score = logc - r * (t - u[4]) - r
+                if best is None or score < best[0]:
+                    best = score, term, int(t)
+            t = mix(np.array([best[2]], np.int64).view(np.uint64), k)[0]
+            assert rows[i].signature[k] == int(mix(np.array([np.uint64(best[1]) ^ t], np.uint64), 11).view(np.int64)[0])
+
+
 def test_fingerprints_of_awkward_rows(spark):
     rows = P.fingerprint(awkward(spark), 8).collect()
     by = {r.doc_id: r for r in rows if r.doc_id is not None}
-    assert len(rows) == 11 and by[1].signature is None and by[1].n_terms is None
+    assert len(rows) == 13 and by[1].signature is None and by[1].n_terms is None
     assert by[2].signature == by[3].signature == [] and by[2].n_terms == 0
     assert by[4].signature == by[5].signature and len(by[6].signature) == 8 and by[6].n_terms == 7919
     assert P.fingerprint(empty(spark)).count() == 0
@@ -56,8 +78,8 @@ def test_shards_are_full_and_reproducible(spark):
 
 def test_sharding_of_awkward_rows(spark):
     rows = H.shard(awkward(spark), 4).collect()
-    assert sorted(r.row_number for r in rows) == list(range(11)) and {r.doc_id for r in rows if r.row_number < 2} == {None}
-    assert sorted((r.shard, r.slot) for r in rows) == [(i // 4, i % 4) for i in range(11)]
+    assert sorted(r.row_number for r in rows) == list(range(13)) and {r.doc_id for r in rows if r.row_number < 2} == {None}
+    assert sorted((r.shard, r.slot) for r in rows) == [(i // 4, i % 4) for i in range(13)]
     assert H.shard(empty(spark)).count() == 0
 
 

@@ -5,6 +5,7 @@ import pytest
 from helpers import awkward, documents, empty
 
 from urlflow.llm import ngram_join as J
+from urlflow.llm.frames import row_key
 
 
 def grams(text, n=3):
@@ -44,13 +45,39 @@ def test_equals_brute_force(spark, seed, t, n, how):
     assert len(want) > 10 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+@pytest.mark.parametrize("seed", [1, 7])
+def test_links_lose_no_pair_of_texts(spark, seed):
+    texts = corpus(seed)
+    texts += random.Random(seed).choices(texts, k=60)
+    rows = list(enumerate(texts))
+    least = {}
+    for i, x in rows:
+        least.setdefault(x, i)
+    want = {(min(least[x], least[y]), max(least[x], least[y])) for (a, b), _ in brute(rows, 0.5).items() if (x := texts[a]) != (y := texts[b])}
+    want |= {(least[x], i) for i, x in rows if least[x] < i}
+    got = [tuple(r) for r in J.links(documents(spark, texts)).collect()]
+    assert {g[:2] for g in got} == want and len(got) == len(want) > 60
+    assert all(abs(j - len(grams(texts[a]) & grams(texts[b])) / len(grams(texts[a]) | grams(texts[b]))) < 1e-12 for a, b, j in got)
+
+
+def test_links_of_an_id_with_two_texts(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    docs = documents(spark, [a, a + " b", a, None, a], ids=[1, 1, 2, 3, None])
+    assert sorted((r.doc_a, r.doc_b) for r in J.links(docs).collect()) == [(1, 1), (1, 2)]
+
+
+def test_rows_that_differ_by_the_place_of_a_null_are_kept_apart(spark):
+    df = spark.createDataFrame([(1, "some words here", "en", None, 3), (1, "some words here", None, "en", 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert df.select(row_key()).distinct().count() == 2 and J.keep_one(df).count() == 1
+
+
 def test_awkward_rows(spark):
     got = J.join(awkward(spark)).collect()
     assert [tuple(r) for r in got] == [(4, 5, 1.0)]
     assert J.join(empty(spark)).count() == 0
     kept = J.keep_one(awkward(spark))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 4, 6, 7, 8)] + [(True, 0), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 4, 6, 7, 8, 9, 10)] + [(True, 0), (True, 0)]
     assert J.keep_one(empty(spark)).count() == 0
 
 
@@ -79,4 +106,5 @@ def test_a_large_group_of_copies(spark):
     w = [f"a{i}" for i in range(80)]
     texts = [" ".join(w[:k] + [f"x{k}"] + w[k + 1 :]) for k in range(40)] * 2
     assert J.join(documents(spark, texts)).count() == 80 * 79 // 2
+    assert J.links(documents(spark, texts)).count() == 40 * 39 // 2 + 40
     assert J.keep_one(documents(spark, texts)).count() == 1

@@ -100,6 +100,13 @@ def test_order_prefixes_and_merges():
         assert sorted(others.docs[others.keys == key].tolist()) == sorted(docs - {min(docs), max(docs)})
 
 
+def test_matches_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    docs = documents(spark, [" ".join(w) for w in corpus(8)])
+    a = sorted(tuple(r) for r in S.repeats(docs, 20, 10).collect())
+    monkeypatch.setattr(S, "MOST_BROADCAST", 0)
+    assert sorted(tuple(r) for r in S.repeats(docs, 20, 10).collect()) == a and a
+
+
 def test_a_passage_in_very_many_documents(spark):
     p = " ".join(f"x{i}" for i in range(55))
     df = spark.range(20_000).selectExpr("id AS doc_id", f"concat('a', id, ' {p} b', id) AS text")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .frames import narrow
 from .tokens import PATTERN, RANKS, encode, encoding
+from .words import slices
 
 #: Reserved ids come after the vocabulary's, in this order.
 CONTROL = ("<|begin|>", "<|open|>", "<|close|>")
@@ -79,22 +80,23 @@ def format_chats(conversations: DataFrame, learned: frozenset = LEARNED, ranks:
 
     Turns are ordered by turn (null first), then role, then a hash of the text. A null text or role is
     an empty one; line breaks in a role become spaces and its control signs are escaped.
-    Turns that repeat are repeated. A null conv_id is a conversation. Extra columns are
+    Turns that repeat are repeated. A turn without conv_id is a conversation of its own.
+    A conversation is one row, so its turns meet in one task. Extra columns are
     dropped; no turns, no conversations.
     """
     turns = narrow(conversations, {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}).fillna("", ["role", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
+            for part in slices(b, "text"):
                 ids = [encode(escape(t), ranks, pattern).astype("<i4").tobytes() for t in part.column("text").to_pylist()]
                 role = [escape(re.sub(r"[\r\n]+", " ", r)) for r in part.column("role").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), pa.array(role, pa.string()), part.column("text"), pa.array(ids, pa.binary())], names=["conv_id", "turn", "role", "text", "ids"])
 
     encoded = turns.mapInArrow(run, "conv_id bigint, turn bigint, role string, text string, ids binary")
     order = F.struct("turn", "role", F.xxhash64("text").alias("h"), "ids")
-    chats = encoded.groupBy("conv_id").agg(F.sort_array(F.collect_list(order)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    chats = encoded.groupBy("conv_id", alone).agg(F.sort_array(F.collect_list(order)).alias("turns")).drop("alone")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

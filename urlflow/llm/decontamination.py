@@ -333,6 +333,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, seed: int
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The columns of documents, without the rows that have a passage of the benchmark."""
     docs = narrow(docs, DOCUMENT)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    found = stage_table(matches(keyed, benchmark, **how).select(F.col("doc_id").alias("__row")).distinct(), "contaminated")
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(small(found), "__row", "left_anti").select(*DOCUMENT)
+    key = F.xxhash64("doc_id", "text")
+    found = stage_table(matches(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__row")).distinct(), "contaminated")
+    return docs.withColumn("__row", key).join(small(found), "__row", "left_anti").select(*DOCUMENT)

@@ -53,11 +53,14 @@ def tmp(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a folder of this machine, if all executors are on it; else an error."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
-    if got := spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None:
-        return got.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     at = f"file://{tempfile.mkdtemp(prefix='urlflow-')}"
     spark.sparkContext.setCheckpointDir(at)
     return at
@@ -121,5 +124,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(columns: dict[str, str] = DOCUMENT) -> Column:
+    """Two hashes of a row; nulls are told from values of the columns beside them."""
+    held = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(*[F.xxhash64(F.lit(salt), *held).alias(name) for salt, name in ((1, "a"), (2, "b"))])
+
+
 def mix_column(c: Column, *salt: int) -> Column:
     return F.xxhash64(c, *[F.lit(s) for s in salt])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, small, stage_table, trim
+from .frames import DOCUMENT, narrow, row_key, small, stage_table, trim
 from .grams import gram_sets, planes, squeeze, unplanes, unsqueeze
 from .words import PUNCTUATION, Words, mix, slices
 
@@ -392,14 +392,32 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **how) -> Da
     return near.unionByName(same)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node and root, the least node of its component, of all nodes but the roots. Large-star and small-star in turn; edges has bigint columns u and v."""
+def links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **how) -> DataFrame:
+    """join() without the pairs that follow from copies: doc_a < doc_b and jaccard.
+
+    Every text is stood for by its least doc_id. There is a pair for every two different
+    texts with a similarity of `threshold` or more (also where one id has both: then
+    doc_a = doc_b), and one of similarity 1 from each text's least doc_id to each other
+    document that has it. Rows alike count once. Otherwise as join().
+    """
+    docs = narrow(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL")
+    similar = similar_texts(docs, threshold, n, **how)
+    ids = stage_table(_texts(docs).select("sig", "doc_id").distinct(), "ids")
+    least = stage_table(ids.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    first = small(least.select("sig", "least"))
+    near = similar.join(first.toDF("sa", "a"), "sa").join(first.toDF("sb", "b"), "sb").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+    same = ids.join(small(least.where("n > 1")), "sig").where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(same)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root, the least node of its component, of all nodes but the roots. Large-star and small-star in turn, until nothing changes; edges has bigint columns u and v."""
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     now, seen = stage_table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"), None
-    for _ in range(rounds):
+    while True:
         if (m := mark(now)) == seen:
             return now.toDF("node", "root")
         seen = m
@@ -409,7 +427,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         now = stage_table(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m"))).distinct(), "edges")
-    raise RuntimeError(f"components: no fixed point in {rounds} rounds")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **how) -> DataFrame:
@@ -421,13 +438,13 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **how) -
     docs = narrow(docs, DOCUMENT)
     similar = similar_texts(docs, threshold, n, **how)
     root = components(similar.select(F.col("sa").alias("u"), F.col("sb").alias("v")))
-    row = F.xxhash64(*DOCUMENT).alias("__row")
+    row = row_key().alias("__row")
     rows = stage_table(_texts(docs).select("sig", "doc_id", row).groupBy("sig", "doc_id", "__row").agg(F.count("*").alias("times")), "rows")
     grouped = rows.join(root.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row")).alias("first"), F.count("*").alias("n"))
     # What isn't a group's only row: to be dropped, or alike with others and kept once.
     multiple = stage_table(grouped.join(first, "root").where("n > 1 OR times > 1").select("__row", (F.col("__row") == F.col("first.__row")).alias("one"), "times").where("NOT one OR times > 1").groupBy("__row").agg(F.max("one").alias("one")), "dropped")
-    marked = docs.withColumn("__row", F.xxhash64(*DOCUMENT)).join(small(multiple), "__row", "left")
+    marked = docs.withColumn("__row", row_key()).join(small(multiple), "__row", "left")
     alone = marked.where("one IS NULL").select(*DOCUMENT)
     if multiple.where("one").isEmpty():
         return alone

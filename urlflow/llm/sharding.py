@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, small, stage_table, tmp
+from .frames import DOCUMENT, narrow, row_key, small, stage_table, tmp
 
 ROUNDS = 6
 PRIME = 2_147_483_647
@@ -113,7 +113,7 @@ def shard(docs: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> Da
     and slot are its quotient and remainder by shard_rows, so all shards but the last
     are full. Any column may be null. Extra columns are dropped. No rows, no shards.
     """
-    rows = narrow(docs, DOCUMENT).withColumn(tmp("hash"), F.xxhash64(*DOCUMENT))
+    rows = narrow(docs, DOCUMENT).withColumn(tmp("hash"), row_key())
     numbered, n = number_rows(rows, ["doc_id", tmp("hash")])
 
     @F.pandas_udf("bigint")

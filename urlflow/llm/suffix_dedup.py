@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import narrow, new_path, remove, small, stage_table, trim
+from .frames import narrow, new_path, remove, stage_table, trim
 from .grams import planes, unplanes
 from .ngram_join import _parts, buckets, estimated
 from .words import Words, mix, rolling, slices
@@ -44,6 +44,8 @@ DEPTH = 25
 BATCHES = 4
 #: Bytes of text, for each bucket, from which the bounds of the buckets are taken; they affect balance alone.
 SAMPLE_BYTES = 1_000
+#: Matches that may be broadcast to the texts; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 21
 _FLUSH = 1 << 20
 _ARRAY = "bucket int, suffixes binary, docs binary"
 _MATCHES = "doc_id bigint, suffix bigint, shared int"
@@ -480,7 +482,8 @@ def verify(docs: DataFrame, matches: DataFrame, length: int = LENGTH, depth: int
     docs = _usable(docs)
     best = matches.groupBy("doc_id", "suffix").agg(F.max("shared").alias("shared"))
     found = stage_table(best.groupBy("doc_id").agg(F.collect_list(F.struct("suffix", "shared")).alias("found")), "found")
-    asked = docs.join(small(found, 1 << 18), "doc_id").select("doc_id", "text", "found").mapInArrow(_emit_windows(length, depth, buckets(docs)), _ASKED)
+    few = (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= MOST_BROADCAST
+    asked = docs.join(F.broadcast(found) if few else found, "doc_id").select("doc_id", "text", "found").mapInArrow(_emit_windows(length, depth, buckets(docs)), _ASKED)
     asked = stage_table(asked, "windows")
     answers = asked.select("id", "bucket", "windows", "least", "several").groupBy("bucket").applyInArrow(_answer, "id bigint, bucket int, shared binary")
     runs = asked.drop("windows", "least", "several").join(answers, ["id", "bucket"]).mapInArrow(_runs, "doc_id bigint, first bigint, last bigint")
