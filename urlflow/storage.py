@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (as in tests) a folder of this machine."""
+    """spark.checkpoint.dir; where that is unset (as in tests) a folder of this machine, if all executors are on it."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     at = f"file://{tempfile.mkdtemp(prefix='urlflow-')}"
     spark.sparkContext.setCheckpointDir(at)
     return at
