@@ -172,3 +172,19 @@ def test_page_flags(spark):
     assert one(spark, rows, text.is_login_page(u, h), "u string, h string") == [True, True, True, False, True, False]
     assert one(spark, ["NOT FOUND", "页面不存在", "<title>404 x", "fine", "<title>Error 404</title>"], text.is_not_found(F.col("x"))) == [True, True, True, False, False]
     assert one(spark, ["<title>Error 404</title>"], text.is_not_found_titled(F.col("x"))) == [True]
+
+
+def test_texts_of_raw_elements_have_no_tags():
+    at = "http://h/"
+    assert html.page_links("<!--http://x.com/a-->", at) == ["http://x.com/a--"]  # as serialised, with its signs
+    assert html.page_links('<!-- http://x.com/?a=1&amp;b=2 http://y.z/?a&b -->', at) == ["http://x.com/?a=1&amp;b=2", "http://y.z/?a&amp;b"]
+    for tag in ("title", "textarea", "iframe", "noembed", "noframes", "xmp", "style", "script"):
+        assert html.page_links(f'<{tag}><a href="in"></{tag}><a href="out">', at) == ["http://h/out"], tag
+        assert html.page_links(f'<{tag}>www.x.y/z<a href="in">', at)[-1].endswith("www.x.y/z&lt;a") or html.page_links(f"<{tag}>www.x.y/z", at) == ["http://h/www.x.y/z"], tag
+    assert html.page_links('<plaintext></plaintext><a href="in">', at) == []
+    assert html.page_links("<p>http://a.b/c<3 d</p>", at) == ["http://a.b/c&lt;3"]  # one text
+    assert html.page_terms("<title>A &amp; B</title><style>a &amp; b</style>") == ["a & b", "a &amp; b"]
+
+
+def test_reference_in_a_directory_with_a_query():
+    assert html.resolve("params.php?p=valid&pp=12", "http://shop.example/hpp/?pp=12") == "http://shop.example/hpp/params.php?p=valid&pp=12"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -48,28 +48,95 @@ def resolve(ref: str, current: str) -> str:
     return ref if ref.startswith(("http://", "https://")) else ""
 
 
-class _Links(HTMLParser):
-    """Links of tags come first, the last tag's before the others'; URLs found in scripts' tags, comments and texts follow in order."""
+#: Elements whose content is text up to their end tag, and those of them in which character references count.
+_RAW = frozenset({"iframe", "noembed", "noframes", "plaintext", "script", "style", "textarea", "title", "xmp"})
+_ESCAPABLE = frozenset({"textarea", "title"})
 
-    def __init__(self, current: str):
+
+class _Tokens(HTMLParser):
+    """Tags, comments and texts, each text whole: from one tag or comment to the next."""
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.current, self.tags, self.found = current, [], []
+        self.held: list[str] = []
+
+    def tag(self, name: str, attrs: list) -> None: ...
+
+    def comment(self, data: str) -> None: ...
+
+    def text(self, data: str) -> None: ...
+
+    def _flush(self) -> None:
+        if self.held:
+            self.text("".join(self.held))
+            self.held.clear()
+
+    def _raw(self, tag: str) -> None:
+        if tag in _RAW:
+            self.set_cdata_mode(tag)
+            if tag == "plaintext":
+                self.interesting = re.compile(r"(?!)")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _LINKED:
-            own = [resolve(v or "", self.current) for k, v in attrs if k in _ATTRIBUTES and "javascript" not in (v or "") and v != "#"]
-            self.tags = own + self.tags
-        elif tag == "script":
-            self._mine("<script" + "".join(f' {k}="{escape(v or "")}"' for k, v in attrs) + ">")
+        self._flush()
+        self.tag(tag, attrs)
+        self._raw(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         """Self-closing tags give nothing."""
+        self._flush()
+        self._raw(tag)
 
-    def handle_comment(self, data: str) -> None:
-        self._mine(data)
+    def handle_endtag(self, tag: str) -> None:
+        self._flush()
 
     def handle_data(self, data: str) -> None:
-        self._mine(escape(data).replace("&quot;", "&#34;").replace("&#x27;", "&#39;"))
+        self.held.append(unescape(data) if self.cdata_elem in _ESCAPABLE else data)
+
+    def handle_comment(self, data: str) -> None:
+        self._flush()
+        self.comment(data)
+
+    def handle_decl(self, decl: str) -> None:
+        self._flush()
+
+    def handle_pi(self, data: str) -> None:
+        self.handle_comment("?" + data)
+
+    def unknown_decl(self, data: str) -> None:
+        self.handle_comment(f"[{data}]]")
+
+    def close(self) -> None:
+        super().close()
+        if self.cdata_elem and self.rawdata:  # an element that isn't ended
+            self.handle_data(self.rawdata)
+        self._flush()
+
+
+def _serialised(data: str) -> str:
+    """Text as it stands in HTML."""
+    return escape(data).replace("&quot;", "&#34;").replace("&#x27;", "&#39;")
+
+
+class _Links(_Tokens):
+    """Links of tags come first, the last tag's before the others'; URLs found in scripts' tags, comments (with their signs) and texts follow in order."""
+
+    def __init__(self, current: str):
+        super().__init__()
+        self.current, self.tags, self.found = current, [], []
+
+    def tag(self, name: str, attrs: list) -> None:
+        if name in _LINKED:
+            own = [resolve(v or "", self.current) for k, v in attrs if k in _ATTRIBUTES and "javascript" not in (v or "") and v != "#"]
+            self.tags = own + self.tags
+        elif name == "script":
+            self._mine("<script" + "".join(f' {k}="{_serialised(v or "")}"' for k, v in attrs) + ">")
+
+    def comment(self, data: str) -> None:
+        self._mine("<!--" + unescape(data).replace("&", "&amp;") + "-->")
+
+    def text(self, data: str) -> None:
+        self._mine(_serialised(data))
 
     def _mine(self, text: str) -> None:
         got = dict.fromkeys(resolve(m, self.current) for m in (x[0] for x in _MINE.finditer(text)))
@@ -104,14 +171,14 @@ def resolve_rfc3986(ref: pd.Series, current: pd.Series) -> pd.Series:
     return pd.Series([one(r, c) for r, c in zip(ref, current, strict=True)], dtype=object)
 
 
-class _Texts(HTMLParser):
+class _Texts(_Tokens):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.texts: list[str] = []
 
-    def handle_data(self, data: str) -> None:
-        if text := data.strip():
-            self.texts.append(stem(text))
+    def text(self, data: str) -> None:
+        if word := data.strip():
+            self.texts.append(stem(word))
 
 
 def page_terms(html: str | None) -> list[str] | None:
