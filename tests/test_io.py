@@ -121,3 +121,30 @@ def test_command_line(spark, tmp_path):
     df.withColumn("URL", F.concat(F.lit("http://h/"), F.when(F.col("Data") == "d0", "p").otherwise("q"))).write.mode("overwrite").json(str(tmp_path / "log"))
     assert [p.rsplit("/", 1)[1] for p in cli.run(spark, args)] == ["h.txt", "h.json"]
     assert "ResponseBody" not in json.loads((tmp_path / "out" / "h.json").read_text())[0]
+
+
+def test_array_elements_are_read_one_at_a_time(tmp_path):
+    path = str(tmp_path / "a.json")
+    for held in ([], [{"a": 1}], [{"a": [1, {"b": "x]},"}]}, 2, "s" * 3_000_000, None, 12345] * 3):
+        for indent in (None, 4):
+            (tmp_path / "a.json").write_text(json.dumps(held, indent=indent) + "\n", encoding="utf-8")
+            assert list(sinks._elements(path)) == held
+    for bad in ("", "{}", "[1", "[1 2]", "[1,]", "[,1]", "[1] x", "[tru]"):
+        (tmp_path / "a.json").write_text(bad)
+        with pytest.raises(ValueError):
+            list(sinks._elements(path))
+
+
+def test_unknown_formats_are_logged(spark, tmp_path, caplog):
+    assert [p.rsplit(".", 1)[1] for p in sinks.save(log(spark), "h", "odd,txt", str(tmp_path))] == ["txt"]
+    assert "odd" in caplog.text
+
+
+def test_large_hosts_have_chunks(spark):
+    from urlflow.sinks.render import envelope
+
+    df = spark.range(250).selectExpr("id", "IF(id % 5 = 0, NULL, 'h') AS host", "concat('u', id) AS url")
+    got = envelope(df.select("id", "url", "host"), F.col("host"), "id", most=60).collect()
+    assert {r.host: r["count"] for r in got} == {"h": 200, None: 50}
+    assert sorted(x.id for r in got for x in r.results) == list(range(250)) and len({(r.host, r.chunk) for r in got}) == len(got) == 5
+    assert all([x.id for x in r.results] == sorted(x.id for x in r.results) for r in got)

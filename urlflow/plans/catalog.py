@@ -6,6 +6,9 @@ columns of `pages` by the same rule on both sides.
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -154,7 +157,7 @@ def dedup_cross_method(spark, sf_dir):
     return p.groupBy("fp").agg(F.count("*").alias("n"), F.count_distinct("method").alias("methods"))
 
 
-@query(f"SELECT page_id, {S.parent('url')} AS parent, {S.base('url')} AS base, CASE WHEN ends_with({S.path('url')}, '/') THEN {S.scheme('url')} || '://' || {S.host('url')} || {S.path('url')} ELSE {S.scheme('url')} || '://' || {S.host('url')} || '/' END AS snapshot_base FROM pages")
+@query(f"SELECT page_id, {S.parent('url')} AS parent, {S.base('url')} AS base, {S.snapshot('url')} AS snapshot_base FROM pages")
 def base_urls(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", url.parent_url(_u()).alias("parent"), url.base_url(_u()).alias("base"), url.snapshot_base(_u()).alias("snapshot_base"))
 
@@ -197,11 +200,12 @@ def scope_frontier(spark, sf_dir):
     return _pages(spark, sf_dir).where(filters.in_frontier_scope(_u(), F.lit(SCOPE))).select("page_id", "url")
 
 
-@query(f"WITH f AS ({S.fingerprints('pages', 'page_id', 'url', chr(39) + 'GET' + chr(39), 'url')}) SELECT page_id, url FROM f WHERE page_id % 2 = 1 AND fp NOT IN (SELECT fp FROM f WHERE page_id % 2 = 0 AND fp IS NOT NULL)")
+@query(f"WITH f AS ({S.fingerprints('pages', 'page_id', 'url', chr(39) + 'GET' + chr(39), 'url')}) SELECT page_id, url FROM f WHERE fp IS NULL OR fp NOT IN (SELECT fp FROM f WHERE page_id % 2 = 0 AND fp IS NOT NULL)")
 def visited_anti(spark, sf_dir):
+    """All pages against those that were visited: the even ones."""
     p = _pages(spark, sf_dir).select("page_id", "url")
     visited = p.where("page_id % 2 = 0").select(url.fingerprint(_u(), F.lit("GET")).alias("fp")).distinct()
-    return filters.unvisited(p.where("page_id % 2 = 1"), visited)
+    return filters.unvisited(p, visited)
 
 
 @query(f"SELECT \"URL\", \"Method\", \"Status\", CASE WHEN \"Method\" = 'POST' THEN \"Data\" ELSE '' END AS \"Data\" FROM {_LOG} l WHERE \"Status\" <> 404 AND (starts_with(\"URL\", 'http://{SCOPE}') OR starts_with(\"URL\", 'https://{SCOPE}')) AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.\"URL\" AND page_id % 5 = 0) AND NOT regexp_matches(decode(from_base64(\"ResponseBody\")), '(?i)not found|页面不存在|<title>404')")
@@ -271,7 +275,7 @@ def click_blacklist(spark, sf_dir):
     return _nodes(spark, sf_dir).where(~text.is_blacklisted(_c("node"))).select("page_id", "node")
 
 
-@query(f"SELECT page_id, l, tag FROM {_NODES} WHERE upper(tag) NOT IN ({', '.join(map(S.lit, text.EXCLUDED_TAGS))})")
+@query(f"SELECT page_id, l, tag FROM {_NODES} WHERE upper(tag) NOT IN ({', '.join(map(S.lit, "SCRIPT STYLE IMG LINK META TITLE HEAD HTML DIV".split()))})")
 def tag_exclusion(spark, sf_dir):
     return _nodes(spark, sf_dir).where(~text.is_excluded_tag(_c("tag"))).select("page_id", "l", "tag")
 
@@ -315,16 +319,37 @@ def anchor_routing(spark, sf_dir):
     return _refs(spark, sf_dir).select("page_id", "ref", classify.anchor_route(_c("ref")).alias("route"))
 
 
-@query(f"SELECT page_id, unnest({S.mined('t')}) AS found FROM (SELECT page_id, '<!-- ' || url || '. --> (see www.' || {S.host('url')} || '/a_(b)) ' || {S.host('url')} || '/x, ftp' AS t FROM pages)")
+_LINKED_SQL = """['', '<form action="go?a=1&amp;b=2"><link href="/s.css">', '<!-- http://a.b/c?d=1&amp;e=2 -->', '<p>see http://d.e/f?y=1&amp;z=2, or www.g.h/i(j) </p>', '<frame src="#"><a href="javascript:void(0)">x</a>', '<title>at www.k.l/<a href=</title>'][page_id % 6 + 1]"""
+_MINED_TEXT = f"html || '<!-- ' || url || '. --> (see www.' || {S.host('url')} || '/a_(b)) ' || {S.host('url')} || '/x, ftp'"
+
+
+@query(f"SELECT page_id, found, count(*) AS n FROM (SELECT page_id, unnest({S.mined('t')}) AS found FROM (SELECT page_id, {_MINED_TEXT} AS t FROM pages)) GROUP BY ALL")
 def url_mining(spark, sf_dir):
+    """Whole pages, and a line of each with URLs in forms that pages lack."""
     h = url.host(_u())
-    t = F.concat(F.lit("<!-- "), _u(), F.lit(". --> (see www."), h, F.lit("/a_(b)) "), h, F.lit("/x, ftp"))
-    return _pages(spark, sf_dir).select("page_id", F.explode(mining.mine_urls(t)).alias("found"))
+    t = F.concat(_h(), F.lit("<!-- "), _u(), F.lit(". --> (see www."), h, F.lit("/a_(b)) "), h, F.lit("/x, ftp"))
+    return _pages(spark, sf_dir).select("page_id", F.explode(mining.mine_urls(t)).alias("found")).groupBy("page_id", "found").agg(F.count("*").alias("n"))
 
 
-@query()
+_PARTS = f"(SELECT page_id, url, html || {_LINKED_SQL} AS html FROM pages)"
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, some with linked tags, comments and texts that they lack."""
+    more = _pick("", '<form action="go?a=1&amp;b=2"><link href="/s.css">', "<!-- http://a.b/c?d=1&amp;e=2 -->", "<p>see http://d.e/f?y=1&amp;z=2, or www.g.h/i(j) </p>", '<frame src="#"><a href="javascript:void(0)">x</a>', "<title>at www.k.l/<a href=</title>")
+    return _pages(spark, sf_dir).withColumn("html", F.concat(_h(), more))
+
+
+@query(f"SELECT page_id, link, count(*) AS n FROM ({S.page_links(_PARTS, S.snapshot('url'))}) GROUP BY ALL")
 def html_links_exact(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.posexplode(html.extract_links(_h(), url.snapshot_base(_u()))).alias("pos", "link"))
+    links = _linked(spark, sf_dir).select("page_id", F.explode(html.extract_links(_h(), url.snapshot_base(_u()))).alias("link"))
+    return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, string_agg(ref, ' ' ORDER BY ref) AS refs FROM {_REFS} WHERE NOT contains(ref, 'javascript') AND ref <> '#' GROUP BY page_id")
+def usable_links(spark, sf_dir):
+    g = _refs(spark, sf_dir).groupBy("page_id").agg(F.collect_list("ref").alias("refs")).select("page_id", text.usable_links(_c("refs")).alias("refs"))
+    return g.where(F.size("refs") > 0).select("page_id", F.array_join(F.array_sort("refs"), " ").alias("refs"))
 
 
 @query()
@@ -468,14 +493,17 @@ _TAGS = [f"<input{'' if t is None else f' type={chr(34)}{t}{chr(34)}'}{'' if p i
 _FIELDS = "(SELECT page_id, f.t AS type, f.p AS placeholder FROM (SELECT page_id, [" + ", ".join(f"{{'t': {'NULL' if t is None else S.lit(t)}, 'p': {'NULL' if p is None else S.lit(p)}}}" for t, p in _INPUTS) + f"][page_id % {len(_INPUTS)} + 1] AS f FROM pages) WHERE f.t IS NOT NULL AND f.p IS NOT NULL)"
 
 
+_ROLES = {"username": "name,user,用户,账号", "email": "email,mail,邮箱", "phone": "电话,手机,phone", "password": "密码,password,passwd"}
+
+
 def _role(role: str) -> str:
-    words, kind = classify.KEYWORDS[role], "password" if role == "password" else "text"
+    words, kind = _ROLES[role].split(","), "password" if role == "password" else "text"
     own = {"email": "email", "phone": "tel"}.get(role)
     found = "[w FOR w IN [" + ", ".join(S.lit(w) for w in words) + "] IF contains(lower(placeholder), w)]"
     return f"SELECT page_id, '{role}' AS role, type, placeholder, unnest(CASE WHEN type = '{own}' THEN [''] WHEN type = '{kind}' THEN {found} END) AS keyword FROM {_FIELDS}"
 
 
-@query(" UNION ALL ".join(_role(r) for r in classify.KEYWORDS))
+@query(" UNION ALL ".join(_role(r) for r in _ROLES))
 def login_inputs(spark, sf_dir):
     tag = F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (_c("page_id") % len(_TAGS) + 1).cast("int"))
     fields = classify.inputs(_pages(spark, sf_dir).select("page_id", F.concat(_h(), tag).alias("html")))
@@ -500,7 +528,7 @@ def host_report(spark, sf_dir):
     return render.host_report(_pages(spark, sf_dir), url.host(_u()))
 
 
-@query(f"SELECT {S.host('url')} AS host, count(*) AS count, string_agg(page_id || ' ' || url, ',' ORDER BY page_id) AS results FROM pages GROUP BY 1")
+@query(f"SELECT {S.host('url')} AS host, count(*) AS count, 0 AS chunk, string_agg(page_id || ' ' || url, ',' ORDER BY page_id) AS results FROM pages GROUP BY 1")
 def report_envelope(spark, sf_dir):
     e = render.envelope(_pages(spark, sf_dir).select("page_id", "url"), url.host(_u()), "page_id")
     return e.withColumn("results", F.array_join(F.transform("results", lambda r: F.concat_ws(" ", r["page_id"], r["url"])), ","))
@@ -576,11 +604,118 @@ def xlsx_roundtrip(spark, sf_dir):
     return files.xlsx(spark, at)
 
 
-@query()
-def html_report(spark, sf_dir):
+_ESCAPED = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+_HTML = f"""WITH l AS (SELECT row_number() OVER (ORDER BY "URL", "Method", "Data") + 4 AS i, '<tr><td>' || "Method" || '</td><td>' || {_ESCAPED('"URL"')} || '</td><td>' || {_ESCAPED('"Data"')} || '</td><td>' || "Status" || '</td></tr>' AS line FROM {_LOG})
+    SELECT CAST(i AS BIGINT) AS line_no, line FROM l UNION ALL SELECT x.i, x.line FROM (SELECT unnest([{{'i': 0, 'line': '<!DOCTYPE html>'}}, {{'i': 1, 'line': '<html><head><meta charset="utf-8"><title>all hosts</title></head><body>'}},
+      {{'i': 2, 'line': '<h1>Results</h1>'}}, {{'i': 3, 'line': '<ul><li>host: all hosts</li><li>count: ' || (SELECT count(*) FROM pages) || '</li><li>date: </li></ul>'}},
+      {{'i': 4, 'line': '<table><tr><th>method</th><th>url</th><th>data</th><th>status</th></tr>'}}, {{'i': (SELECT count(*) FROM pages) + 5, 'line': '</table>'}}, {{'i': (SELECT count(*) FROM pages) + 6, 'line': '</body></html>'}}]) AS x)"""
+
+
+def _report_lines(spark: SparkSession, sf_dir: str, append: bool) -> DataFrame:
     log, at = render.without_bodies(_log(_pages(spark, sf_dir))), _scratch(spark, "report", ".html")
-    sink_files.write_html(log.orderBy("URL"), at, "all hosts")
-    return spark.createDataFrame([(i, line) for i, line in enumerate(Path(at).read_text(encoding="utf-8").splitlines())], "line_no int, line string")
+    for _ in range(1 + append):
+        sink_files.write_html(log.orderBy("URL", "Method", "Data"), at, "all hosts", append=append)
+    lines = spark.read.text(f"file://{at}", wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return lines.where("line <> ''").select(F.col("line_no").cast("bigint"), "line")
+
+
+@query(_HTML)
+def html_report(spark, sf_dir):
+    return _report_lines(spark, sf_dir, False)
+
+
+@query(_HTML)
+def html_append(spark, sf_dir):
+    """A report that is there is written anew."""
+    return _report_lines(spark, sf_dir, True)
+
+
+@query(f'SELECT "URL", "Method", "Host", "Data", "Status" FROM {_LOG}')
+def json_array_append(spark, sf_dir):
+    """Two runs' results in one array, read again."""
+    log, at = render.without_bodies(_log(_pages(spark, sf_dir))), _scratch(spark, "merged", ".json")
+    for half in (0, 1):
+        sink_files.write_json(log.where(F.pmod(F.hash("URL"), F.lit(2)) == half), at, append=True)
+    return files.merged_json(spark, f"file://{at}").select(*log.columns)
+
+
+@query(f"SELECT '[' || \"Method\" || ']' || \"URL\" AS line FROM {_LOG}")
+def txt_append(spark, sf_dir):
+    log, at = render.without_bodies(_log(_pages(spark, sf_dir))), _scratch(spark, "merged", ".txt")
+    for half in (0, 1):
+        sink_files.write_txt(log.where(F.pmod(F.hash("URL"), F.lit(2)) == half), at, append=True)
+    return spark.read.text(f"file://{at}").withColumnRenamed("value", "line")
+
+
+@query("SELECT * FROM (VALUES ('formats', 'r.json', true), ('formats', 'r.txt', true), ('merged', 'all.xlsx', true), ('merged twice', 'all.xlsx', true), ('no suffix', 'both.txt', true), ('no suffix', 'both.html', true), ('odd suffix', 'h.txt', true)) t(run, file, written)")
+def save_dispatch(spark, sf_dir):
+    """The files of each way to ask for them: a single row makes none, formats that aren't known are skipped."""
+    log, at = render.without_bodies(_log(_pages(spark, sf_dir))), _scratch(spark, "dispatch", "")
+    runs = [
+        ("one row", log.limit(1), {"formats": "txt", "outputdir": f"{at}/0"}),
+        ("formats", log, {"formats": "txt,odd,json", "outputdir": f"{at}/1", "name": "r"}),
+        ("merged", log, {"merged": f"{at}/2/all.xlsx"}),
+        ("merged twice", log, {"merged": f"{at}/2/all.xlsx"}),
+        ("no suffix", log, {"merged": f"{at}/3/both", "formats": "txt,html"}),
+        ("odd suffix", log, {"merged": f"{at}/4/x.odd", "formats": "txt", "outputdir": f"{at}/4"}),
+    ]
+    made = [(run, Path(f).name, Path(f).is_file()) for run, df, how in runs for f in sink_files.save(df, "h", **how)]
+    return spark.createDataFrame(made, "run string, file string, written boolean")
+
+
+@query("SELECT 'site' || r_regionkey AS name, 'before' AS stage, 'track(\"' || r_name || '\");' AS content FROM region")
+def page_scripts(spark, sf_dir):
+    at = Path(_scratch(spark, "scripts", ""))
+    for r in spark.read.parquet(f"{sf_dir}/region.parquet").toLocalIterator():
+        (at / "before").mkdir(parents=True, exist_ok=True)
+        (at / "before" / f"site{r['r_regionkey']}.js").write_text(f'track("{r["r_name"]}");', encoding="utf-8")
+    return files.scripts(spark, f"file://{at}")
+
+
+@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'a.zip' ELSE 'b.tar.gz' END AS archive, 'of/' || n_nationkey || '.txt' AS member, n_name AS content FROM nation")
+def archive_members(spark, sf_dir):
+    at = Path(_scratch(spark, "archives", ""))
+    at.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(at / "a.zip", "w") as z, tarfile.open(at / "b.tar.gz", "w:gz") as t:
+        for r in spark.read.parquet(f"{sf_dir}/nation.parquet").toLocalIterator():
+            name, data = f"of/{r['n_nationkey']}.txt", r["n_name"].encode()
+            if r["n_nationkey"] % 2 == 0:
+                z.writestr(name, data)
+            else:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    members = files.archive_members(spark, f"file://{at}")
+    return members.select(F.regexp_extract("archive", "([^/]*)$", 1).alias("archive"), "member", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("SELECT '' AS folder UNION ALL SELECT '/' || r_name FROM region UNION ALL SELECT '/' || r_name || '/' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
+def directory_tree(spark, sf_dir):
+    at = Path(_scratch(spark, "tree", ""))
+    n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    for x in n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("r_name", "n_nationkey").toLocalIterator():
+        (at / x["r_name"] / str(x["n_nationkey"])).mkdir(parents=True)
+    return spark.createDataFrame([(d.removeprefix(str(at)),) for d in files.directories(str(at))], "folder string")
+
+
+@query("SELECT CAST(r_regionkey AS INTEGER) AS step_no, '//*[@id=' || r_regionkey || ']' AS xpath, CASE WHEN r_regionkey % 2 = 1 THEN r_name END AS value, CASE WHEN r_regionkey % 2 = 1 THEN 'input' ELSE 'click' END AS action FROM region")
+def playback_steps(spark, sf_dir):
+    at, lines = _scratch(spark, "playback", ".yml"), ["steps:", "  - setp:"]
+    for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").toLocalIterator():
+        k = r["r_regionkey"]
+        lines += [f"      - xpath: '//*[@id={k}]'", f"        action: {'input' if k % 2 else 'click'}"] + ([f"        value: '{r['r_name']}'"] if k % 2 else [])
+    Path(at).write_text("\n".join(lines), encoding="utf-8")
+    return files.playback(spark, at)
+
+
+@query("SELECT * FROM (VALUES ('max_depth', '7'), ('tab_count', '20'), ('username', 'given'), ('password', 'filed'), ('format', 'txt,json'), ('filter', 'lougout,登出,reset')) t(setting, value)")
+def config_yaml(spark, sf_dir):
+    """Settings given, of the file, and by default."""
+    at = _scratch(spark, "config", ".yml")
+    Path(at).write_text("login:\n  username: filed\n  password: filed\nbrowser:\n  tabcount: 20\n  maxdepth: 3\n  max_depth: 7\n  format:\n", encoding="utf-8")
+    c = files.config([f"{at}.none", at], username="given", email=None)
+    held = {k: getattr(c, k) for k in ("max_depth", "tab_count", "username", "password", "format", "filter")}
+    return spark.createDataFrame([(k, ",".join(v) if isinstance(v, list) else str(v)) for k, v in held.items()], "setting string, value string")
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS BIGINT) AS pos, url AS target FROM pages")

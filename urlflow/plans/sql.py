@@ -1,45 +1,61 @@
-"""DuckDB expressions for the oracle, written apart from the Spark ones."""
+"""DuckDB expressions for the oracle, written apart from the Spark ones: no constant comes from the code under test."""
 
 from __future__ import annotations
 
-from ..functions.mining import LINEAR_PATTERN
-from ..functions.url import BAD_ESCAPE, BAD_HOST, CONTROL, DYNAMIC_SUFFIXES, STATIC_SUFFIXES, URI
+STATIC = (
+    "woff2 bz2 gz2 mp3 mp4 m4a wma ra cab rmvb aac doc mid exe pdf aiff tiff woff gif tif exif asf otf ttf swf dxf "
+    "odg jpeg mpeg ogg dmg mng png jpg mpg svg ai avi apk dll xsl rm bin ico iso map webp odp 3gp zip bmp psp rar "
+    "tar ods xls ps eps wps css less rss dat pct odt ppt qt crt pst txt au m4v wav flv wmv mov csv drw docx asx "
+    "xlsx pptx gz"
+).split()
+DYNAMIC = ("php", "asp", "action")
+#: A percent sign that no two hexadecimal digits follow.
+_ESCAPE = "%($|[^0-9a-fA-F]|.$|.[^0-9a-fA-F])"
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9.+-]*:"
+_NESTED = r"\(([^\s()<>]+|(\([^\s()<>]+\)))*\)"
+#: URLs in free text, as a linear-time engine may read them.
+_MINED = r"(?i)\b((?:https?://|www\d{0,3}[.]|[a-z0-9.\-]+[.][a-z]{2,4}/)(?:[^\s()<>]+|" + _NESTED + ")+(?:" + _NESTED + r"|[^\s`!()\[\]{};:'" + '"' + ".,<>?«»“”‘’]))"
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def part(u: str, i: int) -> str:
-    return f"regexp_extract({u}, {lit(URI)}, {i})"
+def _before_query(u: str) -> str:
+    return f"regexp_replace({u}, '(?s)[?#].*$', '')"
 
 
 def scheme(u: str) -> str:
-    return f"lower({part(u, 1)})"
+    return f"lower(rtrim(regexp_extract({u}, '{_SCHEME}'), ':'))"
+
+
+def _no_scheme(u: str) -> str:
+    return f"regexp_replace({_before_query(u)}, '{_SCHEME}', '')"
 
 
 def host(u: str) -> str:
-    return f"regexp_replace({part(u, 2)}, '^.*@', '')"
+    rest = _no_scheme(u)
+    return f"(CASE WHEN starts_with({rest}, '//') THEN regexp_replace(split_part(substr({rest}, 3), '/', 1), '^.*@', '') ELSE '' END)"
 
 
 def raw_path(u: str) -> str:
-    return part(u, 3)
+    return f"regexp_replace({_no_scheme(u)}, '^//[^/]*', '')"
 
 
 def path(u: str) -> str:
-    return f"CASE WHEN regexp_matches({raw_path(u)}, {lit(BAD_ESCAPE)}) THEN NULL ELSE url_decode({raw_path(u)}) END"
+    return f"CASE WHEN regexp_matches({raw_path(u)}, {lit(_ESCAPE)}, 's') THEN NULL ELSE url_decode({raw_path(u)}) END"
 
 
 def query(u: str) -> str:
-    return part(u, 4)
+    return f"regexp_extract(split_part({u}, '#', 1), '^[^?]*[?](.*)$', 1, 's')"
 
 
 def fragment(u: str) -> str:
-    return part(u, 5)
+    return f"regexp_extract({u}, '^[^#]*#(.*)$', 1, 's')"
 
 
 def parseable(u: str) -> str:
-    return f"coalesce(NOT (regexp_matches({u}, {lit(CONTROL)}) OR regexp_matches({raw_path(u)}, {lit(BAD_ESCAPE)}) OR regexp_matches({host(u)}, {lit(BAD_HOST)})), false)"
+    return f"coalesce(NOT (regexp_matches({u}, '[[:cntrl:]]') OR regexp_matches({raw_path(u)}, {lit(_ESCAPE)}, 's') OR regexp_matches({host(u)}, '[ <>\"]') OR regexp_matches({host(u)}, ':[^0-9:\\]]+$')), false)"
 
 
 def no_fragment(u: str) -> str:
@@ -52,7 +68,7 @@ def suffix(u: str) -> str:
 
 
 def static(u: str, frontier: bool = False) -> str:
-    names = ", ".join(lit(s) for s in [*STATIC_SUFFIXES, *([".js"] if frontier else [])])
+    names = ", ".join(lit(f".{s}") for s in [*STATIC, *(["js"] if frontier else [])])
     cut = f"split_part({u}, '&', 1)"
     return f"(NOT {parseable(cut)} OR coalesce({suffix(u)} IN ({names}), true))"
 
@@ -68,7 +84,7 @@ def general_path(p: str) -> str:
 
 def params(table: str, key: str, url: str) -> str:
     """A query: key, pos, k, v of every parameter."""
-    pairs = f"SELECT {key}, x.i - 1 AS pos, x.p AS p FROM (SELECT {key}, unnest([{{'i': i, 'p': q[i]}} FOR i IN range(1, len(q) + 1)]) AS x FROM (SELECT {key}, [z FOR z IN string_split({query(url)}, '&') IF z <> '' AND NOT contains(z, ';') AND NOT regexp_matches(z, {lit(BAD_ESCAPE)})] AS q FROM {table}))"
+    pairs = f"SELECT {key}, x.i - 1 AS pos, x.p AS p FROM (SELECT {key}, unnest([{{'i': i, 'p': q[i]}} FOR i IN range(1, len(q) + 1)]) AS x FROM (SELECT {key}, [z FOR z IN string_split({query(url)}, '&') IF z <> '' AND NOT contains(z, ';') AND NOT regexp_matches(z, {lit(_ESCAPE)}, 's')] AS q FROM {table}))"
     decoded = lambda e: f"url_decode(replace({e}, '+', ' '))"
     return f"SELECT {key}, CAST(pos AS INTEGER) AS pos, {decoded("regexp_extract(p, '(?s)^([^=]*)', 1)")} AS k, {decoded("regexp_extract(p, '(?s)^[^=]*=(.*)$', 1)")} AS v FROM ({pairs})"
 
@@ -94,10 +110,14 @@ def parent(u: str) -> str:
 
 
 def base(u: str) -> str:
-    names = ", ".join(lit(s) for s in DYNAMIC_SUFFIXES)
+    names = ", ".join(lit(f".{s}") for s in DYNAMIC)
     return f"CASE WHEN ends_with({u}, '/') THEN {u} WHEN contains({u}, '?') OR regexp_extract({path(u)}, '(\\.[^./]*)$', 1) IN ({names}) THEN {parent(u)} ELSE {u} END"
 
 
+def snapshot(u: str) -> str:
+    return f"(CASE WHEN ends_with({path(u)}, '/') THEN {scheme(u)} || '://' || {host(u)} || ({path(u)}) ELSE {scheme(u)} || '://' || {host(u)} || '/' END)"
+
+
 def dots(x: str) -> str:
     return f"(length({x}) - length(replace({x}, '.', '')))"
 
@@ -129,4 +149,22 @@ def terms(html: str) -> str:
 
 
 def mined(text: str) -> str:
-    return f"regexp_extract_all({text}, {lit(LINEAR_PATTERN)}, 1)"
+    return f"regexp_extract_all({text}, {lit(_MINED)}, 1)"
+
+
+def page_links(pages: str, base: str) -> str:
+    """A query: page_id and link of every link of the pages' tags, comments and texts; those of one text once. For pages whose references are all &amp;, whose linked tags have one attribute each and whose scripts' tags have none."""
+    raw = "(?is)<(?:script|style|title)[^>]*>(.*?)</(?:script|style|title)>"
+    shown = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), chr(39), '&#39;')"
+    unshown = lambda x: f"replace({x}, '&amp;', '&')"
+    rest = f"regexp_replace(html, {lit(raw)}, '<>', 'g')"
+    return f"""
+    WITH p AS (SELECT page_id, {base} AS b, html, {rest} AS rest FROM {pages}),
+    refs AS (SELECT page_id, b, unnest(regexp_extract_all(rest, '<(?:a|link|frame|form) (?:href|src|action)="([^"]*)"', 1)) AS ref FROM p),
+    texts AS (SELECT page_id, b, {shown('t')} AS t FROM (SELECT page_id, b, unnest(regexp_split_to_array(rest, '(?s)<!--.*?-->|<[^>]*>')) AS t FROM p)
+      UNION ALL SELECT page_id, b, {shown('t')} FROM (SELECT page_id, b, unnest(regexp_extract_all(html, {lit(raw)}, 1)) AS t FROM p)
+      UNION ALL SELECT page_id, b, '<!--' || replace({unshown('t')}, '&', '&amp;') || '-->' FROM (SELECT page_id, b, unnest(regexp_extract_all(rest, '(?s)<!--(.*?)-->', 1)) AS t FROM p)),
+    numbered AS (SELECT row_number() OVER () AS i, * FROM texts),
+    found AS (SELECT DISTINCT i, page_id, resolved FROM ({resolved(f"(SELECT i, page_id, b, unnest({mined('t')}) AS ref FROM numbered)", 'ref', 'b', 'i, page_id')}) WHERE resolved <> '')
+    SELECT page_id, resolved AS link FROM ({resolved(f"(SELECT page_id, b, {unshown('ref')} AS ref FROM refs WHERE NOT contains(ref, 'javascript') AND ref <> '#')", 'ref', 'b', 'page_id')})
+    UNION ALL SELECT page_id, resolved FROM found"""
