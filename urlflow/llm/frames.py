@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import threading
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,20 +79,44 @@ def made() -> list[str]:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder for what the caller leaves there; release() deletes it, or the end of this process."""
     made().append(f"{shared_dir(spark)}/urlflow-{name}-{uuid.uuid4().hex}")
+    _LEFT.add(made()[-1])
     return made()[-1]
 
 
+_LEFT: set[str] = set()
+
+
+@atexit.register
+def _clean() -> None:
+    """Deletes what was made and not released: results that are still read need it until now. Where the folder can't be reached any more, it stays."""
+    for path in _LEFT:
+        try:
+            at, base = fs.FileSystem.from_uri(path)
+            at.delete_dir(base)
+        except (OSError, ValueError):
+            continue
+
+
 def release(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
     """Deletes what this thread has put into the shared folder since made() had `since` entries, but for one."""
     for path in made()[since:]:
         if path != but:
             remove(spark, path)
+            _LEFT.discard(path)
     del made()[since:]
     if but is not None:
         made().append(but)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes one of the paths that new_path() gave this thread, before the others."""
+    remove(spark, path)
+    made().remove(path)
+    _LEFT.discard(path)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
