@@ -148,3 +148,14 @@ def test_large_hosts_have_chunks(spark):
     assert {r.host: r["count"] for r in got} == {"h": 200, None: 50}
     assert sorted(x.id for r in got for x in r.results) == list(range(250)) and len({(r.host, r.chunk) for r in got}) == len(got) == 5
     assert all([x.id for x in r.results] == sorted(x.id for x in r.results) for r in got)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from urlflow.storage import shared_dir
+
+    off = lambda at: N(conf=N(get=lambda *_: at), sparkContext=N(master="yarn", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))))
+    assert shared_dir(off("hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        shared_dir(off(None))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import links
+from ..functions.url import resolve_all
+
 KEYWORDS = {
     "username": ("name", "user", "用户", "账号"),
     "email": ("email", "mail", "邮箱"),
@@ -50,3 +53,9 @@ def submit_buttons(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def anchor_route(href: Column) -> Column:
     """emit: the link is followed as it is; click: the node must be clicked."""
     return F.when((href != "") & ~href.contains("javascript") & (href != "#"), "emit").otherwise("click")
+
+
+def harvest(html: Column, url: Column) -> Column:
+    """What a page's anchors lead to: the references that are followed as they are, resolved against the page's own URL, each once. Of a page without HTML the URL itself."""
+    followed = F.filter(links(html), lambda x: anchor_route(x) == "emit")
+    return F.coalesce(resolve_all(followed, url), F.array(url))

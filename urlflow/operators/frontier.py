@@ -41,12 +41,19 @@ def seeds(targets: DataFrame, metadata: DataFrame, probe_token: str = "urlflow")
     return found.unionByName(home).unionByName(probe)
 
 
+def dispatch(rows: DataFrame, host: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Frontier rows that are given to a tab: in scope and on the host, within the depth. rows: Url, Depth and others."""
+    from .filters import in_frontier_scope
+
+    url = F.col("Url")
+    return rows.where(in_frontier_scope(url, F.lit(host)) & url.contains(host) & (F.col("Depth") <= max_depth))
+
+
 def admit(found: DataFrame, visited: DataFrame, host: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Frontier rows that are opened: in scope, not static, within the depth, on the host, and the first of a fingerprint that `visited`(fp) lacks. found: Url, Depth and others."""
     from .dedup import first_wins
-    from .filters import in_frontier_scope, unvisited, without_static
+    from .filters import unvisited, without_static
 
-    url = F.col("Url")
-    kept = without_static(found.where(in_frontier_scope(url, F.lit(host)) & (F.col("Depth") <= max_depth) & url.contains(host)), "Url", frontier=True)
+    kept = without_static(dispatch(found, host, max_depth), "Url", frontier=True)
     fresh = unvisited(kept, visited, "Url").withColumn("__m", F.lit("GET"))
     return first_wins(fresh, "Depth", "Url", "__m").drop("__m", "fp")

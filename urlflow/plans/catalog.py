@@ -346,6 +346,15 @@ def html_links_exact(spark, sf_dir):
     return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
+_GONE = "(SELECT page_id, url, CASE WHEN page_id % 10 > 0 THEN html END AS html FROM pages)"
+
+
+@query(f"SELECT page_id, string_agg(DISTINCT resolved, ' ' ORDER BY resolved) AS urls FROM (SELECT * FROM ({S.resolved(f'(SELECT page_id, url, unnest({S.links("html")}) AS ref FROM {_GONE})', 'ref', 'url', 'page_id, ref')}) WHERE ref <> '' AND ref <> '#' AND NOT contains(ref, 'javascript') UNION ALL SELECT page_id, '', url FROM {_GONE} WHERE html IS NULL) WHERE resolved <> '' GROUP BY page_id")
+def anchor_harvest(spark, sf_dir):
+    p = _pages(spark, sf_dir).withColumn("html", F.when(_c("page_id") % 10 > 0, _h())).select("page_id", classify.harvest(_h(), _u()).alias("urls"))
+    return p.where(F.size("urls") > 0).select("page_id", F.array_join(F.array_sort("urls"), " ").alias("urls"))
+
+
 @query(f"SELECT page_id, string_agg(ref, ' ' ORDER BY ref) AS refs FROM {_REFS} WHERE NOT contains(ref, 'javascript') AND ref <> '#' GROUP BY page_id")
 def usable_links(spark, sf_dir):
     g = _refs(spark, sf_dir).groupBy("page_id").agg(F.collect_list("ref").alias("refs")).select("page_id", text.usable_links(_c("refs")).alias("refs"))
@@ -485,6 +494,11 @@ def frontier_admission(spark, sf_dir):
     return frontier.admit(found, visited, SCOPE)
 
 
+@query(f"SELECT u AS \"Url\", d AS \"Depth\" FROM (SELECT {_ODD_SQL} AS u, CAST(page_id % 7 AS INTEGER) AS d FROM pages) WHERE contains(u, '{SCOPE}') AND d <= 5")
+def frontier_dispatch(spark, sf_dir):
+    return frontier.dispatch(_pages(spark, sf_dir).select(_odd().alias("Url"), (_c("page_id") % 7).cast("int").alias("Depth")), SCOPE)
+
+
 # Forms
 
 
