@@ -1,10 +1,13 @@
 import re
+from types import SimpleNamespace as N
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from urlflow.llm import frames
 from urlflow.llm.grams import gram_sets, squeeze, unsqueeze
 from urlflow.llm.toxicity import _TOKEN
 from urlflow.llm.words import Words, rolling, slices, windows
@@ -55,3 +58,20 @@ def test_slices_cover_the_batch():
     parts = list(slices(b, "text", 120))
     assert sum(p.num_rows for p in parts) == 40 and pa.Table.from_batches(parts).column(0).to_pylist() == b.column(0).to_pylist()
     assert re.match("x", parts[0].column(0)[0].as_py())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    off = lambda at: N(conf=N(get=lambda *_: at), sparkContext=N(master="yarn", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))))
+    assert frames.shared_dir(off("hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        frames.shared_dir(off(None))
+
+
+def test_what_is_made_can_be_discarded_and_released(spark):
+    before = len(frames.made())
+    a, b = (frames.stage_table(spark.range(3), n) for n in "ab")
+    at = frames.made()[before:]
+    frames.discard(spark, at[0])
+    assert b.count() == 3 and frames.made()[before:] == at[1:]
+    frames.release(spark, before)
+    assert len(frames.made()) == before and not any(p in frames._LEFT for p in at)
