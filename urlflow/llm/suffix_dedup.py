@@ -8,12 +8,12 @@ which ends a document) of its first words, and suffixes are in lexicographic ord
 their words' codes. Equal words have equal codes, so the common prefix of two entries is
 never shorter than that of their suffixes.
 
-A new batch of documents gets a suffix array, cut into buckets by ranges of the order. It
-is merged bucket by bucket with the levels of the family and scanned: neighbours with a
-common prefix of `depth` words, at least one of them new, are matches, and the greater
-prefix with a neighbour bounds how far a match goes. The batch then enters at level 0, and
-two levels of equal size merge into the next, so that a suffix is rewritten a logarithmic
-number of times. Of a beginning that many documents have in full, an array keeps the
+A new batch of documents gets a suffix array, cut into buckets by ranges of the order. In
+one pass it is merged bucket by bucket with the levels of the family and scanned:
+neighbours with a common prefix of `depth` words, at least one of them new, are matches,
+and the greater prefix with a neighbour bounds how far a match goes. The batch enters at
+level 0, and levels of equal size merge into the next in the same pass, so that a suffix is
+rewritten a logarithmic number of times. Of a beginning that many documents have in full, an array keeps the
 least and the greatest document, before it is first sent: the others are matches anyway.
 
 Matches are verified in the texts: the windows of `length` words that a match's bound
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import narrow, new_path, remove, stage_table, trim
+from .frames import discard, made, narrow, new_path, remove, stage_table, trim
 from .grams import planes, unplanes
 from .ngram_join import _parts, buckets, estimated
 from .words import Words, mix, rolling, slices
@@ -44,10 +44,9 @@ DEPTH = 25
 BATCHES = 4
 #: Bytes of text, for each bucket, from which the bounds of the buckets are taken; they affect balance alone.
 SAMPLE_BYTES = 1_000
-#: Matches that may be broadcast to the texts; more are joined by a shuffle.
-MOST_BROADCAST = 1 << 21
 _FLUSH = 1 << 20
 _ARRAY = "bucket int, suffixes binary, docs binary"
+_PASS = ("bucket", "suffixes", "docs", "found_docs", "found_suffixes", "shared")
 _MATCHES = "doc_id bigint, suffix bigint, shared int"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -108,15 +107,19 @@ def names(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What an entry is in a pass: of a level that stays, of one that is merged, or new.
+STAYS, MERGED, NEW = 0, 1, 2
+
+
 class Entries(NamedTuple):
-    """Suffixes in order: their codes, documents and whether they are new."""
+    """Suffixes in order: their codes, documents and what they are in a pass."""
 
     keys: np.ndarray
     docs: np.ndarray
-    fresh: np.ndarray
+    role: np.ndarray
 
     def take(self, i: np.ndarray) -> Entries:
-        return Entries(self.keys[i], self.docs[i], self.fresh[i])
+        return Entries(self.keys[i], self.docs[i], self.role[i])
 
 
 def ordered(e: Entries) -> Entries:
@@ -173,7 +176,7 @@ def scan(e: Entries, depth: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(begin):
         return begin, begin
     several = np.minimum.reduceat(e.docs, begin) != np.maximum.reduceat(e.docs, begin)
-    several &= np.maximum.reduceat(e.fresh, begin)
+    several &= np.maximum.reduceat(e.role, begin) == NEW
     hit = np.repeat(several, np.diff(np.append(begin, len(e.keys))))
     shared = np.maximum(np.append(near, 0), np.concatenate([[0], near]))
     at = np.flatnonzero(hit)
@@ -182,18 +185,13 @@ def scan(e: Entries, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _load(t: pa.Table, k: int) -> Entries:
     """One array of all rows, each of which is in order."""
-    fresh = t.column("fresh").to_pylist() if "fresh" in t.column_names else [True] * t.num_rows
-    rows = [Entries(np.frombuffer(x, f"S{k}"), d := np.frombuffer(y, np.int64), np.full(len(d), f)) for x, y, f in zip(t.column("suffixes").to_pylist(), t.column("docs").to_pylist(), fresh, strict=True)]
+    rows = [Entries(np.frombuffer(x, f"S{k}"), d := np.frombuffer(y, np.int64), np.full(len(d), r, np.int8)) for x, y, r in zip(*(t.column(c).to_pylist() for c in ("suffixes", "docs", "role")), strict=True)]
     while len(rows) > 1:
         rows = sorted(rows, key=lambda e: len(e.keys))
         rows = [merged(rows[0], rows[1]), *rows[2:]] if len(rows) % 2 else [merged(a, b) for a, b in zip(rows[::2], rows[1::2], strict=True)]
     return rows[0]
 
 
-def _packed(e: Entries) -> tuple[bytes, bytes]:
-    return e.keys.tobytes(), e.docs.tobytes()
-
-
 def _emit_suffixes(length: int, depth: int, bounds: np.ndarray):
     """Arrays of a task's suffixes by batch and bucket, in order; what collapse() takes out of them as rows without a bucket."""
     k = n_codes(depth)
@@ -207,9 +205,9 @@ def _emit_suffixes(length: int, depth: int, bounds: np.ndarray):
             held.clear()
             for b in np.unique(batch).tolist():
                 own = batch == b
-                e, others = collapse(ordered(Entries(keys[own], docs[own], np.ones(own.sum(), bool))))
+                e, others = collapse(ordered(Entries(keys[own], docs[own], np.full(own.sum(), NEW, np.int8))))
                 bucket = bucket_of(e.keys, bounds)
-                rows = [(b, p, *_packed(e.take(slice(i, j)))) for p, i, j in _parts(bucket, len(bounds) + 1)]
+                rows = [(b, p, e.keys[i:j].tobytes(), e.docs[i:j].tobytes()) for p, i, j in _parts(bucket, len(bounds) + 1)]
                 if len(others.keys):
                     rows.append((b, None, names(others.keys).tobytes(), others.docs.tobytes()))
                 if rows:
@@ -303,41 +301,39 @@ class Family:
         return self.spark.read.schema(_ARRAY).parquet(at)
 
     def arrays(self, docs: DataFrame, batches: int) -> DataFrame:
-        """batch, bucket, suffixes and docs: the suffix arrays of all batches, staged; rows without a bucket are matches already."""
+        """batch, bucket, suffixes and docs: the arrays of all batches as tasks made them, staged; rows without a bucket are matches already."""
         tagged = _usable(docs).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
-        k, kind = n_codes(self.depth), "batch int, bucket int, suffixes binary, docs binary"
-        pieces = stage_table(tagged.mapInArrow(_emit_suffixes(self.length, self.depth, self.bounds), kind), "suffixes")
-
-        def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-            e, others = collapse(_load(t, k))
-            trim()
-            rows = [(key[1].as_py(), *_packed(e))] + ([(None, names(others.keys).tobytes(), others.docs.tobytes())] if len(others.keys) else [])
-            return pa.table({"batch": pa.array([key[0].as_py()] * len(rows), pa.int32())} | {c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in zip(("bucket", "suffixes", "docs"), zip(*rows, strict=True), strict=True)})
-
-        arrays = pieces.where("bucket IS NOT NULL").groupBy("batch", "bucket").applyInArrow(build, kind)
-        return stage_table(arrays.unionByName(pieces.where("bucket IS NULL")), "suffix-arrays")
+        return stage_table(tagged.mapInArrow(_emit_suffixes(self.length, self.depth, self.bounds), "batch int, " + _ARRAY), "suffixes")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Enters documents as one batch; doc_id, suffix and shared of the matches in it and between it and the family, staged."""
-        return self._add(self.arrays(docs, 1))
+        arrays = self.arrays(docs, 1)
+        at = made()[-1]
+        found = self._add(arrays)
+        discard(self.spark, at)
+        return found
 
     def _add(self, batch: DataFrame) -> DataFrame:
         n, k, depth, levels = self.state["version"], n_codes(self.depth), self.depth, self.levels
-        at = self._write(batch.where("bucket IS NOT NULL").select("bucket", "suffixes", "docs"), f"level-{n}-0")
-        both = self._read(at).withColumn("fresh", F.lit(True))
-        for old in levels.values():
-            both = both.unionByName(self._read(old).withColumn("fresh", F.lit(False)))
-
-        def scanned(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-            if not any(t.column("fresh").to_pylist()):
-                return pa.table({"docs": pa.array([], pa.binary()), "suffixes": pa.array([], pa.binary()), "shared": pa.array([], pa.binary())})
+        i, gone = 0, []
+        while i in levels:
+            gone.append(levels.pop(i))
+            i += 1
+        whole = batch.where("bucket IS NULL").select("docs", "suffixes", F.lit(None).cast("binary").alias("shared"))  # they share all that entries hold
+        both = batch.where("bucket IS NOT NULL").select("bucket", "suffixes", "docs", F.lit(NEW).alias("role"))
+        for old, role in [(x, MERGED) for x in gone] + [(x, STAYS) for x in levels.values()]:
+            both = both.unionByName(self._read(old).withColumn("role", F.lit(role)))
+
+        def one_pass(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             e = _load(t, k)
-            i, shared = scan(e, depth)
+            at, shared = scan(e, depth)
+            kept = collapse(e.take(np.flatnonzero(e.role >= MERGED)))[0]
             trim()
-            return pa.table({"docs": [e.docs[i].tobytes()], "suffixes": [names(e.keys[i]).tobytes()], "shared": [shared.astype(np.uint8).tobytes()]})
+            row = (kept.keys.tobytes(), kept.docs.tobytes(), e.docs[at].tobytes(), names(e.keys[at]).tobytes(), shared.astype(np.uint8).tobytes())
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32())} | {c: pa.array([x], pa.binary()) for c, x in zip(_PASS[1:], row, strict=True)})
 
-        found = both.groupBy("bucket").applyInArrow(scanned, "docs binary, suffixes binary, shared binary")
-        whole = batch.where("bucket IS NULL").select("docs", "suffixes", F.lit(None).cast("binary").alias("shared"))  # they share all that entries hold
+        at = self._write(both.groupBy("bucket").applyInArrow(one_pass, "bucket int, " + ", ".join(f"{c} binary" for c in _PASS[1:])), f"level-{n}-{i}")
+        found = self.spark.read.parquet(at).select(F.col("found_docs").alias("docs"), F.col("found_suffixes").alias("suffixes"), "shared")
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -348,17 +344,6 @@ class Family:
                         yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + (1 << 16)]), pa.array(suffix[i : i + (1 << 16)]), pa.array(shared[i : i + (1 << 16)].astype(np.int32))], names=["doc_id", "suffix", "shared"])
 
         matches = stage_table(found.unionByName(whole).mapInArrow(unpack, _MATCHES), "matches")
-
-        def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-            suffixes, docs = _packed(collapse(_load(t, k))[0])
-            trim()
-            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "suffixes": pa.array([suffixes], pa.binary()), "docs": pa.array([docs], pa.binary())})
-
-        i, gone = 0, []
-        while i in levels:
-            gone += [at, levels.pop(i)]
-            i += 1
-            at = self._write(self._read(gone[-2]).unionByName(self._read(gone[-1])).groupBy("bucket").applyInArrow(merge, _ARRAY), f"level-{n}-{i}")
         self._save({str(j): x for j, x in (levels | {i: at}).items()})
         for old in gone:
             remove(self.spark, old)
@@ -482,8 +467,7 @@ def verify(docs: DataFrame, matches: DataFrame, length: int = LENGTH, depth: int
     docs = _usable(docs)
     best = matches.groupBy("doc_id", "suffix").agg(F.max("shared").alias("shared"))
     found = stage_table(best.groupBy("doc_id").agg(F.collect_list(F.struct("suffix", "shared")).alias("found")), "found")
-    few = (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= MOST_BROADCAST
-    asked = docs.join(F.broadcast(found) if few else found, "doc_id").select("doc_id", "text", "found").mapInArrow(_emit_windows(length, depth, buckets(docs)), _ASKED)
+    asked = docs.join(found.hint("merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(_emit_windows(length, depth, buckets(docs)), _ASKED)
     asked = stage_table(asked, "windows")
     answers = asked.select("id", "bucket", "windows", "least", "several").groupBy("bucket").applyInArrow(_answer, "id bigint, bucket int, shared binary")
     runs = asked.drop("windows", "least", "several").join(answers, ["id", "bucket"]).mapInArrow(_runs, "doc_id bigint, first bigint, last bigint")
@@ -517,8 +501,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, batches:
     docs = _usable(docs)
     family, found = Family.create(docs, length=length, depth=depth), None
     arrays = family.arrays(docs, batches)
+    arrays_at = made()[-1]
     for i in range(batches):  # the family grows a batch at a time
         hits = family._add(arrays.where(F.col("batch") == i))
         found = hits if found is None else found.unionByName(hits)
     family.drop()
+    discard(docs.sparkSession, arrays_at)
     return verify(docs, found, length, depth)
