@@ -187,4 +187,4 @@ def test_texts_of_raw_elements_have_no_tags():
 
 
 def test_reference_in_a_directory_with_a_query():
-    assert html.resolve("params.php?p=valid&pp=12", "http://shop.example/hpp/?pp=12") == "http://shop.example/hpp/params.php?p=valid&pp=12"
+    assert html.resolve("list.php?q=ok", "http://shop.example/cat/?n=3") == "http://shop.example/cat/list.php?q=ok"

@@ -12,9 +12,12 @@ DYNAMIC = ("php", "asp", "action")
 #: A percent sign that no two hexadecimal digits follow.
 _ESCAPE = "%($|[^0-9a-fA-F]|.$|.[^0-9a-fA-F])"
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9.+-]*:"
-_NESTED = r"\(([^\s()<>]+|(\([^\s()<>]+\)))*\)"
-#: URLs in free text, as a linear-time engine may read them.
-_MINED = r"(?i)\b((?:https?://|www\d{0,3}[.]|[a-z0-9.\-]+[.][a-z]{2,4}/)(?:[^\s()<>]+|" + _NESTED + ")+(?:" + _NESTED + r"|[^\s`!()\[\]{};:'" + '"' + ".,<>?«»“”‘’]))"
+_PLAIN = "[^<>()\\s]"
+_BRACKETS = f"[(](?:{_PLAIN}+|[(]{_PLAIN}+[)])*[)]"
+_NO_END = "".join("\\" + c for c in "<>{}[]()'`!?;:,.") + '"' + "".join(map(chr, (0xAB, 0xBB, 0x2018, 0x2019, 0x201C, 0x201D)))
+_HEADS = ("http://", "https://", "www[0-9]?[0-9]?[0-9]?\\.", "[-.0-9a-z]+\\.[a-z]{2,4}/")
+#: URLs in free text, for a linear-time engine.
+_MINED = f"(?i)\\b((?:{'|'.join(_HEADS)})(?:{_PLAIN}+|{_BRACKETS})+(?:{_BRACKETS}|[^\\s{_NO_END}]))"
 
 
 def lit(s: str) -> str:
