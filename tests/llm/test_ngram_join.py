@@ -60,6 +60,36 @@ def test_links_lose_no_pair_of_texts(spark, seed):
     assert all(abs(j - len(grams(texts[a]) & grams(texts[b])) / len(grams(texts[a]) | grams(texts[b]))) < 1e-12 for a, b, j in got)
 
 
+@pytest.mark.parametrize("seed", [1, 7])
+def test_classes_and_their_links(spark, seed):
+    texts = corpus(seed) + ["", "lone words of its own here"]
+    texts += random.Random(seed).choices(texts, k=60)
+    rows = [(i if i != 5 else 4, x) for i, x in enumerate(texts)] + [(3, texts[3])]  # id 4 has two texts
+    links, root = {}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    distinct = sorted(set(rows))
+    near = {(x, y) for k, x in enumerate(texts) for y in texts[:k] if x != y and (s := grams(x)) and (u := grams(y)) and len(s & u) >= 0.5 * len(s | u) - 1e-12}
+    near |= {(y, x) for x, y in near}
+    for i, x in distinct:
+        links[i] = links.get(i, 0) + sum((x, y) in near for y in set(texts))
+        for j, y in distinct:
+            if i != j and grams(x) and (x == y or (x, y) in near):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    copies = {i: sum(j != i and x == y for k, x in distinct if k == i and grams(x) for j, y in distinct) for i in root}
+    size = {}
+    for i in root:
+        size[find(i)] = size.get(find(i), 0) + 1
+    want = {(i, find(i), links[i], copies[i]) for i in root if size[find(i)] > 1}
+    got = [tuple(r) for r in J.classes(documents(spark, [x for _, x in rows], ids=[i for i, _ in rows])).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+
+
 def test_links_of_an_id_with_two_texts(spark):
     a = " ".join(f"a{i}" for i in range(40))
     docs = documents(spark, [a, a + " b", a, None, a], ids=[1, 1, 2, 3, None])
@@ -74,7 +104,8 @@ def test_rows_that_differ_by_the_place_of_a_null_are_kept_apart(spark):
 def test_awkward_rows(spark):
     got = J.join(awkward(spark)).collect()
     assert [tuple(r) for r in got] == [(4, 5, 1.0)]
-    assert J.join(empty(spark)).count() == 0
+    assert J.join(empty(spark)).count() == J.classes(empty(spark)).count() == 0
+    assert sorted(tuple(r) for r in J.classes(awkward(spark)).collect()) == [(4, 4, 0, 1), (5, 4, 0, 1)]
     kept = J.keep_one(awkward(spark))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 4, 6, 7, 8, 9, 10)] + [(True, 0), (True, 0)]
@@ -106,5 +137,6 @@ def test_a_large_group_of_copies(spark):
     w = [f"a{i}" for i in range(80)]
     texts = [" ".join(w[:k] + [f"x{k}"] + w[k + 1 :]) for k in range(40)] * 2
     assert J.join(documents(spark, texts)).count() == 80 * 79 // 2
+    assert {tuple(r)[1:] for r in J.classes(documents(spark, texts)).collect()} == {(0, 39, 1)}
     assert J.links(documents(spark, texts)).count() == 40 * 39 // 2 + 40
     assert J.keep_one(documents(spark, texts)).count() == 1

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import DOCUMENT, narrow, small, stage_table, trim
+from .frames import DOCUMENT, discard, made, narrow, small, stage_table, trim
 from .sharding import permute
 from .tokens import PATTERN, RANKS, encode, encoding, widths
 from .words import slices
@@ -152,12 +152,14 @@ def pack(docs: DataFrame, block: int = BLOCK, with_text: bool = False, ranks: st
     order = ["source", "__a", "__b", "__place"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("source", "doc_id", "lang", "text")
     held = stage_table(placed.mapInArrow(_encode(with_text, ranks, pattern), _ENCODED), "encoded")
+    encoded_at = made()[-1]
     counts = stage_table(held.groupBy("source", "part").agg(F.sum("n").alias("n")), "counts")  # a row a source and partition, mostly a row a partition
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = stage_table(counts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("base")), "bases")
     begun = held.join(small(bases), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     cut = begun.select("source", (F.col("base") + F.col("offset")).alias("begin"), "doc_id", "lang", "text", "tokens")
     raw = stage_table(cut.mapInArrow(_cut(block, ranks, pattern), _BLOCKS), "blocks")
+    discard(docs.sparkSession, encoded_at)
     whole = F.col("n_tokens") == block
     rest = raw.where(~whole).groupBy("source", "number").applyInArrow(_assemble(block, encoding(ranks, pattern).n_vocab, dtype(ranks, pattern)), _BLOCKS)
     return raw.where(whole).unionByName(rest).drop("at"), counts.groupBy("source").agg(F.sum("n").alias("tokens"))

@@ -429,6 +429,29 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage_table(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m"))).distinct(), "edges")
 
 
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **how) -> DataFrame:
+    """doc_id, class_id, n_links and n_copies of every document that has a similar one.
+
+    A class is a connected group of similar documents, class_id its least doc_id; n_links
+    is the number of different texts that the document's text is similar to, n_copies
+    that of other documents with its very text. An id that has several texts is one
+    document: it links them, and its numbers are sums. Rows alike count once. Null texts,
+    texts without words and rows without doc_id are in no class.
+    """
+    docs = narrow(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL")
+    similar = similar_texts(docs, threshold, n, **how)
+    ids = stage_table(_texts(docs).select("sig", "doc_id").distinct(), "ids")
+    several = ids.groupBy("doc_id").agg(F.min("sig").alias("v"), F.count("*").alias("texts")).where("texts > 1")
+    own = ids.join(small(stage_table(several, "several")), "doc_id").where("sig <> v").select(F.col("sig").alias("u"), "v")
+    root = components(similar.select(F.col("sa").alias("u"), F.col("sb").alias("v")).unionByName(own)).toDF("sig", "root")
+    degree = similar.select(F.col("sa").alias("sig")).union(similar.select("sb")).groupBy("sig").agg(F.count("*").alias("links"))
+    copies = ids.groupBy("sig").agg((F.count("*") - 1).alias("copies"))
+    texts = copies.join(degree, "sig", "left").join(root, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    rows = stage_table(ids.join(texts, "sig").groupBy("doc_id").agg(F.min("root").alias("root"), F.sum("links").alias("n_links"), F.sum("copies").alias("n_copies")), "members")
+    groups = stage_table(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")).where("members > 1").select("root", "class_id"), "classes")
+    return rows.join(small(groups), "root").select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **how) -> DataFrame:
     """The columns of documents; of each connected group of similar documents the row with the least doc_id stays (nulls last, then by the row's hash).
 

@@ -40,8 +40,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs between the texts' representatives, and each copy's pair with its own."""
-    return ngram_join.links(read_table(spark, sf_dir, "documents"))
+    """Every document that has a similar one, with its class and its number of links."""
+    return ngram_join.classes(read_table(spark, sf_dir, "documents"))
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
