@@ -37,7 +37,7 @@ def corpus(seed, n=120, words=40, size=60):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "t", "n", "how"), [(1, 0.5, 3, {}), (2, 0.3, 2, {}), (3, 0.8, 1, {}), (4, 0.5, 3, {"levels": (1,)}), (5, 0.5, 2, {"filter_bits": 256, "top": 4}), (6, 0.5, 2, {"levels": (8,) , "top": 1})])
+@pytest.mark.parametrize(("seed", "t", "n", "how"), [(1, 0.5, 3, {}), (2, 0.3, 2, {}), (3, 0.8, 1, {}), (4, 0.5, 3, {"levels": (1,)}), (5, 0.5, 2, {"filter_bits": 256, "top": 4}), (6, 0.5, 2, {"levels": (8,), "top": 1}), (7, 0.5, 2, {"block": 4})])
 def test_equals_brute_force(spark, seed, t, n, how):
     texts = corpus(seed)
     got = {(r.doc_a, r.doc_b): r.jaccard for r in J.join(documents(spark, texts), t, n, **how).collect()}

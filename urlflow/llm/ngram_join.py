@@ -42,6 +42,8 @@ TOP = 1 << 20
 _CHUNK = 1 << 20
 _HAS_WORD = "[0-9A-Za-z_[^\\x{0}-\\x{7F}" + PUNCTUATION[1:-1] + "]]"
 _FLUSH = 1 << 20
+#: Texts of a block; a cell of the verification holds the pairs of two blocks.
+BLOCK = 512
 
 
 def estimated(df: DataFrame) -> int | None:
@@ -346,7 +348,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").rlike(_HAS_WORD)).withColumn("sig", F.xxhash64("text"))
 
 
-def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, levels: tuple[int, ...] = LEVELS, filter_bits: int = FILTER_BITS, top: int = TOP) -> DataFrame:
+def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, levels: tuple[int, ...] = LEVELS, filter_bits: int = FILTER_BITS, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """sa < sb and jaccard of every pair of different texts that is similar; sa and sb are xxhash64 of the text. Staged."""
     spark, texts = docs.sparkSession, _texts(docs)
     r = buckets(docs)
@@ -360,9 +362,9 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, lev
     ends = found.select(F.col("sa").alias("sig"), F.col("sb").alias("other")).union(found.select("sb", "sa"))
     label = ends.groupBy("sig").agg(F.least(F.col("sig"), F.min("other")).alias("label"))
     sizes = label.groupBy("label").agg(F.count("*").alias("members"))
-    block = label.join(sizes, "label").select("sig", F.xxhash64("label", F.pmod("sig", F.ceil(F.col("members") / 4096))).alias("block"))
-    placed = stage_table(block, "blocks")
-    parts = max(r2, 1 + placed.count() // 4096)
+    in_block = label.join(sizes, "label").select("sig", F.xxhash64("label", F.pmod("sig", F.ceil(F.col("members") / block))).alias("block"))
+    placed = stage_table(in_block, "blocks")
+    parts = max(r2, 1 + placed.count() // block)
     x, y = placed.toDF("sa", "ba"), placed.toDF("sb", "bb")
     cell = F.pmod(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")), F.lit(parts)).cast("int")
     pairs = stage_table(found.join(x, "sa").join(y, "sb").select(cell.alias("cell"), "sa", "sb"), "cells")
