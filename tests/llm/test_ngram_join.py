@@ -1,11 +1,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents, empty
 
 from urlflow.llm import ngram_join as J
 from urlflow.llm.frames import row_key
+from urlflow.llm.grams import planes
 
 
 def grams(text, n=3):
@@ -140,3 +143,29 @@ def test_a_large_group_of_copies(spark):
     assert {tuple(r)[1:] for r in J.classes(documents(spark, texts)).collect()} == {(0, 39, 1)}
     assert J.links(documents(spark, texts)).count() == 40 * 39 // 2 + 40
     assert J.keep_one(documents(spark, texts)).count() == 1
+
+
+@pytest.mark.parametrize(("seed", "how"), [(1, {"hot": 1}), (2, {"hot": 3, "block": 4}), (3, {"hot": 2, "block": 2}), (7, {"hot": 6, "block": 1})])
+def test_hot_grams_lose_no_pair(spark, seed, how):
+    texts = corpus(seed)
+    want = brute(list(enumerate(texts)), 0.5)
+    docs = documents(spark, texts)
+    got = [tuple(r) for r in J.join(docs, **how).collect()]
+    assert {g[:2]: pytest.approx(g[2]) for g in got} == want and len(got) == len(want)
+    assert sorted(map(tuple, J.classes(docs, **how).collect())) == sorted(map(tuple, J.classes(docs, hot=1 << 30).collect()))
+    assert sorted(r.doc_id for r in J.keep_one(docs, **how).collect()) == sorted(r.doc_id for r in J.keep_one(docs, hot=1 << 30).collect())
+
+
+def test_common_counts_of_frequent_and_rare_grams():
+    rng = random.Random(5)
+    a, b = ([np.array(sorted(rng.sample(range(most), rng.randint(1, size))), np.uint64) for _ in range(n)] for n, most, size in ((60, 150, 90), (70, 4000, 300)))
+    assert J.common(a, b).tolist() == [[len({*x} & {*y}) for y in b] for x in a]
+    assert J.common(a, a).tolist() == [[len({*x} & {*y}) for y in a] for x in a]
+
+
+def test_a_group_of_near_copies_sends_no_pairs_by_the_square():
+    n, grams = 4000, np.arange(10, 20, dtype=np.uint64)
+    row = {"grams": np.repeat(grams, n).tobytes(), "doc": planes(np.tile(np.arange(n), len(grams))), "sig": np.arange(n).tobytes(), "size": planes(np.full(n, 20)), "level": np.ones(n, np.uint8).tobytes()}
+    batch = pa.RecordBatch.from_pylist([row])
+    out = list(J._pairs_of(0.5, J.HOT)((pa.scalar(0),), iter([batch])))
+    assert sum(b.num_rows for b in out) == n * len(grams) and all(b.num_rows <= 1 << 17 for b in out)
