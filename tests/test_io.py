@@ -159,3 +159,11 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared_dir(off("hdfs://x/y/")) == "hdfs://x/y"
     with pytest.raises(RuntimeError):
         shared_dir(off(None))
+
+
+def test_report_envelope_has_one_row_a_host(spark, tmp_path):
+    from urlflow.plans.catalog import QUERIES
+
+    spark.range(10_050).selectExpr("id AS page_id", "concat('http://h.com/', id) AS url", "'' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    (row,) = QUERIES["report_envelope"](spark, str(tmp_path)).collect()
+    assert tuple(row) == ("h.com", 10_050, 0, ",".join(f"{i} http://h.com/{i}" for i in range(10_050)))

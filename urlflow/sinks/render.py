@@ -28,11 +28,13 @@ def host_report(results: DataFrame, host: Column) -> DataFrame:
     return results.groupBy(host.alias("host")).agg(F.count("*").alias("count"))
 
 
-def envelope(results: DataFrame, host: Column, order: str, most: int = 10_000) -> DataFrame:
-    """host, count, chunk and results, in order: what a report shows. A host of more than `most` results has as many chunks as that asks for, by a hash of the order column."""
+def envelope(results: DataFrame, host: Column, order: str, most: int | None = 10_000) -> DataFrame:
+    """host, count, chunk and results, in order: what a report shows. A host of more than `most` results has as many chunks as that asks for, by a hash of the order column; without `most` every host is one row."""
     held = results.withColumn("__host", host)
+    rows = F.sort_array(F.collect_list(F.struct(order, *[c for c in results.columns if c != order])))
+    if most is None:
+        return held.groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("count"), rows.alias("results")).select("host", "count", F.lit(0).alias("chunk"), "results")
     counts = held.groupBy(F.col("__host").alias("__of")).agg(F.count("*").alias("__count"))
     parts = held.join(counts, F.col("__host").eqNullSafe(F.col("__of")))
     chunk = F.pmod(F.xxhash64(order), F.ceil(F.col("__count") / most)).cast("int").alias("chunk")
-    rows = F.sort_array(F.collect_list(F.struct(order, *[c for c in results.columns if c != order])))
     return parts.groupBy(F.col("__host").alias("host"), F.col("__count").alias("count"), chunk).agg(rows.alias("results"))
