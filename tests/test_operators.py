@@ -72,3 +72,20 @@ def test_frontier_seeds(spark):
     got = {r.SourceType: r for r in frontier.seeds(t, m).collect()}
     assert set(got) == {"homePage", "404", "metadata parse"} and all(r.Depth == 0 for r in got.values())
     assert got["404"].Url.startswith("http://h/") and len(got["404"].Url) == 19
+
+
+def test_terms_of_a_batch_are_made_in_slices(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from urlflow.functions import html
+
+    monkeypatch.setattr(html, "page_terms", lambda x: None if x is None else [f"{x[:9]}{k}" for k in range(300)])
+    pages = pa.array([f"{i:09}" + "x" * 5000 for i in range(1500)] + [None])
+    tracemalloc.start()
+    got = html.vector_terms.func(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1501 and got[1499].as_py() == [f"000001499{k}" for k in range(300)] and got[1500].as_py() is None
+    assert peak < 12_000_000  # the lists of all pages are some 30 MB
