@@ -1,5 +1,7 @@
 import random
 import re
+import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -169,3 +171,17 @@ def test_a_group_of_near_copies_sends_no_pairs_by_the_square():
     batch = pa.RecordBatch.from_pylist([row])
     out = list(J._pairs_of(0.5, J.HOT)((pa.scalar(0),), iter([batch])))
     assert sum(b.num_rows for b in out) == n * len(grams) and all(b.num_rows <= 1 << 17 for b in out)
+
+
+def test_grams_that_one_text_has_are_sent_packed_and_go_first():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(3000)) for _ in range(40)]
+    texts += [f"{x} one{i} more{i} word{i}" for i, x in enumerate(texts[:2])]
+    crowded = SimpleNamespace(value=SimpleNamespace(least=5, frequency=lambda bucket, low: np.zeros(len(low), np.int64)))  # the filter has no room for grams of two texts
+    batch = pa.RecordBatch.from_pydict({"text": texts, "sig": np.arange(len(texts))})
+    out = [b for b in J._emit_postings(3, 8, 1, 0.5, crowded, J.LEVELS)(iter([batch]))]
+    n = sum(len(b.column("doc")[0].as_py()) // 4 for b in out)
+    assert n > 50_000 and sum(len(zlib.compress(b.column("grams")[0].as_py(), 1)) for b in out) < 4 * n
+    got = pa.Table.from_batches(J._met(0.5, J.HOT)((pa.scalar(0),), iter(out)))
+    assert {(a, b) for a, b in zip(got["sa"].to_pylist(), got["sb"].to_pylist(), strict=True)} == {(0, 40), (1, 41)}
+    assert list(J._met(0.5, J.HOT)((pa.scalar(0),), iter(J._emit_postings(3, 8, 1, 0.5, crowded, J.LEVELS)(iter([batch.slice(0, 40)]))))) == []
