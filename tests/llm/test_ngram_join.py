@@ -9,7 +9,7 @@ import pytest
 from helpers import awkward, documents, empty
 
 from urlflow.llm import ngram_join as J
-from urlflow.llm.frames import row_key
+from urlflow.llm.frames import made, row_key
 from urlflow.llm.grams import planes
 
 
@@ -185,3 +185,17 @@ def test_grams_that_one_text_has_are_sent_packed_and_go_first():
     got = pa.Table.from_batches(J._met(0.5, J.HOT)((pa.scalar(0),), iter(out)))
     assert {(a, b) for a, b in zip(got["sa"].to_pylist(), got["sb"].to_pylist(), strict=True)} == {(0, 40), (1, 41)}
     assert list(J._met(0.5, J.HOT)((pa.scalar(0),), iter(J._emit_postings(3, 8, 1, 0.5, crowded, J.LEVELS)(iter([batch.slice(0, 40)]))))) == []
+
+
+def test_sets_of_a_group_of_near_copies_are_held_once(spark):
+    w = [f"a{i}" for i in range(80)]
+    texts = [" ".join(w[:k] + [f"x{k}"] + w[k + 1 :]) for k in range(72)]
+    before = len(made())
+    assert {tuple(r)[1:] for r in J.classes(documents(spark, texts), block=4).collect()} == {(0, 71, 0)}
+    (folder,) = [x for x in made()[before:] if "urlflow-sets-" in x]
+    at, base = J.fs.FileSystem.from_uri(folder)
+    held = []
+    for f in at.get_file_info(J.fs.FileSelector(base)):
+        with at.open_input_stream(f.path) as x, pa.ipc.open_stream(x) as t:
+            held += t.read_all()["sig"].to_pylist()
+    assert len(held) == len(set(held)) == 72
